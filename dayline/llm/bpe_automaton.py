@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from dayline.llm import common
 
 #: Words whose ids a worker remembers.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 700_000
 NEVER = 1 << 30
 
 
@@ -102,7 +102,7 @@ class Automaton:
                     pair = (ends[j], token)
                     ok = allowed.get(pair)
                     if ok is None:
-                        if len(allowed) > 2_000_000:
+                        if len(allowed) > 500_000:
                             allowed.clear()
                         ok = allowed[pair] = self.has_arc(*pair)
                     if not ok:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayline.llm import exact_dedup
+from dayline.llm import bpe_automaton, exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_bpe_automaton": bpe_automaton.op7_bpe_automaton,
 }
 
 ORACLE_SQL: dict[str, str] = {
