@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayline.llm import bpe_automaton, exact_dedup
+from dayline.llm import bpe_automaton, exact_dedup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe_automaton": bpe_automaton.op7_bpe_automaton,
+    "op9_quality_discriminant": quality.op9_quality_discriminant,
 }
 
 ORACLE_SQL: dict[str, str] = {
