@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayline.llm import bpe_automaton, exact_dedup, quality
+from dayline.llm import bpe_automaton, exact_dedup, language_id, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_gru": language_id.op3_language_gru,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe_automaton": bpe_automaton.op7_bpe_automaton,
     "op9_quality_discriminant": quality.op9_quality_discriminant,
