@@ -30,11 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.own}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write to a table in the shared folder and read it back: lineage ends here, executors may be lost."""
+def saved(df: DataFrame, label: str, batch: int = 0) -> DataFrame:
+    """Write to a table in the shared folder and read it back: lineage ends here, executors may be lost.
+
+    ``batch`` is the number of rows handed to Python at once, for steps whose rows are long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if batch:
+        spark.conf.set(name, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -177,19 +177,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """lang and a window of text of at most PER_LANGUAGE learnable rows of each language, by the hash of the row."""
+    """lang and a window of text of at most PER_LANGUAGE learnable rows of each language, those of the smallest row hashes.
+
+    The rows of each language are counted first, and only rows under a hash bound that lets through a few times
+    the sample are ranked, so the number of ranked rows does not depend on the size of the table.
+    """
     text = F.col("text")
     width = 4 * WINDOW
+    rows = docs.where(F.col("lang").isNotNull() & (F.length(text) > 0) & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - width, F.lit(0)) + 1) + 1
-    rows = docs.where(F.col("lang").isNotNull() & text.isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True))).select(
-        "lang", F.substring(text, start.cast("int"), F.lit(width)).alias("part"), F.xxhash64("doc_id", "text").alias("at")
+    few = (
+        rows.withColumn("at", at)
+        .join(F.broadcast(counts), "lang")
+        .where(F.col("at") * F.col("count") <= F.lit(float(1 << 40)) * 4 * PER_LANGUAGE)
+        .select("lang", F.substring(text, start.cast("int"), F.lit(width)).alias("part"), "at")
     )
-    by = Window.partitionBy("lang").orderBy("at")
-    return rows.where(F.length("part") > 0).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= PER_LANGUAGE).drop("rank")
+    by = Window.partitionBy("lang").orderBy("at", "part")
+    return few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= PER_LANGUAGE).drop("rank")
 
 
 def learned(docs: DataFrame) -> tuple[list[str], GatedNetwork | None]:
-    rows = sampled(docs).orderBy("lang", "at").limit(PER_LANGUAGE * MAX_LANGUAGES).collect()
+    rows = sampled(docs).orderBy("lang", "at", "part").collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return [], None
