@@ -9,7 +9,7 @@ from the packed words by bit counts, corrected for chance collisions, and pairs
 A band never emits all its pairs: in each of a few rounds it pairs its members with two pivots, leaving out
 members already in a pivot's component, and links join components. Only then do pairs between different
 components of one band that no round has met go through the same estimate and confirmation, so that no link between
-components is missed. That last step grows with what the rounds could not join, not with the size of a group of copies.
+components is missed; bands with many members are cut into blocks there, which return links and never their pairs.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a null doc_id is linked
 with nothing, its component_id is null and it is kept; repeated rows are equal sets and share a component, and each of them
@@ -37,6 +37,9 @@ MARGIN = 0.2
 ROUNDS = 5
 #: A round is added while the pairs left for the last step exceed this many times the band members.
 LEFT_OVER = 2
+#: Members of a band up to which the last step emits candidate pairs; larger bands are compared in blocks, which emit links only.
+SMALL = 64
+BLOCK = 256
 SIGNED = "doc_id long, n long, f1 long, f2 long, sig array<long>, bands array<long>"
 
 
@@ -109,6 +112,50 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def blockwise(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Likely links between components inside large bands. members: key, rep, comp and m, the size of the band.
+
+    A band is cut into blocks of about BLOCK members and each two blocks meet in one group, which counts all
+    intersections as a matrix product over the shingles that occur twice there and returns, for a
+    document and another component, one link. Shingles are 32-bit hashes here: the caller confirms what is found.
+    """
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["rep"], "set": [np.unique(shingle_hashes(t, size).astype(np.uint32)).tobytes() for t in batch["text"]]})
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep", kind="stable").reset_index(drop=True)
+        sets = [np.frombuffer(x, np.uint32) for x in group["set"]]
+        n = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[code] > 1
+        owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for first in range(0, int(code.max(initial=-1)) + 1, 1 << 14):
+            at = (code >= first) & (code < first + (1 << 14))
+            here = np.zeros((len(sets), min(1 << 14, int(code.max()) + 1 - first)), np.float32)
+            here[owner[at], code[at] - first] = 1
+            both += here @ here.T
+        comp, part = group["comp"].to_numpy(), group["part"].to_numpy()
+        ok = 100 * both >= percent * (n[:, None] + n[None, :] - both) - 0.5
+        ok &= comp[:, None] != comp[None, :]
+        if (group["lo"] != group["hi"]).any():
+            ok &= part[:, None] != part[None, :]
+        i, j = np.nonzero(np.triu(ok, 1))
+        rep = group["rep"].to_numpy()
+        out = pd.DataFrame({"a": rep[i], "b": rep[j], "c": comp[j]})
+        return out.drop_duplicates(["a", "c"])[["a", "b"]]
+
+    sets = common.saved(texts.join(members.select("rep").distinct(), "rep", "left_semi").mapInPandas(hashed, "rep long, set binary"), "near-sets", batch=500)
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    placed = members.select("key", "rep", "comp", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
+    placed = placed.select("key", "rep", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = placed.select("key", "rep", "comp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    return cells.join(sets, "rep").groupBy("key", "lo", "hi").applyInPandas(compared, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the smallest node that it reaches: smallest labels spread over edges (a, b), then labels of labels."""
     both = common.saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
@@ -136,7 +183,7 @@ def relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, n_links (of the class) and kept of each row."""
+    """doc_id, n_shingles, class_id, component_id and kept of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = common.saved(signed(docs, size), "near-signed", batch=2000)
     by = ["n", "f1", "f2"]
@@ -155,7 +202,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         hopeful = pairs.join(a, "a").join(b, "b").where(near("sa", "sb", ("na", "nb"), percent)).select("a", "b").distinct()
         return common.saved(confirmed(hopeful, texts, size, percent), label, batch=500)
 
-    label, links = None, []
+    label = None
     for r in range(ROUNDS):
         at = members.withColumn("comp", F.col("rep")) if label is None else members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         at = common.saved(at, "near-placed")
@@ -171,36 +218,30 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         found = checked(met, "near-links")
         if found.isEmpty():
             break
-        links.append(found)
         label = relabelled(label, found)
     at = members.withColumn("comp", F.col("rep")) if label is None else members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    at = at.join(sigs, "rep")
-    several = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 != c1 AND m > 2").select("key")
-    rest = common.saved(at.join(several, "key", "left_semi"), "near-rest")
+    several = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 != c1 AND m > 2").select("key", "m")
+    rest = common.saved(at.join(several, "key"), "near-rest")
     if not rest.isEmpty():
-        a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "comp", "n", "sig"))) for x in "ab")
+        few = rest.where(F.col("m") <= SMALL).join(sigs, "rep")
+        a, b = (few.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "comp", "n", "sig"))) for x in "ab")
         apart = a.join(b, "key").where((F.col("comp_a") < F.col("comp_b")) & near("sig_a", "sig_b", ("n_a", "n_b"), percent))
-        found = common.saved(confirmed(apart.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), texts, size, percent), "near-links", batch=500)
+        apart = apart.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+        many = rest.where(F.col("m") > SMALL)
+        found = common.saved(confirmed(apart.union(blockwise(many, texts, size, percent)).distinct(), texts, size, percent), "near-links", batch=500)
         if not found.isEmpty():
-            links.append(found)
             label = relabelled(label, found)
     out = sets.select("doc_id", *by).join(classes.select(*by, "rep"), by, "left")
     if label is None:
-        out = out.withColumns({"comp": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
+        out = out.withColumn("comp", F.lit(None).cast("long"))
     else:
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
-        every = every.distinct()
-        degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-        out = out.join(common.saved(label.withColumnRenamed("node", "rep").join(degree, "rep", "left"), "near-groups"), "rep", "left")
+        out = out.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "rep", "doc_id"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("rep", "doc_id").alias("class_id"),
         component.alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
