@@ -39,7 +39,7 @@ ROUNDS = 5
 LEFT_OVER = 2
 #: Members of a band up to which the last step emits candidate pairs; larger bands are compared in blocks, which emit links only.
 SMALL = 64
-BLOCK = 256
+BLOCK = 512
 SIGNED = "doc_id long, n long, f1 long, f2 long, sig array<long>, bands array<long>"
 
 
