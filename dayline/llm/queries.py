@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayline.llm import bpe_automaton, exact_dedup, language_id, near_dup, quality
+from dayline.llm import bpe_automaton, exact_dedup, language_id, mixing, near_dup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_soft_mixing": mixing.op10_soft_mixing,
     "op8_minhash_near_dedup": near_dup.op8_minhash_near_dedup,
     "op3_language_gru": language_id.op3_language_gru,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
