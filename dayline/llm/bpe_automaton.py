@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from dayline.llm import common
+from dayline.llm import common, presplit
 
 #: Words whose ids a worker remembers.
 MEMORY_WORDS = 700_000
@@ -130,7 +130,6 @@ class Codec:
         size = max([*vocab.values(), *added.values()]) + 1
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.automaton = Automaton({b: vocab[c] for c, b in byte.items() if c in vocab}, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], size)
-        self.words = regex.compile(public_tokenizers.PATTERN)
         self.special = {k: np.uint32(v).tobytes() for k, v in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.memory: dict[str, bytes] = {}
@@ -145,7 +144,7 @@ class Codec:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        words, memory = self.words.findall(text), self.memory
+        words, memory = presplit.words(text), self.memory
         try:
             return b"".join([memory[w] for w in words])
         except KeyError:

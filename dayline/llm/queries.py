@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayline.llm import bpe_automaton, exact_dedup, language_id, mixing, near_dup, quality
+from dayline.llm import bpe_automaton, exact_dedup, language_id, line_dedup, mixing, near_dup, pii, quality, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_repair_shards": repair.op4_repair_shards,
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_pii_boosting": pii.op2_pii_boosting,
     "op10_soft_mixing": mixing.op10_soft_mixing,
     "op8_minhash_near_dedup": near_dup.op8_minhash_near_dedup,
     "op3_language_gru": language_id.op3_language_gru,
