@@ -142,7 +142,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """All columns of docs with the kept lines as text, and ``n_lines``, ``n_removed`` before them as struct ``line_dedup``."""
     gone = deletions(docs)
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), common.row_key().alias("row"))
-    both = keyed.join(gone, keyed["row"].eqNullSafe(gone["row"]), "left").select("d", "gone")
+    both = keyed.join(gone.hint("merge"), keyed["row"].eqNullSafe(gone["row"]), "left").select("d", "gone")
     lines = F.split(F.col("d.text"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(kept)
