@@ -16,6 +16,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,14 @@ from tokenizers import Tokenizer
 from dayline.llm import common, presplit
 
 SHARD_IDS = 1 << 19
-ROUNDS = 6
+ROUNDS = 4
 #: Occurrences from which a pair is worth a rule, and rules in one round at most.
 LEAST, RULES = 24, 2048
 #: Bits of the table that finds a pair's rank.
 SLOTS = 16
 END_ID = 2
-MEMORY_WORDS = 700_000
+#: Words in each of the two generations of a worker's memory.
+MEMORY_WORDS = 250_000
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
@@ -128,6 +130,7 @@ class Words:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -138,10 +141,14 @@ class Words:
         except KeyError:
             pass
         if len(memory) > MEMORY_WORDS:
-            memory.clear()
-        new = list({w for w in words if w not in memory})
+            self.older, self.memory = memory, {}
+            memory = self.memory
+        older = self.older
+        missing = {w for w in words if w not in memory}
+        new = [w for w in missing if w not in older]
+        memory.update((w, older[w]) for w in missing if w in older)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memory[w] = np.array(e.ids, "<u4").tobytes()
+            memory[w] = array("I", e.ids).tobytes()
         return b"".join([memory[w] for w in words])
 
 
