@@ -178,8 +178,8 @@ def default_file() -> str:
 CODES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
         T.StructField("ids", T.BinaryType()),
-        T.StructField("decoded", T.StringType()),
     ]
 )
 DIGESTS = T.StructType(
@@ -193,14 +193,14 @@ DIGESTS = T.StructType(
 
 
 def encoded(docs: DataFrame, file: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) and the text decoded from them."""
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each row."""
     file = file or default_file()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(file)
         for batch in batches:
             ids = [c.encode(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids, "decoded": [c.decode(i) for i in ids]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": [len(i) // 4 for i in ids], "ids": ids})
 
     return docs.select("doc_id", "text").mapInPandas(run, CODES)
 

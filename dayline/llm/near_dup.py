@@ -246,5 +246,12 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that are kept, repeated rows once; all columns stay. Rows with a null doc_id are all kept."""
+    kept = grouped(docs, size, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(common.documents(spark, sf_dir), size=4).select("doc_id", "n_shingles", "component_id", "kept", "class_id")

@@ -160,6 +160,17 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.mapInPandas(run, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier accepts. Each text is read twice, so that no text is shuffled."""
+    model = learned(common.saved(with_statistics(docs), "quality-statistics"), labels)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack([statistics(t) for t in texts])) if len(texts) else [], dtype=float)
+
+    return docs.where(score(F.col("text").cast("string")) >= THRESHOLD)
+
+
 def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scored(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayline.llm import bpe_automaton, exact_dedup, language_id, line_dedup, mixing, near_dup, pii, quality, repair
+from dayline.llm import bpe_automaton, exact_dedup, language_id, line_dedup, mixing, near_dup, nn_descent, pii, quality, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_nn_descent": nn_descent.op5_nn_descent,
     "op4_repair_shards": repair.op4_repair_shards,
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_pii_boosting": pii.op2_pii_boosting,
