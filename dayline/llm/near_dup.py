@@ -35,8 +35,9 @@ WORDS = HASHES // PER_WORD
 #: Candidates whose estimate is lower than the threshold by this much are let go: near six standard deviations at 128 hashes.
 MARGIN = 0.2
 ROUNDS = 5
-#: A round is added while the pairs left for the last step exceed this many times the band members.
-LEFT_OVER = 2
+#: A round is added while the pairs left for the last step exceed this many times the band members,
+#: and while the last round has cut them to this share at least: pivots do not help where they are linked with few.
+LEFT_OVER, WORTH = 2, 0.5
 #: Members of a band up to which the last step emits candidate pairs; larger bands are compared in blocks, which emit links only.
 SMALL = 64
 BLOCK = 512
@@ -202,14 +203,15 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         hopeful = pairs.join(a, "a").join(b, "b").where(near("sa", "sb", ("na", "nb"), percent)).select("a", "b").distinct()
         return common.saved(confirmed(hopeful, texts, size, percent), label, batch=500)
 
-    label = None
+    label, before = None, None
     for r in range(ROUNDS):
         at = members.withColumn("comp", F.col("rep")) if label is None else members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         at = common.saved(at, "near-placed")
-        if r:
-            left = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
-            if (left.agg(F.sum("pairs")).first()[0] or 0) <= LEFT_OVER * members.count():
-                break
+        sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
+        left, all_members = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if r and (left <= LEFT_OVER * all_members or left > WORTH * before):
+            break
+        before = left
         pick = F.struct(F.xxhash64("rep", F.lit(r)), "rep", "comp")
         pivots = common.saved(
             at.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("low"), F.min(pick).alias("some"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1"), "near-pivots"
