@@ -9,7 +9,7 @@ from dayline.plans import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["mean_curve", "observed_pairs_lag6", "lagcov_two_level", "cross_spectra", "cosinor_24h", "morph_bundle", "visit_means"])
+@pytest.mark.parametrize("name", ["mean_curve", "observed_pairs_lag6", "lagcov_two_level", "cross_spectra", "cosinor_24h", "morph_bundle", "visit_means", "shape_total_variance"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "embeddings", "customer"):
@@ -26,6 +26,11 @@ def test_query_equals_its_sql(spark, name):
             assert got[c].tolist() == want[c].tolist()
 
 
+@pytest.mark.parametrize("name", list(queries.UNSTATED))
+def test_query_without_sql_gives_rows(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() > 0
+
+
 def test_quadrature_weights():
     assert quadrature_weights([0, 1, 3, 7, 15]) == [0.5, 1.5, 3, 6, 4]
 
