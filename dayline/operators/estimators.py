@@ -187,3 +187,71 @@ def cosinor(data: CurveSet, harmonics: int = 2, period: float = 24.0, reconstruc
 
     schema = "subject_id string, hour int, curve array<double>" if reconstruct else "subject_id string, fingerprint array<double>"
     return data.observations.select("subject_id", "hour", "curve").groupBy("subject_id").applyInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class HarmonicModel:
+    """Plain shape modes and least-squares harmonics of each subject's centred scores.
+
+    With ``vectors`` coefficients are rotated along the modes of each harmonic's spectrum; with ``powers`` (harmonic, mode)
+    amplitudes are scaled by their roots and laid out mode by mode; with neither they stay as they are.
+    """
+
+    basis: Basis
+    vectors: np.ndarray | None = None
+    powers: np.ndarray | None = None
+    harmonics: int = 2
+    period: float = 24.0
+
+    def _per_subject(self, data: CurveSet, made, schema: str) -> DataFrame:
+        harmonics, period = self.harmonics, self.period
+
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("hour", kind="stable")
+            x = np.stack(rows["xi"].to_numpy())
+            offsets = x.mean(axis=0)
+            design = dense.fourier(rows["hour"].to_numpy(), harmonics, period)
+            b = np.linalg.lstsq(design, x - offsets, rcond=None)[0]
+            out = pd.DataFrame(made(rows["hour"].to_numpy(), offsets, b, design))
+            out.insert(0, "subject_id", key[0])
+            return out
+
+        return data.observations.select("subject_id", "hour", self.basis.scores().alias("xi")).groupBy("subject_id").applyInPandas(run, schema)
+
+    def transform(self, data: CurveSet) -> DataFrame:
+        vectors, powers = self.vectors, self.powers
+
+        def made(hours, offsets, b, design):
+            z = b[0::2] - 1j * b[1::2]  # harmonic, mode
+            if powers is not None:
+                each = np.stack([np.abs(z) * np.sqrt(powers), np.angle(z)], axis=2)
+                return {"fingerprint": [np.concatenate([offsets, each.transpose(1, 0, 2).ravel()])]}
+            if vectors is not None:
+                z = np.stack([u.conj() @ row for u, row in zip(vectors, z, strict=True)])
+            return {"fingerprint": [np.concatenate([offsets, *(p for row in z for p in (np.abs(row), np.angle(row)))])]}
+
+        return self._per_subject(data, made, "subject_id string, fingerprint array<double>")
+
+    def reconstruct(self, data: CurveSet) -> DataFrame:
+        modes, mean = self.basis.modes, self.basis.mean
+
+        def made(hours, offsets, b, design):
+            return {"hour": hours, "curve": list((offsets + design @ b) @ modes + mean)}
+
+        return self._per_subject(data, made, "subject_id string, hour int, curve array<double>")
+
+
+def fit_harmonic(data: CurveSet, kind: str = "least_squares", n_modes: int | str = 3, harmonics: int = 2, shrinkage: float = 0.25, rotate: bool = True, period: float = 24.0) -> HarmonicModel:
+    """kind "least_squares": spectra of all modes, for rotation; "diagonal": a power for each harmonic and mode. Pairs are pooled."""
+    basis = fit_basis(data, n_modes, weighted=False)
+    if kind == "least_squares" and not rotate:
+        return HarmonicModel(basis, harmonics=harmonics, period=period)
+    scores = data.observations.select("subject_id", "hour", F.posexplode(basis.scores()).alias("m", "xi"))
+    lags = spectral.lag_covariance(spectral.centred(scores), pooled=True, diagonal=kind == "diagonal")
+    if kind == "diagonal":
+        powers = np.zeros((harmonics, len(basis.modes)))
+        for x in spectral.shrunk_power(spectral.power_spectra(lags, harmonics), shrinkage).collect():
+            powers[x["r"] - 1, x["m"]] = x["psd"]
+        return HarmonicModel(basis, powers=powers, harmonics=harmonics, period=period)
+    s = spectral.collected_spectra(spectral.shrunk(spectral.cross_spectra(lags, harmonics, symmetric=False), shrinkage), harmonics, len(basis.modes))
+    return HarmonicModel(basis, vectors=np.stack([dense.descending(x)[1] for x in s]), harmonics=harmonics, period=period)

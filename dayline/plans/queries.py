@@ -223,11 +223,23 @@ REGISTERED["shape_total_variance"] = (
     q_variance,
     LONG + ", w AS (SELECT * FROM (VALUES (0, 0.5), (1, 1.0), (2, 1.5), (3, 3.0), (4, 2.0)) t(m, w)) SELECT round(sum(w * v), 4) AS total FROM (SELECT m, var_samp(xi) AS v FROM obs GROUP BY 1) JOIN w USING (m)",
 )
+
+
+def q_harmonic(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = events_set(spark, sf_dir)
+        return estimators.fit_harmonic(data, kind, 3, HARMONICS, SHRINKAGE).transform(data)
+
+    return run
+
+
 #: Iterated or matrix results, which SQL does not give; the tests hold them against dense algebra.
 UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spectral_posteriors": q_spectral("posteriors"),
     "spectral_fingerprint": q_spectral("transform"),
     "spectral_reconstruct": q_spectral("reconstruct"),
+    "least_squares_fingerprint": q_harmonic("least_squares"),
+    "diagonal_fingerprint": q_harmonic("diagonal"),
     "cosinor_fingerprint": q_cosinor_fit(False),
     "cosinor_reconstruct": q_cosinor_fit(True),
 }

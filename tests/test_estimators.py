@@ -59,3 +59,23 @@ def test_cosinor_residuals_are_orthogonal(spark):
     rest = np.array([r[2] for r in mine]) - np.array([at[r[:2]] for r in mine])
     np.testing.assert_allclose(dense.fourier([r[1] for r in mine], 2, intercept=True).T @ rest, 0, atol=1e-8)
     assert all(len(r.fingerprint) == 25 for r in estimators.cosinor(data).collect())
+
+
+def test_harmonic_forms_agree_with_least_squares(spark):
+    data, rows = curves(spark)
+    plain = estimators.fit_harmonic(data, rotate=False)
+    mine = [r for r in rows if r[0] == "s7"]
+    xi = (np.array([r[2] for r in mine]) - plain.basis.mean) @ plain.basis.modes.T
+    b = np.linalg.lstsq(dense.fourier([r[1] for r in mine], 2), xi - xi.mean(0), rcond=None)[0]
+    amp = np.hypot(b[0::2], b[1::2])
+    got = np.array(plain.transform(data).where("subject_id = 's7'").first().fingerprint)
+    np.testing.assert_allclose(got[:3], xi.mean(0), atol=1e-8)
+    np.testing.assert_allclose([got[3:6], got[9:12]], amp, atol=1e-8)
+    rotated = estimators.fit_harmonic(data)
+    turned = np.array(rotated.transform(data).where("subject_id = 's7'").first().fingerprint)
+    np.testing.assert_allclose((turned[3:6] ** 2).sum(), (amp[0] ** 2).sum(), rtol=1e-8)
+    diagonal = estimators.fit_harmonic(data, "diagonal")
+    scaled = np.array(diagonal.transform(data).where("subject_id = 's7'").first().fingerprint)[3:].reshape(3, 2, 2)
+    np.testing.assert_allclose(scaled[:, :, 0].T, amp * np.sqrt(diagonal.powers), atol=1e-8)
+    np.testing.assert_allclose(scaled[:, :, 1].T, np.arctan2(-b[1::2], b[0::2]), atol=1e-8)
+    assert plain.reconstruct(data).count() == len(rows)
