@@ -37,6 +37,8 @@ SLOTS = 16
 END_ID = 2
 #: Words in each of the two generations of a worker's memory.
 MEMORY_WORDS = 250_000
+#: Plain words that the library is given as one text.
+JOINED = 200
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
@@ -147,10 +149,22 @@ class Words:
         missing = {w for w in words if w not in memory}
         new = [w for w in missing if w not in older]
         memory.update((w, older[w]) for w in missing if w in older)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        plain, other = [], []
+        for w in new:
+            (plain if w[0] == " " and w.isascii() and w[1:].isalpha() else other).append(w)
+        for first in range(0, len(plain), JOINED):
+            memory.update(self._together(plain[first : first + JOINED]))
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             memory[w] = array("I", e.ids).tobytes()
         return b"".join([memory[w] for w in words])
 
+    def _together(self, plain: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of a space and ASCII letters, encoded as one text: the library parts them again at the spaces."""
+        e = self.tokenizer.encode("".join(plain), add_special_tokens=False)
+        raw = array("I", e.ids).tobytes()
+        cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(plain) + 1)).tolist()
+        return zip(plain, (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True)
+
 
 _words: dict[str, Words] = {}
 
