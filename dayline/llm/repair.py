@@ -36,9 +36,9 @@ LEAST, RULES = 24, 2048
 SLOTS = 16
 END_ID = 2
 #: Words in each of the two generations of a worker's memory.
-MEMORY_WORDS = 250_000
-#: Plain words that the library is given as one text.
-JOINED = 200
+MEMORY_WORDS = 500_000
+#: Plain words that the library is given as one text, and the last character that counts as plain.
+JOINED, LAST_LATIN = 200, "\u017f"
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
@@ -111,6 +111,22 @@ def expanded(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarra
         seq = out
 
 
+def whole(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_symbol: int) -> np.ndarray:
+    """The same for a whole shard: every rule is expanded once, and symbols are copied from there by their lengths."""
+    table = expanded(first_symbol + np.arange(len(rules)), rules, first_symbol)
+    high = seq >= first_symbol
+    rule = seq[high].astype(np.int64) - first_symbol
+    size = np.ones(len(seq), np.int64)
+    size[high] = long = lengths[rule].astype(np.int64)
+    place = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    out[place[~high]] = seq[~high]
+    within = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    out[np.repeat(place[high], long) + within] = table[np.repeat(starts[rule], long) + within]
+    return out
+
+
 def part(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_symbol: int, start: int, count: int) -> np.ndarray:
     """ids start to start + count of a shard: only the symbols that cover them are expanded."""
     size = np.where(seq < first_symbol, 1, lengths[np.maximum(seq.astype(np.int64) - first_symbol, 0)] if len(lengths) else 1)
@@ -137,29 +153,30 @@ class Words:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, memory = presplit.words(text), self.memory
-        try:
-            return b"".join([memory[w] for w in words])
-        except KeyError:
-            pass
-        if len(memory) > MEMORY_WORDS:
-            self.older, self.memory = memory, {}
-            memory = self.memory
-        older = self.older
-        missing = {w for w in words if w not in memory}
-        new = [w for w in missing if w not in older]
-        memory.update((w, older[w]) for w in missing if w in older)
+        if len(self.memory) > MEMORY_WORDS:
+            self.older, self.memory = self.memory, {}
+        words, memory, older = presplit.words(text), self.memory, self.older
+        codes = list(map(memory.get, words))
+        holes = [i for i, code in enumerate(codes) if code is None]
+        if holes:
+            missing = {words[i] for i in holes}
+            memory.update((w, older[w]) for w in missing if w in older)
+            self._remember([w for w in missing if w not in older])
+            for i in holes:
+                codes[i] = memory[words[i]]
+        return b"".join(codes)
+
+    def _remember(self, new: list[str]) -> None:
         plain, other = [], []
         for w in new:
-            (plain if w[0] == " " and w.isascii() and w[1:].isalpha() else other).append(w)
+            (plain if w[0] == " " and w[1:].isalpha() and max(w) <= LAST_LATIN else other).append(w)
         for first in range(0, len(plain), JOINED):
-            memory.update(self._together(plain[first : first + JOINED]))
+            self.memory.update(self._together(plain[first : first + JOINED]))
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            memory[w] = array("I", e.ids).tobytes()
-        return b"".join([memory[w] for w in words])
+            self.memory[w] = array("I", e.ids).tobytes()
 
     def _together(self, plain: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words of a space and ASCII letters, encoded as one text: the library parts them again at the spaces."""
+        """Words of a space and Latin letters, encoded as one text: the library parts them again at the spaces."""
         e = self.tokenizer.encode("".join(plain), add_special_tokens=False)
         raw = array("I", e.ids).tobytes()
         cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(plain) + 1)).tolist()
@@ -222,7 +239,7 @@ def read(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for s in batch.itertuples(index=False):
                 seq, rules = np.frombuffer(s.sequence, "<u4"), np.frombuffer(s.rules, "<u4").reshape(-1, 2)
-                ids = expanded(seq, rules, s.base)
+                ids = whole(seq, rules, np.frombuffer(s.lengths, "<u4"), s.base)
                 counts = np.array(s.n_tokens, np.int64)
                 starts = np.cumsum(counts) - counts
                 raw = ids.astype("<u4").tobytes()
