@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayline import schema
 from dayline.dataset import CurveSet
 from dayline.functions.curves import curvature, morphology, quadrature_weights
-from dayline.operators import estimators, spectral
+from dayline.operators import autoencoder, estimators, evaluation, spectral, two_level
 from dayline.sources import tables
 
 GRID = "(ln(5) / ln(10) + j * (ln(200) - ln(5)) / ln(10) / 63)"
@@ -233,6 +233,89 @@ def q_harmonic(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def q_two_level(what: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = events_set(spark, sf_dir)
+        return getattr(two_level.fit_two_level(data), what)(data)
+
+    return run
+
+
+def q_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variances of all components within subjects add up to the variance of the residuals."""
+    found = two_level.fit_two_level(events_set(spark, sf_dir), 1.0)
+    return spark.createDataFrame([(float(found.within_variances.sum()),)], "total double").select(F.round("total", 4).alias("total"))
+
+
+def q_autoencoder(what: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = events_set(spark, sf_dir)
+        return getattr(autoencoder.fit_autoencoder(data, steps=STEPS), what)(data)
+
+    return run
+
+
+def q_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("cluster"))
+    return evaluation.adjusted_rand(rows).select(F.round("adjusted_rand", 8).alias("adjusted_rand"))
+
+
+def q_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").cast("double").alias("target"), F.col("l_linenumber").cast("double").alias("prediction"))
+    found = evaluation.regression(rows)
+    return spark.createDataFrame([(k, round(found[k], 6)) for k in ("mse", "mae", "r2", "pearson", "spearman")], "metric string, value double")
+
+
+def q_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves of the embeddings, clustered by their hour's third of the day."""
+    rows = tables.embedding_curves(spark, sf_dir).select(F.concat_ws("/", "subject_id", "hour").alias("subject_id"), F.col("curve").alias("fingerprint"), F.floor(F.col("hour") / 8).cast("int").alias("cluster"))
+    return evaluation.silhouette(rows).select(r6("silhouette").alias("silhouette"))
+
+
+def q_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's event hours beside the first positive order total of the customer with that key."""
+    prints = events_set(spark, sf_dir).subject_sizes().select("subject_id", F.array(F.col("n_hours").cast("double")).alias("fingerprint"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("subject_id"), "o_totalprice", "o_orderkey")
+    return evaluation.matched(prints, orders, "o_totalprice", "o_orderkey").select("subject_id", r6(F.col("fingerprint")[0]).alias("n_hours"), r6("target").alias("target"))
+
+
+STEPS = 20
+REGISTERED |= {
+    "two_level_within_variance": (
+        q_within,
+        LONG + """, v AS (SELECT *, row_number() OVER (PARTITION BY subject_id, m ORDER BY hour) AS visit FROM obs),
+cv AS (SELECT subject_id, m, xi - avg(xi) OVER (PARTITION BY visit, m) AS c FROM v), re AS (SELECT m, c - avg(c) OVER (PARTITION BY subject_id, m) AS e FROM cv)
+SELECT round(sum(s), 4) AS total FROM (SELECT m, var_samp(e) AS s FROM re GROUP BY m)""",
+    ),
+    "adjusted_rand": (
+        q_rand,
+        """WITH t AS (SELECT c_mktsegment AS l, c_nationkey AS c, count(*) AS n FROM customer GROUP BY ALL),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS b, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY l)) AS p,
+(SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY c)) AS q, (SELECT sum(n) * (sum(n) - 1) / 2 FROM t) AS w)
+SELECT round((b - p * q / w) / ((p + q) / 2 - p * q / w), 8) AS adjusted_rand FROM s""",
+    ),
+    "regression_metrics": (
+        q_regression,
+        """WITH x AS (SELECT CAST(l_quantity AS DOUBLE) AS t, CAST(l_linenumber AS DOUBLE) AS p FROM lineitem),
+k AS (SELECT t, p, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2 AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS b FROM x),
+f AS (SELECT avg((t - p) * (t - p)) AS mse, avg(abs(t - p)) AS mae, 1 - avg((t - p) * (t - p)) / var_pop(t) AS r2, corr(t, p) AS pearson, corr(a, b) AS spearman FROM k)
+SELECT metric, round(value, 6) AS value FROM (UNPIVOT f ON mse, mae, r2, pearson, spearman INTO NAME metric VALUE value)""",
+    ),
+    "silhouette": (
+        q_silhouette,
+        """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, (vec_id % 24) // 8 AS c FROM embeddings WHERE (vec_id * 7) % 10 >= 3),
+d AS (SELECT a.vec_id, a.c, b.c AS o, sum(list_distance(a.x, b.x)) AS d, count(*) AS n FROM e a, e b GROUP BY ALL),
+s AS (SELECT vec_id, max(CASE WHEN o = c THEN d / (n - 1) END) AS i, min(CASE WHEN o <> c THEN d / n END) AS x FROM d GROUP BY 1)
+SELECT round(avg((x - i) / greatest(x, i)), 6) AS silhouette FROM s""",
+    ),
+    "target_match": (
+        q_matched,
+        LONG + """, f AS (SELECT CAST(o_custkey AS VARCHAR) AS subject_id, arg_min(o_totalprice, o_orderkey) AS target FROM orders GROUP BY 1),
+h AS (SELECT subject_id, count(*) AS n_hours FROM seen GROUP BY 1)
+SELECT subject_id, CAST(n_hours AS DOUBLE) AS n_hours, round(target, 6) AS target FROM h JOIN f USING (subject_id)""",
+    ),
+}
+
 #: Iterated or matrix results, which SQL does not give; the tests hold them against dense algebra.
 UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spectral_posteriors": q_spectral("posteriors"),
@@ -240,6 +323,10 @@ UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spectral_reconstruct": q_spectral("reconstruct"),
     "least_squares_fingerprint": q_harmonic("least_squares"),
     "diagonal_fingerprint": q_harmonic("diagonal"),
+    "two_level_fingerprint": q_two_level("transform"),
+    "two_level_reconstruct": q_two_level("reconstruct"),
+    "autoencoder_fingerprint": q_autoencoder("transform"),
+    "autoencoder_reconstruct": q_autoencoder("reconstruct"),
     "cosinor_fingerprint": q_cosinor_fit(False),
     "cosinor_reconstruct": q_cosinor_fit(True),
 }

@@ -9,10 +9,10 @@ from dayline.plans import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["mean_curve", "observed_pairs_lag6", "lagcov_two_level", "cross_spectra", "cosinor_24h", "morph_bundle", "visit_means", "shape_total_variance"])
+@pytest.mark.parametrize("name", ["mean_curve", "observed_pairs_lag6", "lagcov_two_level", "cross_spectra", "cosinor_24h", "morph_bundle", "visit_means", "shape_total_variance", "two_level_within_variance", "adjusted_rand", "regression_metrics", "silhouette", "target_match"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "embeddings", "customer"):
+    for t in ("events", "embeddings", "customer", "lineitem", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
