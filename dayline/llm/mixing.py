@@ -1,14 +1,15 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
 A labelled table trains a multinomial classifier over hashed words, so every document, labelled or not, gets
-a posterior over domains. Nonnegative rates, one for each document, are then fitted by projected gradient on
+a posterior over domains. Nonnegative rates, one for each document, are then fitted to the least of
 
     sum over d of (expected tokens of d under the rates / all tokens - target of d)^2 / 2  +  RIDGE / 2 * mean of (rate - 1)^2,
 
 where a document's expected tokens of a domain are rate x tokens x posterior, and the mean weighs documents by
-their tokens. One step needs the expected totals only: a grouped aggregate of a few numbers over a narrow table. A
-document's rate is a fold over the residuals of all steps so far, so no step writes the rates and the plan stays
-as long as the table is wide. Steps end when the totals stand still.
+their tokens. At the least value a document's rate is max(0, 1 - posterior . u), where u, one pull for each domain, is the
+residual of the domain over RIDGE. So u is all that is fitted, by Newton steps on the convex dual problem: a step takes
+one grouped aggregate over a narrow table, of the expected totals and of products of posteriors. Steps end when the
+gradient is small beside each domain's own target or share, however rare the domain.
 
 Words enter training and prediction as hash buckets: a bounded table of weights, joined as a broadcast (BUCKETS x domains
 numbers). Log-likelihoods are tempered by length, so that posteriors of long texts stay soft.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,12 @@ LABELLED = 20_000
 #: Words at which the log-likelihood counts half.
 SOFT_WORDS = 30.0
 RIDGE = 0.001
-STEP = 1.5
-STEPS = 40
-STILL = 1e-4
+#: Newton steps end once the gradient of each domain is under this part of its target or share, whichever is more.
+NEAR = 1e-6
+#: Steps before the fit counts as failed, which is an error.
+STEPS = 200
+#: Posteriors under this are left out of the products that steer the steps; the totals that decide their end have all.
+SLIGHT = 1e-6
 #: Exponent on the observed shares in the production target: below 1 it lifts rare domains.
 FLATTEN = 0.7
 SPAN = 1 << 40
@@ -99,24 +104,34 @@ def membership(docs: DataFrame, model: Membership) -> DataFrame:
     return powers.select("doc_id", "h", "tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
-def rate(residuals: list[list[float]]) -> Column:
-    """The rate after all steps, from the column p: a fold over their residuals, projected onto nonnegative numbers each time."""
-    if not residuals:
+def rate(pulls: np.ndarray) -> Column:
+    """The rate under the pulls of the domains, from the column p."""
+    if not len(pulls):
         return F.lit(1.0)
-    steps = F.array(*(F.array(*map(F.lit, g)) for g in residuals))
+    products = F.zip_with("p", F.lit([float(u) for u in pulls]), lambda x, u: x * u)
+    return F.greatest(F.lit(0.0), 1.0 - F.aggregate(products, F.lit(0.0), lambda a, x: a + x))
 
-    def step(at: Column, g: Column) -> Column:
-        pull = sum((F.col("p")[i] * g[i] for i in range(1, len(residuals[0]))), F.col("p")[0] * g[0])
-        return F.greatest(F.lit(0.0), at - STEP * (pull + RIDGE * (at - 1.0)))
 
-    return F.aggregate(steps, F.lit(1.0), step)
+def totals(members: DataFrame, k: int, pulls: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Half the squared rates, the expected tokens of each domain, and the products of posteriors of documents with a rate, all weighed by tokens."""
+    one = F.lit(-1)
 
+    def cell(i: Column, j: Column, x: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), (F.col("tokens") * x).alias("x"))
 
-def expected(members: DataFrame, k: int, residuals: list[list[float]]) -> list[float]:
-    """Tokens of each domain under the rates so far."""
-    rated = members.select("tokens", "p", rate(residuals).alias("r"))
-    row = rated.agg(*(F.coalesce(F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(k))).first()
-    return [float(x) for x in row]
+    large = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda a: (a["x"] > SLIGHT) & (F.col("r") > 0))
+    products = F.flatten(F.transform("large", lambda a: F.transform(F.filter("large", lambda b: b["i"] >= a["i"]), lambda b: cell(a["i"], b["i"], a["x"] * b["x"]))))
+    cells = F.concat(F.array(cell(one, one, F.col("r") * F.col("r") / 2)), F.transform("p", lambda x, i: cell(i, one, F.col("r") * x)), products)
+    rows = members.select("tokens", "p", rate(pulls).alias("r")).withColumn("large", large).select(F.inline(cells)).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    half, sums, gram = 0.0, np.zeros(k), np.zeros((k, k))
+    for i, j, x in rows:
+        if i < 0:
+            half = x
+        elif j < 0:
+            sums[i] = x
+        else:
+            gram[i, j] = gram[j, i] = x
+    return half, sums, gram
 
 
 def lifted(shares: list[float]) -> list[float]:
@@ -128,22 +143,37 @@ def lifted(shares: list[float]) -> list[float]:
     return [grow * f for f in flat]
 
 
-def fitted(members: DataFrame, model: Membership, targets: dict[str, float] | None) -> list[list[float]]:
-    """The residuals of the steps of projected gradient. targets: of each domain, tokens as a share of all tokens present."""
+def fitted(members: DataFrame, model: Membership, targets: dict[str, float] | None) -> np.ndarray:
+    """The pull of each domain. targets: of each domain, tokens as a share of all tokens present."""
     k = len(model.domains)
-    now = expected(members, k, []) if k else []
-    total = sum(now)
+    pulls = np.zeros(k)
+    if not k:
+        return pulls
+    half, sums, gram = totals(members, k, pulls)
+    total = sums.sum()
     if not total:
-        return []
-    shares = [x / total for x in now]
-    goal = lifted(shares) if targets is None else [targets.get(d, 0.0) for d in model.domains]
-    residuals: list[list[float]] = []
+        return pulls
+    shares = sums / total
+    goal = np.array(lifted(shares.tolist()) if targets is None else [targets.get(d, 0.0) for d in model.domains])
+    scale = np.maximum(np.maximum(goal, shares), 1e-12)
+
+    def dual(u: np.ndarray, half: float) -> float:
+        return RIDGE / 2 * u @ u + goal @ u + half / total
+
     for _ in range(STEPS):
-        residuals.append([s - g for s, g in zip(shares, goal, strict=True)])
-        before, shares = shares, [x / total for x in expected(members, k, residuals)]
-        if max(abs(a - b) for a, b in zip(before, shares, strict=True)) < STILL:
-            break
-    return residuals
+        slope = RIDGE * pulls + goal - sums / total
+        if (np.abs(slope) <= NEAR * scale).all():
+            return pulls
+        step = -np.linalg.solve(gram / total + RIDGE * np.eye(k), slope)
+        now, part = dual(pulls, half), 1.0
+        while True:
+            after = pulls + part * step
+            half, sums, gram = totals(members, k, after)
+            if dual(after, half) <= now + 1e-4 * part * (slope @ step) + 1e-13 * abs(now) or part < 1e-6:
+                break
+            part /= 2
+        pulls = after
+    raise RuntimeError(f"the rates of {k} domains did not reach their least value in {STEPS} steps")
 
 
 def rated(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
@@ -153,11 +183,11 @@ def rated(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None
     """
     model = learned(docs, label)
     members = common.saved(membership(docs, model), "mixing-members")
-    residuals = fitted(members, model, targets)
+    pulls = fitted(members, model, targets)
     draw = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SPAN)) / float(SPAN)
     best = F.array_max("p")
     names = F.array(*map(F.lit, model.domains)).cast("array<string>")
-    out = members.withColumn("rate", rate(residuals))
+    out = members.withColumn("rate", rate(pulls))
     return out.select("doc_id", "h", "tokens", F.get(names, (F.array_position("p", best) - 1).cast("int")).alias("domain"), best.alias("posterior"), "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
 
 

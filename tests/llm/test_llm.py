@@ -117,6 +117,17 @@ def test_mixing_meets_targets(spark, none):
     assert mixing.rated(none).count() == 0
 
 
+def test_mixing_reaches_the_least_value_for_a_rare_domain(spark):
+    names = ["a"] * 600 + ["b"] * 300 + ["c"] * 95 + ["d"] * 5
+    docs = spark.createDataFrame([(i, " ".join(f"{d}{j}" for j in range(300)), d) for i, d in enumerate(names)], "doc_id long, text string, lang string")
+    shares, goal = np.array([0.6, 0.3, 0.095, 0.005]), np.array([0.55, 0.33, 0.1, 0.021])
+    r = mixing.rated(docs, targets=dict(zip("abcd", goal.tolist(), strict=True))).toPandas()
+    found = r.groupby("domain").rate.mean().reindex(list("abcd")).to_numpy()
+    np.testing.assert_allclose(found, (goal + mixing.RIDGE) / (shares + mixing.RIDGE), rtol=0.01)
+    none_of_a = mixing.rated(docs, targets={"b": 0.3, "c": 0.095, "d": 0.005}).toPandas().groupby("domain").rate.mean()
+    assert none_of_a["a"] < 0.01 and abs(none_of_a["b"] - 1) < 0.01
+
+
 def test_nearest_with_ties_and_bad_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
