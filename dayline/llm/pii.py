@@ -2,11 +2,14 @@
 
 High-recall generators propose spans that may overlap: the four base patterns, and looser forms of each kind
 (spelled-out mail addresses, colon-separated addresses, short or badly checked card numbers, phone numbers without a plus). A
-candidate carries a few small integers on its format and context. Candidates are counted by these integers over all
-documents, a table of at most some ten thousand rows, and boosted trees are fitted to the counts: base matches
-that pass their checks are positive, all else is unlabelled and weighs less. The trees become one SQL expression;
-each kind's threshold is calibrated on the scores of its passing base matches. Base spans always stay; other candidates are
-selected if they reach the threshold and touch no base span.
+candidate carries a few small integers on its format, and evidence that these do not show: a valid number and a word before it
+that speaks for its kind, a common last label of an address, or for cards the checksum. Candidates that touch a base span without being one are left out. The rest
+are counted by their integers over all documents, a table of at most some ten thousand rows, and boosted trees are fitted to the counts:
+candidates with evidence are positive, all else is unlabelled and weighs less. The trees become one SQL expression.
+Evidence is seen on a part of the true spans only, a part that passing base matches show; so the share with evidence among
+looser candidates over a score, over that part, estimates how many of them are true, and each kind's threshold is
+the lowest score down to which it is at least PRECISE. Base spans always stay; other candidates with a valid number are selected if they reach
+the threshold.
 
 Positions come from pairing each match with the text before it. Every pattern here consists of plain runs, so that no
 text, however long, makes the matcher recurse or start over inside a run; a marker character stands for separators that lie between two digits
@@ -43,11 +46,15 @@ CUES = {
     "card": "card|visa|credit|pay",
     "phone": "phone|call|tel|fax|mobile",
 }
-FEATURES = ("kind", "digits", "sign", "groups", "checked", "cue", "glued_left", "glued_right", "span")
+FEATURES = ("kind", "digits", "sign", "groups", "loose", "glued_left", "glued_right", "span")
 #: Weight of unlabelled candidates; trees; learning rate.
 UNLABELLED, TREES, RATE = 0.5, 24, 0.3
-#: Share of passing base matches of a kind whose score lies under its threshold.
-MISSED = 0.02
+#: Estimated share of true spans among the looser candidates of a kind that are selected, at least.
+PRECISE = 0.8
+#: Share of true spans taken to have evidence, at least: less could be words that stand there by chance.
+LEAST_SHOWN = 0.1
+#: Last labels of an address that count as evidence.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|example|test"
 SPAN = "struct<m:string,start:int,end:int,before:string,after:string>"
 #: Matches in one fold: appending to an array copies it, so long lists are folded in blocks.
 FOLD = 128
@@ -128,23 +135,26 @@ def described(kind: int, base: bool, spans: Column) -> Column:
         m = s["m"]
         digits = F.length(F.regexp_replace(m, "[^0-9]+", ""))
         ok = checked(name, m) if base or name != "ip" else F.lit(True)
+        bare = F.regexp_replace(m, "[^0-9]+", "")
+        valid = F.length(bare).between(13, 19) & luhn(bare) if name == "card" else ok
+        ends = F.lower(m).rlike(rf"[^a-z0-9-](?:{ENDINGS})$") if name == "email" else F.lit(False)
+        cue = F.lower(s["before"]).rlike(rf"\b(?:{CUES[name]})")
         features = (
             F.lit(kind),
             bucketed(digits, (1, 8, 10, 11, 13, 16, 17, 20)),
             m.rlike("^[+]|@").cast("int"),
             F.least(F.size(F.split(m, r"[^0-9A-Za-z]+")), F.lit(6)),
-            ok.cast("int"),
-            F.lower(s["before"]).rlike(rf"\b(?:{CUES[name]})").cast("int"),
+            F.lit(int(not base)),
             s["before"].rlike(r"[\p{L}\p{N}]$").cast("int"),
             s["after"].rlike(r"[\p{L}\p{N}]").cast("int"),
             bucketed(F.length(m), (8, 12, 16, 20, 28)),
         )
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(base) & ok).alias("base"), F.array(*(f.cast("int") for f in features)).alias("f"))
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(base) & ok).alias("base"), valid.alias("valid"), (valid if name == "card" else valid & (cue | ends)).alias("seen"), F.array(*(f.cast("int") for f in features)).alias("f"))
 
     return F.transform(spans, one)
 
 
-CANDIDATE = "array<struct<kind:int,start:int,end:int,base:boolean,f:array<int>>>"
+CANDIDATE = "array<struct<kind:int,start:int,end:int,base:boolean,valid:boolean,seen:boolean,f:array<int>>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -170,7 +180,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     found = F.when(text.rlike(r"[0-9@:(\[]"), F.concat(*parts)).otherwise(none)
     long_enough = F.filter(found, lambda c: c["base"] | (c["kind"] != 2) | (c["f"][1] >= 5))
-    return plain.select("doc_id", long_enough.alias("found"))
+    both = plain.select("doc_id", long_enough.alias("found")).withColumn("base", F.filter("found", lambda c: c["base"]))
+
+    def apart(c: Column) -> Column:
+        return c["base"] | ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    return both.select("doc_id", F.when(F.size("found") > F.size("base"), F.filter("found", apart)).otherwise(F.col("found")).alias("found"))
 
 
 class Boosted:
@@ -237,22 +252,26 @@ class Boosted:
 def trained(found: DataFrame) -> tuple[Boosted, list[float]]:
     """The trees and each kind's threshold, from the candidates of all documents, counted by their features."""
     each = found.where(F.size("found") > 0).select(F.explode("found").alias("c"))
-    rows = each.groupBy("c.f").agg(F.sum(F.col("c.base").cast("long")).alias("base"), F.count(F.lit(1)).alias("n")).orderBy("f").collect()
+    base, seen = F.col("c.base").cast("long"), F.col("c.seen").cast("long")
+    rows = each.groupBy("c.f").agg(F.count(F.lit(1)).alias("n"), F.sum(seen).alias("seen"), F.sum(base).alias("base"), F.sum(base * seen).alias("base_seen")).orderBy("f").collect()
     x = np.array([r["f"] for r in rows], dtype=int).reshape(len(rows), len(FEATURES))
-    positive = np.array([r["base"] for r in rows], float)
-    other = np.array([r["n"] for r in rows], float) - positive
-    model = Boosted(x, positive, other)
+    n, seen, base, base_seen = np.array([r[1:] for r in rows], float).reshape(len(rows), 4).T
+    model = Boosted(x, seen, n - seen)
     margin = model.margins(x)
-    thresholds = []
-    for kind in range(len(KINDS)):
-        at = np.flatnonzero((x[:, 0] == kind) & (positive > 0))
-        if not len(at):
-            thresholds.append(float("inf"))
-            continue
-        at = at[np.argsort(margin[at], kind="stable")]
-        under = np.cumsum(positive[at]) / positive[at].sum()
-        thresholds.append(float(max(margin[at][np.searchsorted(under, MISSED, side="right").clip(max=len(at) - 1)], 0.0)))
-    return model, thresholds
+    return model, [threshold(*(v[x[:, 0] == kind] for v in (margin, n - base, seen - base_seen, base, base_seen))) for kind in range(len(KINDS))]
+
+
+def threshold(margin: np.ndarray, loose: np.ndarray, loose_seen: np.ndarray, base: np.ndarray, base_seen: np.ndarray) -> float:
+    """The lowest score of one kind down to which looser candidates are true at the rate PRECISE, by evidence; infinite where none is."""
+    # of true spans, those with evidence; where base matches never have it, all are asked for it
+    shown = max(base_seen.sum() / base.sum(), LEAST_SHOWN) if base_seen.sum() else 1.0
+    scores = np.unique(margin[loose > 0])
+    for score in scores:
+        over = margin >= score
+        hits = loose_seen[over].sum()
+        if hits and hits >= PRECISE * shown * loose[over].sum():
+            return float(score)
+    return float("inf")
 
 
 def spelled(spans: Column) -> Column:
@@ -270,8 +289,7 @@ def detected(docs: DataFrame) -> DataFrame:
     rows = found.select("doc_id", base.alias("base"), "found")
 
     def added(c: Column) -> Column:
-        apart = ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return ~c["base"] & (model.expression(c["f"]) >= F.element_at(limits, c["kind"] + 1)) & apart
+        return ~c["base"] & c["valid"] & (model.expression(c["f"]) >= F.element_at(limits, c["kind"] + 1) - 1e-9)
 
     return rows.select("doc_id", "base", F.when(F.size("found") > F.size("base"), F.filter("found", added)).otherwise(F.array().cast(CANDIDATE)).alias("more"))
 
