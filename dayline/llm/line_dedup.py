@@ -1,11 +1,15 @@
-"""Line dedup by pairwise alignment: shared rare line hashes find overlapping documents, patience diff aligns them.
+"""Line dedup by pairwise alignment: shared windows of lines find overlapping documents, patience diff aligns them.
 
-A document is the sequence of its line hashes. Each hash that several documents hold, of a line with at least
-``ANCHOR_WORDS`` words, has an owner, the earliest of them. A later document is aligned with the owners of its lines: so a line
-that a third of all rows share makes one pair for each of them with its owner, never all pairs. The rarest lines lead: when
-several lines of a document have the same owner they make one pair, and the pair notes the rarest. Alignment is patience diff:
+A document is the sequence of its line hashes. A window is the shortest run of lines, from a line with words on or up to one,
+that has ``BLOCK_WORDS`` words; every line with words of a block of that size lies in a window inside the block. Each window that several
+documents hold has an owner, the earliest of them, and a later document is paired with the owners of its windows: so every block that it shares with any
+earlier document is found, and a window that a third of all rows share makes one pair for each of them with its owner, never all pairs.
+Alignment of a pair is patience diff:
 lines that occur once in both documents, kept where a longest increasing run orders them alike, then grown up and
-down over equal neighbours. An aligned common block of at least ``BLOCK_WORDS`` words is deleted from the later document.
+down over equal neighbours. An aligned common block of at least ``BLOCK_WORDS`` words is deleted from the later document, and so are
+windows that both hold in another order, or without a line that occurs once.
+
+Words are runs without white space; a character of a script written without spaces is a word of its own.
 
 Deletions do not hang on each other: a line is deleted if the documents as they came align on it. The earliest
 document of a line never loses it.
@@ -27,8 +31,9 @@ from pyspark.sql import functions as F
 
 from dayline.llm import common
 
-ANCHOR_WORDS = 5
 BLOCK_WORDS = 20
+#: Scripts written without spaces.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
 def lines_of(text: str = "text") -> Column:
@@ -36,7 +41,7 @@ def lines_of(text: str = "text") -> Column:
 
 
 def word_count(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, rf"[{common.SPACE_CLASS}]+"), lambda w: w != ""))
+    return F.regexp_count(line, F.lit(rf"[{UNSPACED}]|[^{common.SPACE_CLASS}{UNSPACED}]++"))
 
 
 def outlined(docs: DataFrame) -> DataFrame:
@@ -46,13 +51,40 @@ def outlined(docs: DataFrame) -> DataFrame:
     return lines.select("row", hashes.alias("h"), F.transform("lines", word_count).alias("w"))
 
 
+def windows(hashes: list[int], words: list[int]) -> dict[tuple[int, int], int]:
+    """First and last line of each window, and the hash of its line hashes. A window has at most BLOCK_WORDS lines with words."""
+    at = [i for i, n in enumerate(words) if n]
+    spans = set()
+    low = total = 0
+    for high, last in enumerate(at):
+        total += words[last]
+        fit = -1
+        while total >= BLOCK_WORDS:  # at[low] to at[high]: the shortest run from at[low] on
+            spans.add((at[low], last))
+            fit = low
+            total -= words[at[low]]
+            low += 1
+        if fit < 0 and low and total + words[at[low - 1]] >= BLOCK_WORDS:
+            fit = low - 1
+        if fit >= 0:  # the shortest run up to this line
+            spans.add((at[fit], last))
+    return {(i, j): hash(tuple(hashes[i : j + 1])) for i, j in spans}
+
+
 def overlapping(outline: DataFrame) -> DataFrame:
-    """Pairs (first, later) of rows: later holds an anchor line that first owns."""
-    each = outline.select("row", F.explode(F.array_distinct(F.arrays_zip("h", "w"))).alias("x"))
-    anchors = each.where(F.col("x.w") >= ANCHOR_WORDS).select("row", F.col("x.h").alias("line"))
-    owners = anchors.groupBy("line").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count(F.lit(1)).alias("held"))
-    owners = common.saved(owners.where("first != last").select("line", "first", "held"), "lines-owners")
-    pairs = anchors.join(owners, "line").where("row != first").groupBy("first", F.col("row").alias("later")).agg(F.min("held").alias("rarest"))
+    """Pairs (first, later) of rows: later holds a window that first owns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = [sorted(set(windows(h.tolist(), w.tolist()).values())) for h, w in zip(batch["h"], batch["w"], strict=True)]
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "held": held})
+            yield out[out["held"].map(len) > 0]
+
+    flat = outline.select("row.doc_id", F.col("row.h").alias("th"), "h", "w").mapInPandas(run, "doc_id long, th long, held array<long>")
+    anchors = common.saved(flat.select(F.struct("doc_id", F.col("th").alias("h")).alias("row"), F.explode("held").alias("window")), "lines-windows")
+    owners = anchors.groupBy("window").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    owners = common.saved(owners.where("first != last").select("window", "first"), "lines-owners")
+    pairs = anchors.join(owners, "window").where("row != first").select("first", F.col("row").alias("later")).distinct()
     return common.saved(pairs, "lines-pairs")
 
 
@@ -104,7 +136,7 @@ def _once(seq: list[int]) -> dict[int, int]:
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int]) -> list[int]:
-    """Lines of b in aligned blocks (runs without a gap in either document) of at least BLOCK_WORDS words of b."""
+    """Lines of b in aligned blocks (runs without a gap in either document) of at least BLOCK_WORDS words of b, or in windows that a holds."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -115,7 +147,13 @@ def common_blocks(a: list[int], b: list[int], words: list[int]) -> list[int]:
             block = []
         block.append(j)
         last = (i, j)
-    return out
+    gone = set(out)
+    left = {s: h for s, h in windows(b, words).items() if not gone.issuperset(range(s[0], s[1] + 1))}
+    if left:
+        known = dict(zip(b, words, strict=True))
+        held = set(windows(a, [known.get(x, BLOCK_WORDS) for x in a]).values())  # equal lines have equal words; others are in no common window
+        gone.update(k for (i, j), h in left.items() if h in held for k in range(i, j + 1))
+    return sorted(gone)
 
 
 def deletions(docs: DataFrame) -> DataFrame:
@@ -125,7 +163,7 @@ def deletions(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gone = [common_blocks(list(a), list(b), list(w)) for a, b, w in zip(batch["ha"], batch["hb"], batch["w"], strict=True)]
+            gone = [common_blocks(a.tolist(), b.tolist(), w.tolist()) for a, b, w in zip(batch["ha"], batch["hb"], batch["w"], strict=True)]
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "gone": gone})
             yield out[out["gone"].map(len) > 0]
 

@@ -101,6 +101,25 @@ def test_line_dedup(spark, none):
     assert line_dedup.aligned([1, 2, 3, 9], [7, 1, 2, 3]) == [(0, 1), (1, 2), (2, 3)]
 
 
+def test_line_dedup_finds_every_block(spark):
+    """Against all pairs by brute force: lines owned apart, short lines, repeated and moved blocks, a script without spaces."""
+    rng = np.random.default_rng(5)
+    pool = [" ".join(f"w{k}x{j}" for j in range(n)) for k, n in enumerate(rng.choice([1, 3, 8, 12, 25], 14))] + ["", "天地玄黄宇宙洪荒日月"]
+    texts = [[pool[0 + k] for k in rng.integers(0, len(pool), rng.integers(1, 14))] for _ in range(60)]
+    texts += [["天地玄黄宇宙洪荒日月辰宿列张寒来暑往秋收冬藏"], ["alone", "天地玄黄宇宙洪荒日月辰宿列张寒来暑往秋收冬藏"]]
+    size = [[sum(len(x) if x[0] > "z" else 1 for x in line.split()) for line in t] for t in texts]
+    rows = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: set(r.gone) for r in line_dedup.deletions(rows).select("row.doc_id", "gone").collect()}
+    for b, text in enumerate(texts):
+        want = set()
+        for i in range(len(text)):
+            for j in range(i, len(text)):
+                run = text[i : j + 1]
+                if sum(size[b][i : j + 1]) >= line_dedup.BLOCK_WORDS and any(run == t[k : k + len(run)] for t in texts[:b] for k in range(len(t))):
+                    want.update(range(i, j + 1))
+        assert {k for k in want if size[b][k]} == {k for k in got.get(b, ()) if size[b][k]}, b
+
+
 def test_quality(spark, docs, none):
     assert quality.scored(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
     rows = quality.scored(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()
