@@ -2,7 +2,7 @@
 
 Rows are dealt to shards by ranges of doc_id. A task turns its documents, in order, into ids and closes a shard at
 about ``SHARD_IDS`` ids. In a shard, pairs of neighbouring symbols that occur often are replaced by new symbols, the most
-frequent first, round after round; a pair is replaced wherever its left occurrences do not overlap, and pairs in one round share no
+frequent first, round after round, until no rule would save space; a pair is replaced wherever its left occurrences do not overlap, and pairs in one round share no
 symbol place. A shard is one row of a Parquet table: rules (left, right and expansion length of each new symbol), the
 compressed sequence, and the doc_ids and token counts of its documents. A document is decoded alone by the
 running expansion lengths of the sequence and its own place in them.
@@ -29,9 +29,8 @@ from tokenizers import Tokenizer
 from dayline.llm import common, presplit
 
 SHARD_IDS = 1 << 19
-ROUNDS = 4
-#: Occurrences from which a pair is worth a rule, and rules in one round at most.
-LEAST, RULES = 24, 2048
+#: Occurrences from which a rule saves space: each saves one id, and a rule is two symbols and a length.
+LEAST = 4
 #: Bits of the table that finds a pair's rank.
 SLOTS = 16
 END_ID = 2
@@ -50,17 +49,16 @@ def repaired(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
     seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
+    barred = np.zeros(0, np.int64)  # pairs of equal symbols that occur too seldom without overlap
+    while len(seq) >= 2 * LEAST:
         pair = (seq[:-1] << 32) | seq[1:]
         ordered = np.sort(pair)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         times = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(times >= LEAST)
+        often = np.flatnonzero((times >= LEAST) & ~np.isin(ordered[edge], barred))
         if not len(often):
             break
-        often = often[np.lexsort((ordered[edge[often]], -times[often]))][:RULES]
+        often = often[np.lexsort((ordered[edge[often]], -times[often]))]
         keys = ordered[edge[often]]  # most frequent first
         slot = np.full(1 << SLOTS, len(keys), np.int64)
         slot[_slot(keys)[::-1]] = np.arange(len(keys))[::-1]  # where two share a slot the better ranked has it; the other waits
@@ -68,13 +66,16 @@ def repaired(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
         hit = np.flatnonzero(np.append(keys, -1)[rank] == pair)
         rank = rank[hit]
         # of two overlapping occurrences the better ranked stays, of equal ones the left
-        best = np.full(len(seq) + 2, RULES, np.int16)
+        best = np.full(len(seq) + 2, len(keys), np.int32)
         best[1:][hit] = rank
         at, left, right = best[1:-1], best[:-2], best[2:]
-        chosen = np.flatnonzero((at < RULES) & (at < left) & (at <= right))
+        chosen = np.flatnonzero((at < len(keys)) & (at < left) & (at <= right))
         chosen = chosen[np.append(True, np.diff(chosen) > 1)] if len(chosen) else chosen
-        if not len(chosen):
-            break
+        enough = np.bincount(at[chosen], minlength=len(keys)) >= LEAST
+        if not enough.any():
+            barred = np.append(barred, keys[0])  # of the most frequent pair all occurrences are chosen but overlapping ones
+            continue
+        chosen, barred = chosen[enough[at[chosen]]], barred[:0]
         used, new = np.unique(at[chosen], return_inverse=True)
         rules.append(np.stack([keys[used] >> 32, keys[used] & 0xFFFFFFFF], axis=1))
         seq[chosen] = first_symbol + made + new

@@ -72,6 +72,18 @@ def test_repair_round_trip(docs, none):
     assert repair.read(repair.written(none, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_repair_runs_until_no_rule_saves():
+    rng = np.random.default_rng(3)
+    text, runs = rng.integers(0, 5000, 3000), np.repeat(rng.integers(0, 9, 400), 3)
+    x = np.concatenate([np.tile(text, 64), rng.integers(0, 5000, 20000), runs, np.full(7, 3)]).astype(np.uint32)
+    seq, rules = repair.repaired(x, 5000)
+    assert (repair.expanded(seq, rules, 5000) == x).all()
+    assert (repair.whole(seq, rules, repair.expansion_lengths(rules, 5000), 5000) == x).all()
+    pairs, times = np.unique(np.stack([seq[:-1], seq[1:]], axis=1), axis=0, return_counts=True)
+    assert times[pairs[:, 0] != pairs[:, 1]].max() < 4
+    assert len(seq) + 2 * len(rules) < 32000
+
+
 def test_personal_data(docs, none):
     by = {r.doc_id: r.s for r in pii.detected(docs).select("doc_id", pii.spelled(F.col("base")).alias("s")).collect()}
     assert by[8] == "email:5:14,ip:18:26,card:33:52,phone:59:76"
