@@ -2,15 +2,14 @@
 
 Rows are dealt to shards by ranges of doc_id. A task turns its documents, in order, into ids and closes a shard at
 about ``SHARD_IDS`` ids. In a shard, pairs of neighbouring symbols that occur often are replaced by new symbols, the most
-frequent first, round after round, until no rule would save space; a pair is replaced wherever its left occurrences do not overlap, and pairs in one round share no
-symbol place. A shard is one row of a Parquet table: rules (left, right and expansion length of each new symbol), the
+frequent first, round after round, until no rule would save space; overlapping occurrences go to the more frequent pair. A shard is one row of a Parquet table: rules (left, right and expansion length of each new symbol), the
 compressed sequence, and the doc_ids and token counts of its documents. A document is decoded alone by the
 running expansion lengths of the sequence and its own place in them.
 
-The shards' totals, one small row each, give the number of ids before each shard.
+A shard knows the ids before it in its partition; the partitions' totals, one small row each, give the ids before a partition.
 
 Defined results: a null text is the empty text and has the end id only; a null doc_id comes first; rows with one doc_id come in
-the order of their text hash; repeated rows are encoded each; an empty table gives no shard and an empty result; further
+the order of their text hash; repeated rows are encoded each and may lie in several partitions; an empty table gives no shard and an empty result; further
 columns are ignored.
 """
 
@@ -31,8 +30,6 @@ from dayline.llm import common, presplit
 SHARD_IDS = 1 << 19
 #: Occurrences from which a rule saves space: each saves one id, and a rule is two symbols and a length.
 LEAST = 4
-#: Bits of the table that finds a pair's rank.
-SLOTS = 16
 END_ID = 2
 #: Words in each of the two generations of a worker's memory.
 MEMORY_WORDS = 500_000
@@ -40,51 +37,71 @@ MEMORY_WORDS = 500_000
 JOINED, LAST_LATIN = 200, "\u017f"
 
 
-def _slot(pair: np.ndarray) -> np.ndarray:
-    return ((pair * 0x2545F4914F6CDD1D) >> 40) & ((1 << SLOTS) - 1)
-
-
 def repaired(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
-    """The compressed sequence and the rules (rows of two symbols); rule k defines symbol first_symbol + k."""
+    """The compressed sequence and the rules (rows of two symbols); rule k defines symbol first_symbol + k.
+
+    Places are a linked list, and each keeps the rank of the pair that starts there. Only places next to a replacement are counted
+    anew: a pair of older symbols never becomes more frequent, so a place whose pair is too rare is never looked at again.
+    """
+    n = len(ids)
     seq = ids.astype(np.int64)
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
+    pair = np.full(n + 1, -1, np.int32)  # rank of the pair from a place; -1 where no rule can come from it
+    keys = np.zeros(0, np.int64)
+    none = np.iinfo(np.int32).max
+    best = np.full(n + 2, none, np.int32)
+    touched = np.zeros(n + 1, bool)
     rules: list[np.ndarray] = []
-    made = 0
-    barred = np.zeros(0, np.int64)  # pairs of equal symbols that occur too seldom without overlap
-    while len(seq) >= 2 * LEAST:
-        pair = (seq[:-1] << 32) | seq[1:]
-        ordered = np.sort(pair)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        times = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero((times >= LEAST) & ~np.isin(ordered[edge], barred))
-        if not len(often):
+    made, fresh = 0, np.arange(max(n - 1, 0))
+    while True:
+        if len(fresh):
+            key = (seq[fresh] << 32) | seq[after[fresh]]
+            order = np.argsort(key)
+            edge = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+            times = np.diff(np.append(edge, len(key)))
+            number = np.where(times >= LEAST, np.cumsum(times >= LEAST) - 1 + len(keys), -1).astype(np.int32)
+            pair[fresh[order]] = np.repeat(number, times)
+            keys = np.concatenate([keys, key[order[edge[times >= LEAST]]]])
+        at = np.flatnonzero(pair[:n] >= 0)
+        p = pair[at]
+        free = np.ones(len(at), bool)  # of a run of one pair with itself, every second place
+        twin = np.flatnonzero((after[at[:-1]] == at[1:]) & (p[:-1] == p[1:])) + 1
+        if len(twin):
+            start = np.arange(len(at))
+            start[twin] = 0
+            free = (np.arange(len(at)) - np.maximum.accumulate(start)) % 2 == 0
+        times = np.bincount(p[free], minlength=len(keys))
+        often = np.flatnonzero(times >= LEAST)
+        often = often[np.lexsort((keys[often], -times[often]))]  # most frequent first
+        rank = np.full(len(keys), -1, np.int32)
+        rank[often] = np.arange(len(often), dtype=np.int32)
+        keys = keys[often]
+        pair[at] = p = rank[p]
+        free &= p >= 0
+        at, p = at[free], p[free]
+        if not len(at):
             break
-        often = often[np.lexsort((ordered[edge[often]], -times[often]))]
-        keys = ordered[edge[often]]  # most frequent first
-        slot = np.full(1 << SLOTS, len(keys), np.int64)
-        slot[_slot(keys)[::-1]] = np.arange(len(keys))[::-1]  # where two share a slot the better ranked has it; the other waits
-        rank = slot[_slot(pair)]
-        hit = np.flatnonzero(np.append(keys, -1)[rank] == pair)
-        rank = rank[hit]
-        # of two overlapping occurrences the better ranked stays, of equal ones the left
-        best = np.full(len(seq) + 2, len(keys), np.int32)
-        best[1:][hit] = rank
-        at, left, right = best[1:-1], best[:-2], best[2:]
-        chosen = np.flatnonzero((at < len(keys)) & (at < left) & (at <= right))
-        chosen = chosen[np.append(True, np.diff(chosen) > 1)] if len(chosen) else chosen
-        enough = np.bincount(at[chosen], minlength=len(keys)) >= LEAST
-        if not enough.any():
-            barred = np.append(barred, keys[0])  # of the most frequent pair all occurrences are chosen but overlapping ones
-            continue
-        chosen, barred = chosen[enough[at[chosen]]], barred[:0]
-        used, new = np.unique(at[chosen], return_inverse=True)
-        rules.append(np.stack([keys[used] >> 32, keys[used] & 0xFFFFFFFF], axis=1))
-        seq[chosen] = first_symbol + made + new
-        keep = np.ones(len(seq), bool)
-        keep[chosen + 1] = False
-        seq = seq[keep]
+        # of two overlapping occurrences the better ranked is replaced; the best rank loses none
+        best[at] = p
+        chosen = (p < best[before[at]]) & (p < best[after[at]])
+        best[at] = none
+        at, p = at[chosen], p[chosen]
+        enough = np.bincount(p, minlength=len(keys)) >= LEAST
+        at, p = at[enough[p]], p[enough[p]]
+        used = keys[enough]
+        rules.append(np.stack([used >> 32, used & 0xFFFFFFFF], axis=1))
+        right = after[at]
+        then = after[right]
+        seq[at], seq[right] = first_symbol + made + (np.cumsum(enough) - 1)[p], -1
+        after[at], before[then] = then, at
+        pair[right] = pair[at] = -1
         made += len(used)
+        left = before[at]
+        touched[left[left >= 0]] = touched[at[then < n]] = True
+        fresh = np.flatnonzero(touched)
+        touched[fresh] = False
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq.astype(np.uint32), table.astype(np.uint32)
+    return seq[seq >= 0].astype(np.uint32), table.astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -151,21 +168,30 @@ class Words:
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words not met before are given to the library together."""
         if len(self.memory) > MEMORY_WORDS:
             self.older, self.memory = self.memory, {}
-        words, memory, older = presplit.words(text), self.memory, self.older
-        codes = list(map(memory.get, words))
-        holes = [i for i, code in enumerate(codes) if code is None]
-        if holes:
-            missing = {words[i] for i in holes}
-            memory.update((w, older[w]) for w in missing if w in older)
-            self._remember([w for w in missing if w not in older])
-            for i in holes:
-                codes[i] = memory[words[i]]
-        return b"".join(codes)
+        memory, older = self.memory, self.older
+        out: list[bytes] = []
+        wanting: dict[int, list[str]] = {}
+        missing: set[str] = set()
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            words = presplit.words(text)
+            codes = list(map(memory.get, words))
+            if None in codes:
+                wanting[len(out)] = words
+                missing.update(w for w, code in zip(words, codes, strict=True) if code is None)
+                codes = []
+            out.append(b"".join(codes))
+        memory.update((w, older[w]) for w in missing if w in older)
+        self._remember([w for w in missing if w not in memory])
+        for i, words in wanting.items():
+            out[i] = b"".join(map(memory.__getitem__, words))
+        return out
 
     def _remember(self, new: list[str]) -> None:
         plain, other = [], []
@@ -193,7 +219,7 @@ def words_of(file: str) -> Words:
     return _words[file]
 
 
-SHARDS = "place int, number int, base int, n_ids long, doc_ids array<long>, n_tokens array<long>, rules binary, lengths binary, sequence binary"
+SHARDS = "place int, number int, before long, base int, n_ids long, doc_ids array<long>, n_tokens array<long>, rules binary, lengths binary, sequence binary"
 
 
 def written(docs: DataFrame, file: str, label: str = "token-shards") -> DataFrame:
@@ -205,36 +231,36 @@ def written(docs: DataFrame, file: str, label: str = "token-shards") -> DataFram
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = words_of(file)
         end = np.array([END_ID], "<u4").tobytes()
-        place, number, ids, doc_ids, counts, size = 0, 0, [], [], [], 0
+        place, number, before, ids, doc_ids, counts, size = 0, 0, 0, [], [], [], 0
 
         def closed() -> pd.DataFrame:
             seq, rules = repaired(np.frombuffer(b"".join(ids), "<u4"), words.size)
             lengths = expansion_lengths(rules, words.size)
-            row = (place, number, words.size, size, doc_ids, counts, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes())
-            return pd.DataFrame([row], columns=["place", "number", "base", "n_ids", "doc_ids", "n_tokens", "rules", "lengths", "sequence"])
+            row = (place, number, before, words.size, size, doc_ids, counts, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes())
+            return pd.DataFrame([row], columns=["place", "number", "before", "base", "n_ids", "doc_ids", "n_tokens", "rules", "lengths", "sequence"])
 
         for batch in batches:
-            for doc_id, text, at in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["place"], strict=True):
+            codes = words.encode([text or "" for text in batch["text"]])
+            for doc_id, code, at in zip(batch["doc_id"].astype("Int64"), codes, batch["place"], strict=True):
                 if ids and size >= SHARD_IDS:
                     yield closed()
-                    number, ids, doc_ids, counts, size = number + 1, [], [], [], 0
+                    number, before, ids, doc_ids, counts, size = number + 1, before + size, [], [], [], 0
                 place = int(at)
-                code = words.encode(text or "") + end
-                ids.append(code)
+                ids += [code, end]
                 doc_ids.append(None if doc_id is pd.NA else int(doc_id))
-                counts.append(len(code) // 4)
+                counts.append(len(code) // 4 + 1)
                 size += counts[-1]
         if ids:
             yield closed()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    dealt = rows.repartitionByRange(parts, "doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text", F.spark_partition_id().alias("place"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("at"))
+    dealt = rows.repartitionByRange(parts, "doc_id", "th", "at").sortWithinPartitions("doc_id", "th", "at").select("doc_id", "text", F.spark_partition_id().alias("place"))
     return common.saved(dealt.mapInPandas(run, SHARDS), label, batch=1000)
 
 
 def read(shards: DataFrame) -> DataFrame:
-    """place, number, doc_id, at (ids before it in its shard), n_tokens and ids of each document, from the files."""
+    """place, doc_id, at (ids before it in its place), n_tokens and ids of each document, from the files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -246,17 +272,17 @@ def read(shards: DataFrame) -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 yield pd.DataFrame(
                     {
-                        "place": s.place, "number": s.number, "doc_id": pd.array([None if d is None or d != d else int(d) for d in s.doc_ids], dtype="Int64"), "at": starts, "n_tokens": counts,
+                        "place": s.place, "doc_id": pd.array([None if d is None or d != d else int(d) for d in s.doc_ids], dtype="Int64"), "at": s.before + starts, "n_tokens": counts,
                         "ids": [raw[4 * a : 4 * (a + n)] for a, n in zip(starts.tolist(), counts.tolist(), strict=True)],
                     }
                 )
 
-    return shards.mapInPandas(run, "place int, number int, doc_id long, at long, n_tokens long, ids binary")
+    return shards.mapInPandas(run, "place int, doc_id long, at long, n_tokens long, ids binary")
 
 
 def op4_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = written(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
-    before = Window.orderBy("place", "number").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("place", "number", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("place", "number", "base")
-    docs = read(shards).select("place", "number", "doc_id", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return docs.join(F.broadcast(bases), ["place", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition that wrote shards
+    bases = shards.groupBy("place").agg(F.sum("n_ids").alias("n")).select("place", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    docs = read(shards).select("place", "doc_id", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return docs.join(F.broadcast(bases), "place").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
