@@ -1,12 +1,13 @@
-"""Line dedup by pairwise alignment: shared windows of lines find overlapping documents, patience diff aligns them.
+"""Line dedup by pairwise alignment: shared rare hashes of lines find overlapping documents, patience diff aligns them.
 
-A document is the sequence of its line hashes. A window is the shortest run of lines, from a line with words on or up to one,
+A document is the sequence of its line hashes. A line alone may be as common as a closing brace, so it counts with its neighbours, whose
+joint hash is rare: a window is the shortest run of lines, from a line with words on or up to one,
 that has ``BLOCK_WORDS`` words; every line with words of a block of that size lies in a window inside the block. Each window that several
 documents hold has an owner, the earliest of them, and a later document is paired with the owners of its windows: so every block that it shares with any
 earlier document is found, and a window that a third of all rows share makes one pair for each of them with its owner, never all pairs.
 Alignment of a pair is patience diff:
-lines that occur once in both documents, kept where a longest increasing run orders them alike, then grown up and
-down over equal neighbours. An aligned common block of at least ``BLOCK_WORDS`` words is deleted from the later document, and so are
+lines that occur once in both documents, kept where a longest increasing run orders them alike, then the same in each gap between them,
+where equal lines at its ends are paired first. An aligned common block of at least ``BLOCK_WORDS`` words is deleted from the later document, and so are
 windows that both hold in another order, or without a line that occurs once.
 
 Words are runs without white space; a character of a script written without spaces is a word of its own.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from dayline.llm import common
 
 BLOCK_WORDS = 20
+#: Rows with arrays of lines that a Python worker is handed at once.
+LONG_ROWS = 500
 #: Scripts written without spaces.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
@@ -81,19 +84,54 @@ def overlapping(outline: DataFrame) -> DataFrame:
             yield out[out["held"].map(len) > 0]
 
     flat = outline.select("row.doc_id", F.col("row.h").alias("th"), "h", "w").mapInPandas(run, "doc_id long, th long, held array<long>")
-    anchors = common.saved(flat.select(F.struct("doc_id", F.col("th").alias("h")).alias("row"), F.explode("held").alias("window")), "lines-windows")
+    anchors = common.saved(flat.select(F.struct("doc_id", F.col("th").alias("h")).alias("row"), F.explode("held").alias("window")), "lines-windows", batch=LONG_ROWS)
     owners = anchors.groupBy("window").agg(F.min("row").alias("first"), F.max("row").alias("last"))
     owners = common.saved(owners.where("first != last").select("window", "first"), "lines-owners")
     pairs = anchors.join(owners, "window").where("row != first").select("first", F.col("row").alias("later")).distinct()
-    return common.saved(pairs, "lines-pairs")
+    pairs = common.saved(pairs, "lines-pairs")
+    common.dropped(anchors, owners)
+    return pairs
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Patience diff of two sequences: the positions that it pairs."""
-    once_a, once_b = _once(a), _once(b)
-    anchors = sorted((i, once_b[x]) for x, i in once_a.items() if x in once_b)
-    if not anchors:
-        return []
+    """Patience diff of two sequences: the positions that it pairs, in order.
+
+    Equal lines at both ends of a gap are paired. Of the rest, lines that occur once in both parts of the gap, where a longest increasing run
+    orders them alike, are paired, and part it into smaller gaps, in which lines are counted anew.
+    """
+    out: list[tuple[int, int]] = []
+    gaps = [(0, len(a), 0, len(b))]
+    while gaps:
+        i, m, j, n = gaps.pop()
+        while i < m and j < n and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        once_b = _once(b, j, n)
+        run = _increasing(sorted((x, once_b[line]) for line, x in _once(a, i, m).items() if line in once_b))
+        for x, y in run:
+            out.append((x, y))
+            gaps.append((i, x, j, y))
+            i, j = x + 1, y + 1
+        if run:
+            gaps.append((i, m, j, n))
+    return sorted(out)
+
+
+def _once(seq: list[int], low: int, high: int) -> dict[int, int]:
+    """Place of each line that occurs once from low to high."""
+    seen: dict[int, int] = {}
+    for i in range(low, high):
+        seen[seq[i]] = -1 if seq[i] in seen else i
+    return {x: i for x, i in seen.items() if i >= 0}
+
+
+def _increasing(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of the anchors, sorted by their first place, whose second places increase."""
     tails: list[int] = []
     at: list[int] = []
     before: list[int] = []
@@ -103,36 +141,11 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at[p : p + 1] = [k]
         before.append(at[p - 1] if p else -1)
     run = []
-    k = at[-1]
+    k = at[-1] if at else -1
     while k >= 0:
         run.append(anchors[k])
         k = before[k]
-    run.reverse()
-    out: list[tuple[int, int]] = []
-    for n, (i, j) in enumerate(run):
-        low_i, low_j = out[-1] if out else (-1, -1)
-        if i <= low_i or j <= low_j:
-            continue
-        back = []
-        x, y = i - 1, j - 1
-        while x > low_i and y > low_j and a[x] == b[y]:
-            back.append((x, y))
-            x, y = x - 1, y - 1
-        out.extend(reversed(back))
-        out.append((i, j))
-        high_i, high_j = run[n + 1] if n + 1 < len(run) else (len(a), len(b))
-        x, y = i + 1, j + 1
-        while x < high_i and y < high_j and a[x] == b[y]:
-            out.append((x, y))
-            x, y = x + 1, y + 1
-    return out
-
-
-def _once(seq: list[int]) -> dict[int, int]:
-    seen: dict[int, int] = {}
-    for i, x in enumerate(seq):
-        seen[x] = -1 if x in seen else i
-    return {x: i for x, i in seen.items() if i >= 0}
+    return run[::-1]
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int]) -> list[int]:
@@ -173,7 +186,9 @@ def deletions(docs: DataFrame) -> DataFrame:
     joined = joined.join(first, joined["first"].eqNullSafe(first["first"])).select("later.doc_id", F.col("later.h").alias("th"), "ha", "hb", "w")
     found = joined.mapInPandas(run, "doc_id long, th long, gone array<int>")
     rows = found.select(F.struct("doc_id", F.col("th").alias("h")).alias("row"), F.explode("gone").alias("line"))
-    return common.saved(rows.groupBy("row").agg(F.collect_set("line").alias("gone")), "lines-gone")
+    gone = common.saved(rows.groupBy("row").agg(F.collect_set("line").alias("gone")), "lines-gone", batch=LONG_ROWS)
+    common.dropped(outline, pairs)
+    return gone
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
