@@ -7,12 +7,15 @@ target. So each token has one target state, a state is its parent's arcs up to a
 later merges took away, and an arc t leaves a state if no element of t's left spine was taken from it before the
 merge that covers that element. The arc of a merge whose pair can no longer occur is never added.
 
-Encoding runs over the bytes of a pre-split word: at each position exactly one token ends a path, and
-its arc leaves the state of the token where it starts. Decoding emits the labels of the arcs.
+The labels of arcs are byte strings, so over bytes the automaton has many paths at once. It is made deterministic: a state of the table is
+the set of (state that an arc leaves, place inside the arc's label) that the bytes so far may have led to, and exactly one token
+ends at each byte. The table of transitions is compiled over the labels of all tokens when it is built; a transition that a text needs
+beyond them is compiled when it is first met. Encoding steps through the table byte by byte and reads the path back from its end.
+Decoding emits the labels of the arcs.
 
 Defined results: a null text is encoded as the empty text: no ids, the hash of nothing. Repeated rows are encoded
 each; further columns are ignored; an empty table gives an empty result. Texts of any length are encoded whole: words
-go through one at a time, and the table of words met is emptied at a fixed size.
+go through one at a time, and the table of words met is emptied at a fixed size, as is the table of transitions.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ from pyspark.sql import types as T
 from dayline.llm import common, presplit
 
 #: Words whose ids a worker remembers.
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 400_000
+#: Transitions at which the table is compiled anew.
+TRANSITIONS = 1_500_000
+#: Bits of a token's number in a member of a state.
+TOKEN_BITS = 24
 NEVER = 1 << 30
 
 
@@ -53,14 +60,14 @@ class Automaton:
         self.born = [NEVER] * size
         #: Of a token's target state: the arcs taken from it, and when.
         self.taken: list[dict[int, int]] = [{} for _ in range(size)]
-        self.allowed: dict[tuple[int, int], bool] = {}
         self.arc: dict[bytes, int] = {}
         for b, t in byte_ids.items():
             self.label[t], self.born[t] = bytes([b]), -1
             self.arc[self.label[t]] = t
         for time, (u, v, merged) in enumerate(merges):
             self.gadget(u, v, merged, time)
-        self.longest = max(map(len, self.arc), default=0)
+        self.spelled()
+        self.compiled()
 
     def gadget(self, u: int, v: int, merged: int, time: int) -> None:
         label = self.label[u] + self.label[v]
@@ -89,32 +96,73 @@ class Automaton:
             state = self.right[state]
         return True
 
+    def spelled(self) -> None:
+        """The labels of all arcs as a tree of bytes: its places, where they lead, and the token that ends there."""
+        self.child: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
+        for label, token in self.arc.items():
+            place = 0
+            for b in label:
+                self.inner[place] = True
+                step = place << 8 | b
+                if step not in self.child:
+                    self.child[step] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                place = self.child[step]
+            self.token[place] = token
+
+    def compiled(self) -> None:
+        """The table over the bytes of all labels. State 0 is the start of a word."""
+        self.moves: dict[int, int] = {}
+        self.members: list[tuple[int, ...]] = [(0,)]
+        self.ends = [-1]
+        self.numbers = {self.members[0]: 0}
+        for label in self.arc:
+            self.path(label)
+
+    def move(self, state: int, b: int) -> int:
+        """Compile the transition of a state under a byte. A member is a place in the tree and, from 1, the token before it; 0 at the start."""
+        members, found = [], -1
+        for x in self.members[state]:
+            place = self.child.get(x >> TOKEN_BITS << 8 | b)
+            if place is None:
+                continue
+            source = x & ((1 << TOKEN_BITS) - 1)
+            token = self.token[place]
+            if token >= 0 and found < 0 and self.has_arc(source - 1, token):
+                found = token
+            if self.inner[place]:
+                members.append(place << TOKEN_BITS | source)
+        if found < 0:
+            raise ValueError(f"no path of the automaton goes on with byte {b}")
+        key = (*members, found + 1)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.members)
+            self.members.append(key)
+            self.ends.append(found)
+        self.moves[state << 8 | b] = number
+        return number
+
+    def path(self, word: bytes) -> list[int]:
+        """The state of the table after each byte."""
+        moves, state, out = self.moves, 0, []
+        for b in word:
+            then = moves.get(state << 8 | b)
+            state = self.move(state, b) if then is None else then
+            out.append(state)
+        return out
+
     def encode(self, word: bytes) -> list[int]:
-        n = len(word)
-        ends = [-1] * (n + 1)
-        arc, allowed = self.arc, self.allowed
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = arc.get(word[j:i])
-                if token is None:
-                    continue
-                if j:
-                    pair = (ends[j], token)
-                    ok = allowed.get(pair)
-                    if ok is None:
-                        if len(allowed) > 500_000:
-                            allowed.clear()
-                        ok = allowed[pair] = self.has_arc(*pair)
-                    if not ok:
-                        continue
-                ends[i] = token
-                break
-            if ends[i] < 0:
-                raise ValueError(f"no path of the automaton spells {word[:i]!r}")
-        out = []
+        if len(self.moves) > TRANSITIONS:
+            self.compiled()
+        states, ends, label = self.path(word), self.ends, self.label
+        n, out = len(word), []
         while n:
-            out.append(ends[n])
-            n -= len(self.label[ends[n]])
+            token = ends[states[n - 1]]
+            out.append(token)
+            n -= len(label[token])
         return out[::-1]
 
 
