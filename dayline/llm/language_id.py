@@ -1,10 +1,11 @@
 """Language identification: a bidirectional gated recurrent network over bytes, in numpy.
 
-Training runs by backpropagation through time on the driver, over a bounded sample of labelled rows (at most
-``PER_LANGUAGE`` rows of each of at most ``MAX_LANGUAGES`` languages, a window of each). Prediction covers every byte of
+Training runs by backpropagation through time on the driver, over a bounded sample of labelled rows: at most
+``PER_LANGUAGE`` rows of each language, fewer where more than ``TRAINING`` in all would come together, and some of every language
+however many there are. Prediction covers every byte of
 every text: a text is cut into blocks of ``BLOCK`` bytes, blocks of many documents run as one batch,
-each direction starts anew in a block, every position gets class probabilities from both states, and
-a document's probabilities are the mean over its positions.
+each direction comes into a block with the state of the ``RUN_UP`` bytes before it, as long as the windows of training, every position gets
+class probabilities from both states, and a document's probabilities are the mean over its positions.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no labelled row everything is
 ``und``; equal probabilities go to the language first in order. Repeated rows are predicted each; an empty table
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 
 from dayline.llm import common
 
-PER_LANGUAGE = 600
-MAX_LANGUAGES = 64
+PER_LANGUAGE, TRAINING, LEAST_ROWS = 600, 60_000, 20
 WINDOW = 96
-HIDDEN = 10
+#: Units in each direction; as many as there are languages, where these are more, up to the second number.
+HIDDEN, MOST_HIDDEN = 10, 64
 STEPS = 260
 BATCH = 64
-BLOCK = 128
-#: Blocks in one batch of a prediction.
+BLOCK, RUN_UP = 512, 96
+#: Blocks in one batch of a prediction, about; fewer for a wider network.
 LANES = 2048
 LETTER = regex.compile(r"\p{L}")
 
@@ -147,12 +148,16 @@ class GatedNetwork:
         sizes = np.array([len(r) for r in raws])
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(raws)), blocks)
-        first = np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], blocks) + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        width = np.minimum(BLOCK, np.repeat(np.cumsum(sizes), blocks) - first)
-        data = np.frombuffer(b"".join(raws) + bytes(BLOCK), np.uint8)
+        low, high = np.repeat(np.cumsum(sizes) - sizes, blocks), np.repeat(np.cumsum(sizes), blocks)
+        inner = low + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        first = np.maximum(inner - RUN_UP, low)
+        width = np.minimum(inner + BLOCK + RUN_UP, high) - first
+        lead, count = inner - first, np.minimum(BLOCK, high - inner)  # positions that count come after the run-up
+        data = np.frombuffer(b"".join(raws) + bytes(BLOCK + 2 * RUN_UP), np.uint8)
         order = np.argsort(-width, kind="stable")
-        for a in range(0, len(order), LANES):
-            rows = order[a : a + LANES]
+        lanes = max(LANES * 16 // (self.hidden + classes), 64)
+        for a in range(0, len(order), lanes):
+            rows = order[a : a + lanes]
             w = width[rows]
             steps = int(w[0])
             at = np.ascontiguousarray(data[first[rows][None, :] + np.arange(steps)[:, None]])
@@ -167,7 +172,8 @@ class GatedNetwork:
             y = self.logits(forward, backward)
             y -= y.max(axis=2, keepdims=True)
             np.exp(y, out=y)
-            y *= (real / y.sum(axis=2))[:, :, None]
+            step = np.arange(steps)[:, None]
+            y *= (((step >= lead[rows]) & (step < lead[rows] + count[rows])) / y.sum(axis=2))[:, :, None]
             np.add.at(total, owner[rows], y.sum(axis=0))
         return total / np.maximum(sizes, 1)[:, None]
 
@@ -177,7 +183,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """lang and a window of text of at most PER_LANGUAGE learnable rows of each language, those of the smallest row hashes.
+    """lang and a window of text of a bounded number of learnable rows of each language, those of the smallest row hashes.
 
     The rows of each language are counted first, and only rows under a hash bound that lets through a few times
     the sample are ranked, so the number of ranked rows does not depend on the size of the table.
@@ -185,17 +191,18 @@ def sampled(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     width = 4 * WINDOW
     rows = docs.where(F.col("lang").isNotNull() & (F.length(text) > 0) & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = common.saved(rows.groupBy("lang").count(), "languages")  # one row a language: classes of the network, so few enough to broadcast
+    each = max(min(PER_LANGUAGE, TRAINING // max(counts.count(), 1)), LEAST_ROWS)
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - width, F.lit(0)) + 1) + 1
     few = (
         rows.withColumn("at", at)
         .join(F.broadcast(counts), "lang")
-        .where(F.col("at") * F.col("count") <= F.lit(float(1 << 40)) * 4 * PER_LANGUAGE)
+        .where(F.col("at") * F.col("count") <= F.lit(float(1 << 40)) * 4 * each)
         .select("lang", F.substring(text, start.cast("int"), F.lit(width)).alias("part"), "at")
     )
     by = Window.partitionBy("lang").orderBy("at", "part")
-    return few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= PER_LANGUAGE).drop("rank")
+    return few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= each).drop("rank")
 
 
 def learned(docs: DataFrame) -> tuple[list[str], GatedNetwork | None]:
@@ -214,7 +221,7 @@ def learned(docs: DataFrame) -> tuple[list[str], GatedNetwork | None]:
     rng = np.random.default_rng(3)
     most = max(np.bincount(label))
     even = np.concatenate([rng.choice(np.flatnonzero(label == k), most) for k in range(len(languages))])  # every language as often
-    net = GatedNetwork(len(languages))
+    net = GatedNetwork(len(languages), hidden=max(HIDDEN, min(len(languages), MOST_HIDDEN)))
     net.train(np.stack(windows)[even], label[even], len(languages))
     return languages, net
 
