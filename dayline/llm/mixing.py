@@ -16,7 +16,7 @@ numbers). Log-likelihoods are tempered by length, so that posteriors of long tex
 
 Defined results: a document without words has no tokens and the prior as its posterior; a null or unknown label
 leaves the document unlabelled; without labels no domain
-exists: posteriors are empty, rates are 1. Repeated rows are weighed each; ties between domains go to the first by name; an
+exists: posteriors are empty, rates are 1; a target for a domain that no row has is an error. Repeated rows are weighed each; ties between domains go to the first by name; an
 empty table gives an empty result; columns of the input that are not needed are ignored.
 """
 
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from dayline.llm import common
 
 BUCKETS = 4096
-MAX_DOMAINS = 64
 #: Labelled rows that training reads, about: those under a bound on the row hash.
 LABELLED = 20_000
 #: Words at which the log-likelihood counts half.
@@ -68,16 +67,16 @@ class Membership:
 
 
 def learned(docs: DataFrame, label: str) -> Membership:
-    """Word weights of each of at most MAX_DOMAINS domains, from about LABELLED labelled rows."""
+    """Word weights of each domain, from about LABELLED labelled rows. Every label is a domain: domains are columns of one aggregate."""
     rows = docs.where(F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("string").alias("domain"))
-    counts = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS).collect()
+    counts = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return Membership([], [], None)
     counts = sorted((r["domain"], r["n"]) for r in counts)
     total = sum(n for _, n in counts)
     domains = [d for d, _ in counts]
     bound = min(SPAN, SPAN * LABELLED // total + 1)
-    some = rows.where(F.col("domain").isin(domains) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SPAN)) < bound))
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SPAN)) < bound)
     each = some.select("domain", F.explode(words_of()).alias("w")).select("domain", bucket_of("w").alias("bucket")).where("bucket IS NOT NULL")
     seen = common.saved(each.groupBy("bucket").agg(*(F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains))), "mixing-words")
     totals = seen.agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(domains)))).first()
@@ -146,6 +145,9 @@ def lifted(shares: list[float]) -> list[float]:
 def fitted(members: DataFrame, model: Membership, targets: dict[str, float] | None) -> np.ndarray:
     """The pull of each domain. targets: of each domain, tokens as a share of all tokens present."""
     k = len(model.domains)
+    unknown = sorted(set(targets or {}) - set(model.domains))
+    if k and unknown:
+        raise ValueError(f"targets for domains that no row is labelled with: {unknown}")
     pulls = np.zeros(k)
     if not k:
         return pulls
@@ -193,10 +195,10 @@ def rated(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None
 
 def mixed(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
     """The rows of docs, each as often as its copies."""
-    copies = rated(docs, label, targets).select(F.struct("doc_id", "h").alias("row_"), F.col("copies").alias("copies_")).dropDuplicates(["row_"])
-    keyed = docs.withColumn("row_", common.row_key())
-    out = keyed.join(copies, keyed["row_"].eqNullSafe(copies["row_"])).where("copies_ > 0")
-    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*(docs[c] for c in docs.columns))
+    copies = rated(docs, label, targets).select(F.struct("doc_id", "h").alias("row"), "copies").dropDuplicates(["row"])
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), common.row_key().alias("row"))
+    out = keyed.join(copies, keyed["row"].eqNullSafe(copies["row"])).where("copies > 0")
+    return out.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("d")[c].alias(c) for c in docs.columns))
 
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
