@@ -114,20 +114,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def blockwise(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Likely links between components inside large bands. members: key, rep, comp and m, the size of the band.
+    """Links between components inside large bands. members: key, rep, comp and m, the size of the band.
 
     A band is cut into blocks of about BLOCK members and each two blocks meet in one group, which counts all
     intersections as a matrix product over the shingles that occur twice there and returns, for a
-    document and another component, one link. Shingles are 32-bit hashes here: the caller confirms what is found.
+    document and another component, one link.
     """
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["rep"], "set": [np.unique(shingle_hashes(t, size).astype(np.uint32)).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"rep": batch["rep"], "set": [shingle_hashes(t, size).tobytes() for t in batch["text"]]})
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep", kind="stable").reset_index(drop=True)
-        sets = [np.frombuffer(x, np.uint32) for x in group["set"]]
+        sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
         n = np.array([len(x) for x in sets])
         owner = np.repeat(np.arange(len(sets)), n)
         _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -140,7 +140,7 @@ def blockwise(members: DataFrame, texts: DataFrame, size: int, percent: int) ->
             here[owner[at], code[at] - first] = 1
             both += here @ here.T
         comp, part = group["comp"].to_numpy(), group["part"].to_numpy()
-        ok = 100 * both >= percent * (n[:, None] + n[None, :] - both) - 0.5
+        ok = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         ok &= comp[:, None] != comp[None, :]
         if (group["lo"] != group["hi"]).any():
             ok &= part[:, None] != part[None, :]
