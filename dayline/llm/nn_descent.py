@@ -5,6 +5,7 @@ gathers, at each node, its neighbours and a bounded number of the nodes that nam
 join of neighbours of neighbours) where at least one is new, and sends each member the better ones of its company; a node keeps the best
 ``K``. For the descent vectors are unit vectors of 16-bit floats.
 
+The descent ends once fewer than ``STILL`` neighbours a node are replaced in an iteration; a search ends when its beam is visited.
 A query is a node of the graph: its search starts from its own neighbours, and each step joins the unvisited best of each query's
 ``BEAM`` candidates with the graph, whose rows carry the neighbours' vectors, so that only candidates that can enter the beam are
 returned. The best nodes of a query are scored again on the original vectors in double precision, and equal vectors are
@@ -28,12 +29,11 @@ from pyspark.sql import functions as F
 from dayline.llm import common
 
 K, REVERSE = 32, 24
-ITERATIONS = 6
 #: Better companions that a member hears of from one local join, at most.
 NEWS = 6
 #: Share of nodes under which the number of replaced neighbours ends the descent.
 STILL = 0.5
-BEAM, STEPS = 160, 24
+BEAM = 160
 NEAREST = 5
 
 
@@ -85,11 +85,13 @@ def started(nodes: DataFrame, n: int) -> DataFrame:
 EDGE = "node long, near long, sim float"
 
 
-def local_join(edges: DataFrame, nodes: DataFrame, n_parts: int) -> DataFrame:
-    """Better neighbours (node, near, sim) found among the company of each node."""
+def local_join(edges: DataFrame, nodes: DataFrame, start: bool) -> DataFrame:
+    """Better neighbours (node, near, sim) found among the company of each node; at the start it is of its own company, so that its first edges are scored."""
     forward = edges.select(F.col("node").alias("at"), F.col("near").alias("who"), "fresh")
     back = edges.select(F.col("near").alias("at"), F.col("node").alias("who"), "fresh").withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("fresh"), F.xxhash64("at", "who"))))
     company = forward.union(back.where(F.col("r") <= REVERSE).drop("r"))
+    if start:
+        company = company.union(nodes.select(F.col("node").alias("at"), F.col("node").alias("who"), F.lit(True).alias("fresh")))
     worst = edges.groupBy("node").agg(F.when(F.count(F.lit(1)) >= K, F.min("sim")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
     known = nodes.select("node", "u").join(worst, "node", "left").select(F.col("node").alias("who"), "u", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
     sent = company.join(known, "who")
@@ -143,18 +145,16 @@ def graph(nodes: DataFrame) -> DataFrame:
     """Edges (node, near, sim) of the neighbour graph."""
     spark = nodes.sparkSession
     n = nodes.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = common.saved(started(nodes, n), "nn-edges")
-    for i in range(ITERATIONS):
-        news = common.saved(local_join(edges, nodes, parts), "nn-news", batch=256)
-        after = common.saved(merged(edges if i else edges.where("sim > -2"), news), "nn-edges")
-        common.dropped(edges)
-        common.dropped(news)
-        edges = after
+    start = True
+    while True:
+        news = common.saved(local_join(edges, nodes, start), "nn-news", batch=256)
+        after = common.saved(merged(edges.where("sim > -2") if start else edges, news), "nn-edges")
+        common.dropped(edges, news)
+        edges, start = after, False
         released(spark)
         if edges.where("fresh").count() <= STILL * n:
-            break
-    return edges.select("node", "near", "sim")
+            return edges.select("node", "near", "sim")
 
 
 FOUND = "query long, near long, sim float"
@@ -181,7 +181,7 @@ def searched(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
             if out:
                 yield pd.DataFrame({"query": np.concatenate([o[0] for o in out]), "near": np.concatenate([o[1] for o in out]), "sim": np.concatenate([o[2] for o in out])})
 
-    for _ in range(STEPS):
+    while True:  # every step visits all that is unvisited in the beams, which only get nearer
         todo = beam.where("NOT seen").select("query", F.col("near").alias("node"))
         worst = beam.groupBy("query").agg(F.when(F.count(F.lit(1)) >= BEAM, F.min("sim")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
         asked = todo.join(vectors, "query").join(worst, "query")
@@ -193,8 +193,7 @@ def searched(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
         common.dropped(beam)
         beam = after
         if beam.where("NOT seen").isEmpty():
-            break
-    return beam
+            return beam
 
 
 def cosine(a: Column, b: Column) -> Column:
