@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), one of our own."""
+    """The folder of spark.checkpoint.dir; where it is unset on one machine (tests), one of our own. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"file://{shared_dir.own}"
@@ -48,15 +50,14 @@ def saved(df: DataFrame, label: str, batch: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that saved() wrote, once no later step reads it."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that saved() wrote, once no later step reads them."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def whole_text(column: str = "text") -> Column:
