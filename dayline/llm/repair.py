@@ -174,7 +174,7 @@ class Words:
             self.older, self.memory = self.memory, {}
         memory, older = self.memory, self.older
         out: list[bytes] = []
-        wanting: dict[int, list[str]] = {}
+        wanting = []
         missing: set[str] = set()
         for text in texts:
             if any(s in text for s in self.special):
@@ -183,14 +183,17 @@ class Words:
             words = presplit.words(text)
             codes = list(map(memory.get, words))
             if None in codes:
-                wanting[len(out)] = words
-                missing.update(w for w, code in zip(words, codes, strict=True) if code is None)
+                holes = [i for i, code in enumerate(codes) if code is None]
+                missing.update([words[i] for i in holes])
+                wanting.append((len(out), words, codes, holes))
                 codes = []
             out.append(b"".join(codes))
         memory.update((w, older[w]) for w in missing if w in older)
         self._remember([w for w in missing if w not in memory])
-        for i, words in wanting.items():
-            out[i] = b"".join(map(memory.__getitem__, words))
+        for at, words, codes, holes in wanting:
+            for i in holes:
+                codes[i] = memory[words[i]]
+            out[at] = b"".join(codes)
         return out
 
     def _remember(self, new: list[str]) -> None:
