@@ -37,21 +37,30 @@ BLOCK_WORDS = 20
 LONG_ROWS = 500
 #: Scripts written without spaces.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Blocks of characters that hold all of these scripts, and others: only texts with such characters go through the slow pattern.
+MAY_BE_UNSPACED = r"\u0E00-\u109F\u1780-\u17FF\u19E0-\u19FF\u2E80-\uD7FF\uA9E0-\uAA7F\uF900-\uFFFF\x{10000}-\x{10FFFF}"
 
 
 def lines_of(text: str = "text") -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def word_count(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(rf"[{UNSPACED}]|[^{common.SPACE_CLASS}{UNSPACED}]++"))
+def word_counts(text: Column, lines: Column) -> Column:
+    """The words of each line. In texts whose words are parted by one space each, spaces are counted; others go through the pattern."""
+    pattern = rf"[{UNSPACED}]|[^{common.SPACE_CLASS}{UNSPACED}]++"
+    odd_spaces = [F.contains(text, F.lit(x)) for x in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r")]
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")) | ((F.octet_length(text) != F.length(text)) & text.rlike(rf"[{MAY_BE_UNSPACED}]"))
+    for x in odd_spaces:
+        odd = x | odd
+    by_spaces = F.transform(lines, lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1))
+    return F.when(odd, F.transform(lines, lambda x: F.regexp_count(x, F.lit(pattern)))).otherwise(by_spaces)
 
 
 def outlined(docs: DataFrame) -> DataFrame:
     """row, and the arrays ``h`` (hash of each trimmed line) and ``w`` (its words), of each distinct row with text."""
-    lines = docs.where(F.col("text").isNotNull()).select(common.row_key().alias("row"), lines_of().alias("lines"))
+    lines = docs.where(F.col("text").isNotNull()).select(common.row_key().alias("row"), "text", lines_of().alias("lines"))
     hashes = F.transform("lines", lambda x: F.xxhash64(F.trim(x)))
-    return lines.select("row", hashes.alias("h"), F.transform("lines", word_count).alias("w"))
+    return lines.select("row", hashes.alias("h"), word_counts(F.col("text"), F.col("lines")).alias("w"))
 
 
 def windows(hashes: list[int], words: list[int]) -> dict[tuple[int, int], int]:
