@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,15 @@ from dayline import schema
 from dayline.functions.curves import quadrature_weights
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """subject_id and ``place``, from 0, in the order of all ids. Ids are dealt by range and counted there, so no task meets them all."""
+    dealt = ids.repartitionByRange("subject_id").select("subject_id", F.spark_partition_id().alias("part")).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("subject_id")) - 1
+    return dealt.withColumn("inside", inside).join(F.broadcast(before), "part").select("subject_id", (F.col("before") + F.col("inside")).alias("place"))
+
+
 @dataclass(frozen=True)
 class CurveSet:
     """observations (subject_id, hour, curve), the scales of every curve, and covariates if there are any."""
@@ -30,7 +40,9 @@ class CurveSet:
         return self
 
     def copy_with(self, **changes) -> CurveSet:
-        return replace(self, **changes)
+        """With other fields; new observations or scales are checked again, by one job."""
+        after = replace(self, **changes)
+        return after.checked() if {"observations", "scales"} & set(changes) else after
 
     @property
     def weights(self) -> list[float]:
@@ -60,8 +72,8 @@ class CurveSet:
 
     def subset(self, positions: list[int]) -> CurveSet:
         """Subjects at positions of the order of their ids."""
-        places = self.subject_ids().withColumn("at", F.row_number().over(Window.orderBy("subject_id")) - 1)
-        return replace(self, observations=self.observations.join(F.broadcast(places.where(F.col("at").isin(positions))), "subject_id", "left_semi"))
+        wanted = numbered(self.subject_ids()).where(F.col("place").isin([int(p) for p in positions])).select("subject_id")
+        return replace(self, observations=self.observations.join(wanted, "subject_id", "left_semi"))
 
     def observed_pairs(self, lag: int) -> DataFrame:
         """subject_id, hour, curve and later: the curve ``lag`` hours on, around the clock, where both exist."""

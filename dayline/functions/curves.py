@@ -16,6 +16,11 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once and not again for each element of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def within(curve: Column, scales: list[float], bounds: tuple[float, float]) -> tuple[Column, list[float]]:
     """The part of a curve inside inclusive bounds, and its scales: contiguous, since scales increase."""
     inside = [i for i, s in enumerate(scales) if bounds[0] <= s <= bounds[1]]
@@ -31,11 +36,10 @@ def steps(v: Column) -> Column:
 
 
 def coherence(v: Column) -> Column:
-    """-log10 of squared steps over squared deviations; null for a flat curve."""
-    mean = total(v) / F.size(v)
-    around = total(F.transform(v, lambda x: (x - mean) * (x - mean)))
+    """-log10 of squared steps over squared deviations; null for a flat curve, infinite where only the deviations show."""
+    around = bound(total(v) / F.size(v), lambda mean: total(F.transform(v, lambda x: (x - mean) * (x - mean))))
     ratio = total(F.transform(steps(v), lambda d: d * d)) / F.nullif(around, F.lit(0.0))
-    return -F.log10(F.nullif(ratio, F.lit(0.0)))
+    return bound(ratio, lambda x: F.when(x == 0, F.lit(math.inf)).otherwise(-F.log10(x)))
 
 
 def monotonicity(v: Column) -> Column:
@@ -71,21 +75,26 @@ def auc(v: Column, scales: list[float]) -> Column:
 
 
 def _lifted(v: Column) -> Column:
-    low = F.array_min(v)
-    return F.transform(v, lambda x: x - low)
+    return bound(F.array_min(v), lambda low: F.transform(v, lambda x: x - low))
 
 
 def centroid(v: Column, scales: list[float]) -> Column:
     """Mean scale weighted by height over the minimum; null for a flat curve."""
-    mass = _lifted(v)
-    return total(F.zip_with(mass, literal(scales), lambda m, s: m * s)) / F.nullif(total(mass), F.lit(0.0))
+    return bound(_lifted(v), lambda mass: total(F.zip_with(mass, literal(scales), lambda m, s: m * s)) / F.nullif(total(mass), F.lit(0.0)))
 
 
 def entropy(v: Column) -> Column:
     """Entropy of height over the minimum; 0 for a flat curve, whose shares are undefined."""
-    mass = _lifted(v)
-    whole = F.nullif(total(mass), F.lit(0.0))
-    return F.coalesce(-total(F.transform(mass, lambda m: m / whole * F.ln(m / whole + 1e-12))), F.lit(0.0))
+
+    def of(mass: Column) -> Column:
+        return bound(F.nullif(total(mass), F.lit(0.0)), lambda whole: -total(F.transform(mass, lambda m: m / whole * F.ln(m / whole + 1e-12))))
+
+    return F.coalesce(bound(_lifted(v), of), F.lit(0.0))
+
+
+def mean_curvature(curve: Column, scales: list[float]) -> Column:
+    """Mean absolute second difference over the range of the features."""
+    return curvature(within(curve, scales, FEATURE_RANGE)[0])
 
 
 def morphology(curve: Column, scales: list[float]) -> dict[str, Column]:

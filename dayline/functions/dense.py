@@ -20,15 +20,23 @@ def descending(matrix: np.ndarray, floor: float | None = None) -> tuple[np.ndarr
 
 
 def n_modes(values: np.ndarray, wanted: int | str, share: float = 0.95) -> int:
-    """An integer as it is; otherwise the fewest modes that explain the share; one if there is no variance."""
+    """An integer as it is; "ev95" or "share": the fewest modes that explain the share, one if there is no variance."""
     if isinstance(wanted, (int, np.integer)) and not isinstance(wanted, bool):
         return max(1, min(int(wanted), len(values)))
+    if wanted not in ("ev95", "share"):
+        raise ValueError(f"n_modes is an integer, 'ev95' or 'share', not {wanted!r}; selection by folds is in operators.selection")
     total = values.sum()
     if total <= 0:
         return 1
     return min(int(np.searchsorted(np.cumsum(values) / total, share) + 1), len(values))
 
 
+def cosine_modes(points: int, modes: int) -> np.ndarray:
+    """Orthonormal cosine modes as rows: a basis that needs no fit."""
+    j, m = np.arange(points), np.arange(modes)[:, None]
+    return np.where(m == 0, np.sqrt(1 / points), np.sqrt(2 / points) * np.cos(np.pi * m * (j + 0.5) / points))
+
+
 def fourier(hours: np.ndarray, harmonics: int, period: float = 24.0, intercept: bool = False) -> np.ndarray:
     """Columns cos and sin of each harmonic, after a column of ones if asked."""
     w = 2 * np.pi / period * np.asarray(hours, float)
@@ -53,11 +61,15 @@ def aligned_order(harmonics: int, modes: int) -> np.ndarray:
     return np.array([2 * modes * r + modes * part + m for m in range(modes) for r in range(harmonics) for part in (0, 1)])
 
 
+def posterior_covariance(precision: np.ndarray, x: np.ndarray, modes: int, noise: float, ridge: float) -> np.ndarray:
+    """Covariance of a subject's coefficients, mode by mode; the design repeats over modes, and nothing else of a subject enters."""
+    p = precision + np.kron(np.eye(modes), x.T @ x) / noise
+    return np.linalg.solve(p + ridge * np.eye(len(p)), np.eye(len(p)))
+
+
 def posterior(precision: np.ndarray, x: np.ndarray, centred: np.ndarray, noise: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of a subject's coefficients, mode by mode; the design repeats over modes."""
-    m = centred.shape[1]
-    p = precision + np.kron(np.eye(m), x.T @ x) / noise
-    covariance = np.linalg.solve(p + ridge * np.eye(len(p)), np.eye(len(p)))
+    """Mean and covariance of a subject's coefficients."""
+    covariance = posterior_covariance(precision, x, centred.shape[1], noise, ridge)
     return covariance @ (x.T @ centred).T.reshape(-1) / noise, covariance
 
 

@@ -5,8 +5,8 @@ What reaches the driver has the size of the scale grid or of the modes, never of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,26 +17,56 @@ from dayline.dataset import CurveSet
 from dayline.functions import dense
 from dayline.functions.curves import literal, total
 from dayline.operators import spectral
+from dayline.operators.partial import summed
 
 
 def gram(curves: DataFrame, mean: np.ndarray) -> tuple[int, np.ndarray]:
     """Rows and the sum of outer products of centred curves: one pass, a partial sum of each partition."""
     size = len(mean)
 
+    def part(batch: pd.DataFrame) -> np.ndarray:
+        x = np.stack(batch["curve"].to_numpy()) - mean
+        return np.append((x.T @ x).ravel(), len(x))
+
+    out = summed(curves.select("curve"), part, size * size + 1)
+    return int(out[-1]), out[:-1].reshape(size, size)
+
+
+def by_subject(rows: DataFrame, value: Column, made: Callable[[np.ndarray, np.ndarray], dict[str, list]], schema: str) -> DataFrame:
+    """made(hours, x) gives columns of a subject's rows, from its hours in order and its arrays ``value`` as rows of x.
+
+    Days are packed into rows, so that Python is handed batches of subjects and returns batches.
+    """
+    day = rows.select("subject_id", "hour", value.alias("x")).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("hour", "x"))).alias("day"))
+    packed = day.select("subject_id", F.transform("day", lambda d: d["hour"]).alias("hours"), F.flatten(F.transform("day", lambda d: d["x"])).alias("values"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, g = 0, np.zeros((size, size))
         for batch in batches:
-            if len(batch):
-                x = np.stack(batch["curve"].to_numpy()) - mean
-                n, g = n + len(x), g + x.T @ x
-        if n:
-            yield pd.DataFrame({"k": np.arange(size * size + 1), "v": np.append(g.ravel(), n)})
-
-    rows = curves.select("curve").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size * size + 1)
-    for k, v in rows:
-        out[k] = v
-    return int(out[-1]), out[:-1].reshape(size, size)
+            out: dict[str, list] = {}
+            for subject, hours, values in zip(batch["subject_id"], batch["hours"], batch["values"], strict=True):
+                found = made(np.asarray(hours, int), np.asarray(values, float).reshape(len(hours), -1))
+                for name, column in found.items():
+                    out.setdefault(name, []).extend(column)
+                out.setdefault("subject_id", []).extend([subject] * len(column))
+            if out:
+                yield pd.DataFrame(out)
+
+    return packed.mapInPandas(run, schema)
+
+
+def remembered(of: Callable[[np.ndarray], object], most: int = 4096) -> Callable[[np.ndarray], object]:
+    """of(hours), kept for sets of hours met before: subjects with the same hours share a design."""
+    known: dict[bytes, object] = {}
+
+    def get(hours: np.ndarray):
+        key = hours.tobytes()
+        if key not in known:
+            if len(known) >= most:
+                known.clear()
+            known[key] = of(hours)
+        return known[key]
+
+    return get
 
 
 @dataclass(frozen=True)
@@ -55,10 +85,30 @@ class Basis:
         return F.array(*(total(F.zip_with("curve", literal(v), lambda a, b: a * b)) - float(v @ self.mean) for v in w))
 
 
+    def curves(self, scores: str = "xi") -> Column:
+        """The curve of an array of scores: mean and modes."""
+        parts = [F.transform(literal(mode), lambda v, m=m: v * F.col(scores)[m]) for m, mode in enumerate(self.modes)]
+        out = literal(self.mean)
+        for part in parts:
+            out = F.zip_with(out, part, lambda a, b: a + b)
+        return out
+
+
+def mean_fingerprint(data: CurveSet, basis: Basis) -> DataFrame:
+    """subject_id and fingerprint: the subject's scores, each averaged over its hours."""
+    rows = data.observations.select("subject_id", basis.scores().alias("xi"))
+    return rows.groupBy("subject_id").agg(F.array(*(F.avg(F.col("xi")[m]) for m in range(len(basis.modes)))).alias("fingerprint"))
+
+
+def mean_reconstruction(data: CurveSet, basis: Basis) -> DataFrame:
+    """subject_id, hour and curve: each observed curve from its own scores."""
+    return data.observations.select("subject_id", "hour", basis.scores().alias("xi")).select("subject_id", "hour", basis.curves().alias("curve"))
+
+
 def fit_basis(data: CurveSet, n_modes: int | str = 3, weighted: bool = True) -> Basis:
     """Shape modes. Weighted: by quadrature, variances over n - 1; otherwise plain, over n.
 
-    A string for ``n_modes`` takes the fewest modes that explain 95 % of the variance.
+    "ev95" for ``n_modes`` takes the fewest modes that explain 95 % of the variance.
     """
     mean = np.array([r["mean"] for r in data.mean_curve().orderBy("j").collect()])
     w = np.array(data.weights) if weighted else np.ones(len(mean))
@@ -99,18 +149,21 @@ class SpectralModel:
 
     def _per_subject(self, data: CurveSet, made, schema: str) -> DataFrame:
         """made(hours, offsets, coefficients[mode, 2R], covariance) gives the columns of a subject's rows."""
-        precision, noise, ridge, harmonics, period = self.precision(), self.noise, self.ridge, self.harmonics, self.period
+        precision, noise, ridge, harmonics, period, modes = self.precision(), self.noise, self.ridge, self.harmonics, self.period, len(self.basis.modes)
 
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("hour", kind="stable")
-            x, hours = np.stack(rows["xi"].to_numpy()), rows["hour"].to_numpy()
+        def prepared(hours: np.ndarray):
+            design = dense.fourier(hours, harmonics, period)
+            return design, dense.posterior_covariance(precision, design, modes, noise, ridge)
+
+        known = remembered(prepared)
+
+        def run(hours: np.ndarray, x: np.ndarray) -> dict[str, list]:
+            design, covariance = known(hours)
             offsets = x.mean(axis=0)
-            b, covariance = dense.posterior(precision, dense.fourier(hours, harmonics, period), x - offsets, noise, ridge)
-            out = pd.DataFrame(made(hours, offsets, b.reshape(x.shape[1], -1), covariance))
-            out.insert(0, "subject_id", key[0])
-            return out
+            b = covariance @ (design.T @ (x - offsets)).T.reshape(-1) / noise
+            return made(hours, offsets, b.reshape(modes, -1), covariance)
 
-        return data.observations.select("subject_id", "hour", self.basis.scores().alias("xi")).groupBy("subject_id").applyInPandas(run, schema)
+        return by_subject(data.observations, self.basis.scores(), run, schema)
 
     def posteriors(self, data: CurveSet) -> DataFrame:
         def made(hours, offsets, b, covariance):
@@ -138,55 +191,91 @@ class SpectralModel:
         def made(hours, offsets, b, covariance):
             at = np.arange(24) if all_hours else hours
             curves = (offsets + dense.fourier(at, harmonics, period) @ b.T) @ modes + mean
-            return {"hour": at.astype("int32"), "curve": list(curves)}
+            return {"hour": at.tolist(), "curve": list(curves)}
 
         return self._per_subject(data, made, "subject_id string, hour int, curve array<double>")
 
 
-def harmonic_noise(scores: DataFrame, harmonics: int, period: float) -> float:
-    """Residual variance of least squares: by subject and mode, then the mean over subjects, then over modes. scores: xi array."""
+def mode_noise(scores: DataFrame, harmonics: int, period: float) -> np.ndarray:
+    """Residual variance of least squares of each mode: by subject, then the mean over subjects with two hours or more. scores: xi array."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["xi"].to_numpy())
+    def rest(hours: np.ndarray, x: np.ndarray) -> dict[str, list]:
+        if len(x) < 2:
+            return {"m": [], "v": []}
         x = x - x.mean(axis=0)
-        design = dense.fourier(rows["hour"].to_numpy(), harmonics, period)
-        rest = x - design @ np.linalg.lstsq(design, x, rcond=None)[0]
-        return pd.DataFrame({"m": np.arange(x.shape[1]), "v": rest.var(axis=0, ddof=1) if len(x) > 1 else np.nan})
+        design = dense.fourier(hours, harmonics, period)
+        left = x - design @ np.linalg.lstsq(design, x, rcond=None)[0]
+        return {"m": list(range(x.shape[1])), "v": left.var(axis=0, ddof=1).tolist()}
+
+    each = by_subject(scores, F.col("xi"), rest, "subject_id string, m int, v double")
+    return np.array([r["v"] for r in each.groupBy("m").agg(F.avg("v").alias("v")).orderBy("m").collect()])
+
+
+def harmonic_noise(scores: DataFrame, harmonics: int, period: float) -> float:
+    """The mean over modes of mode_noise, floored."""
+    found = mode_noise(scores, harmonics, period)
+    return max(float(found.mean()) if len(found) else 0.0, 1e-12)
 
-    each = scores.groupBy("subject_id").applyInPandas(run, "m int, v double").where("v IS NOT NULL AND NOT isnan(v)")
-    found = each.groupBy("m").agg(F.avg("v").alias("v")).agg(F.avg("v")).first()[0]
-    return max(float(found or 0.0), 1e-12)
 
+@dataclass(frozen=True)
+class Fit:
+    """What one pass over the data gives for every smaller number of modes and any shrinkage: modes are nested."""
 
-def fit_spectral(data: CurveSet, n_modes: int | str = 3, harmonics: int = 2, shrinkage: float = 0.25, period: float = 24.0, **options) -> SpectralModel:
-    """Fit shape modes, noise and shrunk cross-spectra; options are the last fields of SpectralModel."""
-    basis = fit_basis(data, n_modes)
+    basis: Basis
+    noise: np.ndarray
+    spectra: np.ndarray
+    harmonics: int
+    period: float
+
+    def model(self, modes: int, shrinkage: float, **options) -> SpectralModel:
+        basis = replace(self.basis, modes=self.basis.modes[:modes], variances=self.basis.variances[:modes])
+        s = self.spectra[:, : len(basis.modes), : len(basis.modes)]
+        s = (1 - shrinkage) * s + shrinkage * s * np.eye(s.shape[1])
+        pairs = [dense.descending(x, floor=1e-10) for x in s]
+        noise = max(float(self.noise[: len(basis.modes)].mean()) if len(self.noise) else 0.0, 1e-12)
+        return SpectralModel(basis, noise, s, np.stack([v for v, _ in pairs]), np.stack([u for _, u in pairs]), self.harmonics, self.period, **options)
+
+
+def fit_parts(data: CurveSet, n_modes: int | str, harmonics: int, period: float, basis: Basis | None = None) -> Fit:
+    basis = basis or fit_basis(data, n_modes)
     scores = data.observations.select("subject_id", "hour", basis.scores().alias("xi"))
-    noise = harmonic_noise(scores, harmonics, period)
+    noise = mode_noise(scores, harmonics, period)
     long = spectral.centred(scores.select("subject_id", "hour", F.posexplode("xi").alias("m", "xi")))
-    spectra = spectral.shrunk(spectral.cross_spectra(spectral.lag_covariance(long), harmonics), shrinkage)
-    s = spectral.collected_spectra(spectra, harmonics, len(basis.modes))
-    pairs = [dense.descending(x, floor=1e-10) for x in s]
-    return SpectralModel(basis, noise, s, np.stack([v for v, _ in pairs]), np.stack([u for _, u in pairs]), harmonics, period, **options)
+    spectra = spectral.cross_spectra(spectral.lag_covariance(long), harmonics)
+    return Fit(basis, noise, spectral.collected_spectra(spectra, harmonics, len(basis.modes)), harmonics, period)
+
+
+def fit_spectral(data: CurveSet, n_modes: int | str = 3, harmonics: int = 2, shrinkage: float = 0.25, period: float = 24.0, basis: Basis | None = None, **options) -> SpectralModel:
+    """Fit shape modes (or take a basis), noise and shrunk cross-spectra; options are the last fields of SpectralModel.
+
+    Modes and shrinkage are chosen by folds in operators.selection.
+    """
+    found = fit_parts(data, n_modes, harmonics, period, basis)
+    return found.model(len(found.basis.modes), shrinkage, **options)
 
 
 def cosinor(data: CurveSet, harmonics: int = 2, period: float = 24.0, reconstruct: bool = False) -> DataFrame:
     """Least squares of raw curves on a level and harmonics: each subject's fingerprint (levels, then amplitudes and phases of
     each harmonic, a value for each scale), or its fitted curves at the observed hours."""
+    solved = remembered(lambda hours: least_squares(dense.fourier(hours, harmonics, period, intercept=True)))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("hour", kind="stable")
-        design = dense.fourier(rows["hour"].to_numpy(), harmonics, period, intercept=True)
-        b = np.linalg.lstsq(design, np.stack(rows["curve"].to_numpy()), rcond=None)[0]
+    def run(hours: np.ndarray, x: np.ndarray) -> dict[str, list]:
+        design, inverse = solved(hours)
+        b = inverse @ x
         if reconstruct:
-            return pd.DataFrame({"subject_id": key[0], "hour": rows["hour"].to_numpy(), "curve": list(design @ b)})
+            return {"hour": hours.tolist(), "curve": list(design @ b)}
         parts = [b[0]]
         for a, s in zip(b[1::2], b[2::2], strict=True):
             parts += [np.hypot(a, s), np.arctan2(-s, a)]
-        return pd.DataFrame({"subject_id": [key[0]], "fingerprint": [np.concatenate(parts)]})
+        return {"fingerprint": [np.concatenate(parts)]}
 
     schema = "subject_id string, hour int, curve array<double>" if reconstruct else "subject_id string, fingerprint array<double>"
-    return data.observations.select("subject_id", "hour", "curve").groupBy("subject_id").applyInPandas(run, schema)
+    return by_subject(data.observations, F.col("curve"), run, schema)
+
+
+def least_squares(design: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A design and the matrix that gives its solution of least norm."""
+    return design, np.linalg.pinv(design, rcond=max(design.shape) * np.finfo(float).eps)
 
 
 @dataclass(frozen=True)
@@ -205,18 +294,14 @@ class HarmonicModel:
 
     def _per_subject(self, data: CurveSet, made, schema: str) -> DataFrame:
         harmonics, period = self.harmonics, self.period
+        solved = remembered(lambda hours: least_squares(dense.fourier(hours, harmonics, period)))
 
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("hour", kind="stable")
-            x = np.stack(rows["xi"].to_numpy())
+        def run(hours: np.ndarray, x: np.ndarray) -> dict[str, list]:
+            design, inverse = solved(hours)
             offsets = x.mean(axis=0)
-            design = dense.fourier(rows["hour"].to_numpy(), harmonics, period)
-            b = np.linalg.lstsq(design, x - offsets, rcond=None)[0]
-            out = pd.DataFrame(made(rows["hour"].to_numpy(), offsets, b, design))
-            out.insert(0, "subject_id", key[0])
-            return out
+            return made(hours, offsets, inverse @ (x - offsets), design)
 
-        return data.observations.select("subject_id", "hour", self.basis.scores().alias("xi")).groupBy("subject_id").applyInPandas(run, schema)
+        return by_subject(data.observations, self.basis.scores(), run, schema)
 
     def transform(self, data: CurveSet) -> DataFrame:
         vectors, powers = self.vectors, self.powers
@@ -236,14 +321,14 @@ class HarmonicModel:
         modes, mean = self.basis.modes, self.basis.mean
 
         def made(hours, offsets, b, design):
-            return {"hour": hours, "curve": list((offsets + design @ b) @ modes + mean)}
+            return {"hour": hours.tolist(), "curve": list((offsets + design @ b) @ modes + mean)}
 
         return self._per_subject(data, made, "subject_id string, hour int, curve array<double>")
 
 
-def fit_harmonic(data: CurveSet, kind: str = "least_squares", n_modes: int | str = 3, harmonics: int = 2, shrinkage: float = 0.25, rotate: bool = True, period: float = 24.0) -> HarmonicModel:
+def fit_harmonic(data: CurveSet, kind: str = "least_squares", n_modes: int | str = 3, harmonics: int = 2, shrinkage: float = 0.25, rotate: bool = True, period: float = 24.0, basis: Basis | None = None) -> HarmonicModel:
     """kind "least_squares": spectra of all modes, for rotation; "diagonal": a power for each harmonic and mode. Pairs are pooled."""
-    basis = fit_basis(data, n_modes, weighted=False)
+    basis = basis or fit_basis(data, n_modes, weighted=False)
     if kind == "least_squares" and not rotate:
         return HarmonicModel(basis, harmonics=harmonics, period=period)
     scores = data.observations.select("subject_id", "hour", F.posexplode(basis.scores()).alias("m", "xi"))

@@ -6,14 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayline.dataset import CurveSet
 
 
+#: Vectors that reach the driver at most; partitions' sums are added up in as many groups before.
+GROUPS = 32
+
+
 def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
-    """The sum of part(batch), a vector of fixed size, over all batches: one vector leaves each partition."""
+    """The sum of part(batch), a vector of fixed size, over all batches: one vector leaves each partition, GROUPS at most reach the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, any_row = np.zeros(size), False
@@ -21,12 +26,13 @@ def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: in
             if len(batch):
                 total, any_row = total + part(batch), True
         if any_row:
-            yield pd.DataFrame({"k": np.arange(size), "v": total})
+            yield pd.DataFrame({"g": [TaskContext.get().partitionId() % GROUPS], "v": [total]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"v": [np.sum(group["v"].to_list(), axis=0)]})
 
-    out = np.zeros(size)
-    for k, v in rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        out[k] = v
-    return out
+    found = rows.mapInPandas(run, "g int, v array<double>").groupBy("g").applyInPandas(added, "v array<double>").toPandas()["v"]
+    return np.sum(found.to_list(), axis=0) if len(found) else np.zeros(size)
 
 
 def days(data: CurveSet) -> DataFrame:

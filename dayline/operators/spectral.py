@@ -3,37 +3,61 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.schema import HOURS
 
+#: Lags 0 to 12; the rest mirrors. Days that are laid out at once.
+HALF, DAYS = 13, 512
+
 
 def centred(scores: DataFrame) -> DataFrame:
-    """scores with ``offset``, the subject's mean of a mode, and ``centred``."""
+    """scores with ``offset``, the subject's mean of a mode, and ``centred``. Rows are dealt by subject once, also for what packs them later."""
     mean = F.avg("xi").over(Window.partitionBy("subject_id", "m"))
-    return scores.withColumn("offset", mean).withColumn("centred", F.col("xi") - mean)
-
-
-def packed(scores: DataFrame) -> DataFrame:
-    """subject_id and ``day``: an array of (hour, x) with the centred scores of all modes, at most 24 entries."""
-    rows = scores.groupBy("subject_id", "hour").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "centred"))), lambda x: x["centred"]).alias("x"))
-    return rows.groupBy("subject_id").agg(F.collect_list(F.struct("hour", "x")).alias("day"))
+    return scores.repartition("subject_id").withColumn("offset", mean).withColumn("centred", F.col("xi") - mean)
 
 
-def lag_products(scores: DataFrame) -> DataFrame:
-    """subject_id, lag, m, n and prod for all ordered pairs of a subject's hours with lag 0 to 12; the rest mirrors.
+def lag_sums(scores: DataFrame, pooled: bool, diagonal: bool) -> DataFrame:
+    """lag (0 to 12), m, n, the sum of products over pairs of a subject's hours, and how many there are, by partition.
 
-    A subject's day is one bounded row, so pairs are made inside it and the scores are shuffled once.
+    A subject's day is one bounded row. Pooled: every pair counts; otherwise a subject counts once for each lag, with its mean.
     """
-    day = packed(scores)
-    pairs = day.select("subject_id", F.explode("day").alias("p"), "day").select("subject_id", "p", F.explode("day").alias("q"))
-    lag = F.pmod(F.col("q.hour") - F.col("p.hour"), F.lit(HOURS))
-    near = pairs.select("subject_id", lag.alias("lag"), F.col("p.x").alias("a"), F.col("q.x").alias("b")).where("lag <= 12")
-    rows = near.select("subject_id", "lag", "b", F.posexplode("a").alias("m", "x"))
-    return rows.select("subject_id", "lag", "m", "x", F.posexplode("b").alias("n", "y")).select("subject_id", "lag", "m", "n", (F.col("x") * F.col("y")).alias("prod"))
+    days = scores.groupBy("subject_id").agg(F.collect_list(F.struct("hour", "m", "centred")).alias("day"))
+    days = days.select(F.transform("day", lambda x: x["hour"]).alias("hour"), F.transform("day", lambda x: x["m"]).alias("m"), F.transform("day", lambda x: x["centred"]).alias("x"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, counts = {}, np.zeros(HALF)
+        for batch in batches:
+            for first in range(0, len(batch), DAYS):
+                some = batch.iloc[first : first + DAYS]
+                row = np.repeat(np.arange(len(some)), some["hour"].map(len))
+                hour, m = np.concatenate(some["hour"].to_list()), np.concatenate(some["m"].to_list())
+                x, seen = np.zeros((len(some), HOURS, int(m.max()) + 1)), np.zeros((len(some), HOURS))
+                x[row, hour, m] = np.concatenate(some["x"].to_list())
+                seen[row, hour] = 1
+                for lag in range(HALF):
+                    pairs = (seen * np.roll(seen, -lag, axis=1)).sum(axis=1)
+                    weight = np.ones(len(some)) if pooled else 1 / np.maximum(pairs, 1)
+                    later = np.roll(x, -lag, axis=1)
+                    found = np.einsum("i,ihm,ihm->m", weight, x, later) if diagonal else np.tensordot(x * weight[:, None, None], later, axes=([0, 1], [0, 1]))
+                    sums[lag] = grown(sums[lag], found) if lag in sums else found
+                    counts[lag] += pairs.sum() if pooled else (pairs > 0).sum()
+        for lag, found in sums.items():
+            at = np.nonzero(np.ones_like(found))
+            yield pd.DataFrame({"lag": lag, "m": at[0], "n": at[-1], "s": found[at], "k": counts[lag]})
+
+    return days.mapInPandas(run, "lag int, m int, n int, s double, k double")
+
+
+def grown(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two square arrays, or vectors, the smaller one filled with zeros."""
+    size = max(len(a), len(b))
+    return sum(np.pad(x, [(0, size - len(x))] * x.ndim) for x in (a, b))
 
 
 def mirrored(half: DataFrame) -> DataFrame:
@@ -44,23 +68,24 @@ def mirrored(half: DataFrame) -> DataFrame:
 
 def lag_covariance(scores: DataFrame, pooled: bool = False, diagonal: bool = False) -> DataFrame:
     """lag, m, n and cov. Subjects count alike, their pairs averaged first; pooled: every pair counts alike."""
-    products = lag_products(scores)
-    if diagonal:
-        products = products.where("m = n")
-    if not pooled:
-        products = products.groupBy("subject_id", "lag", "m", "n").agg(F.avg("prod").alias("prod"))
-    return mirrored(products.groupBy("lag", "m", "n").agg(F.avg("prod").alias("cov")))
+    sums = lag_sums(scores, pooled, diagonal).groupBy("lag", "m", "n").agg((F.sum("s") / F.sum("k")).alias("cov"), F.sum("k").alias("k"))
+    return mirrored(sums.where("k > 0"))
 
 
 def cross_spectra(lags: DataFrame, harmonics: int, symmetric: bool = True) -> DataFrame:
-    """r, m, n, re and im: the discrete Fourier transform over lags -11 to 12, over 24; lags never seen add nothing."""
+    """r, m, n, re and im: the discrete Fourier transform over lags -11 to 12, over 24; lags never seen add nothing.
+
+    Symmetric: the mean of the matrix and its conjugate transpose, as a sum over each entry's two places.
+    """
     rows = lags.select("m", "n", "cov", "lag", F.explode(F.sequence(F.lit(1), F.lit(harmonics))).alias("r"))
+    if symmetric:
+        own = F.struct(F.col("m").alias("m"), F.col("n").alias("n"), (F.col("cov") / 2).alias("cov"), F.lit(1).alias("sign"))
+        other = F.struct(F.col("n").alias("m"), F.col("m").alias("n"), (F.col("cov") / 2).alias("cov"), F.lit(-1).alias("sign"))
+        rows = rows.select("r", "lag", F.inline(F.array(own, other)))
+    else:
+        rows = rows.withColumn("sign", F.lit(1))
     angle = F.col("r") * F.col("lag") * (2 * math.pi / HOURS)
-    s = rows.groupBy("r", "m", "n").agg((F.sum(F.col("cov") * F.cos(angle)) / HOURS).alias("re"), (-F.sum(F.col("cov") * F.sin(angle)) / HOURS).alias("im"))
-    if not symmetric:
-        return s
-    t = s.select("r", F.col("n").alias("m"), F.col("m").alias("n"), F.col("re").alias("re_t"), F.col("im").alias("im_t"))
-    return s.join(t, ["r", "m", "n"]).select("r", "m", "n", ((F.col("re") + F.col("re_t")) / 2).alias("re"), ((F.col("im") - F.col("im_t")) / 2).alias("im"))
+    return rows.groupBy("r", "m", "n").agg((F.sum(F.col("cov") * F.cos(angle)) / HOURS).alias("re"), (-F.sum(F.col("sign") * F.col("cov") * F.sin(angle)) / HOURS).alias("im"))
 
 
 def power_spectra(lags: DataFrame, harmonics: int) -> DataFrame:
