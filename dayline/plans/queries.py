@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dayline import schema
 from dayline.dataset import CurveSet
-from dayline.functions.curves import curvature, morphology, quadrature_weights
+from dayline.functions.curves import mean_curvature, morphology, quadrature_weights
 from dayline.operators import autoencoder, estimators, evaluation, spectral, two_level
 from dayline.sources import tables
 
@@ -54,7 +54,7 @@ raw AS (SELECT r, m, n, sum(cov * cos(2 * pi() * r * lag / 24)) / 24 AS re, -sum
 spec AS (SELECT s.r, s.m, s.n, (s.re + t.re) / 2 AS re, (s.im - t.im) / 2 AS im FROM raw s JOIN raw t ON s.r = t.r AND s.m = t.n AND s.n = t.m)
 """
 EMB = """
-WITH e AS (SELECT CAST(vec_id // 24 AS VARCHAR) AS subject_id, CAST(vec_id % 24 AS BIGINT) AS hour, embedding FROM embeddings WHERE (vec_id * 7) % 10 >= 3),
+WITH e AS (SELECT CAST(vec_id // 24 AS VARCHAR) AS subject_id, CAST(vec_id % 24 AS BIGINT) AS hour, embedding FROM embeddings),
 p AS (SELECT subject_id, hour, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM e),
 g AS (SELECT *, log10(5) + j * (log10(200) - log10(5)) / 63 AS s FROM p)
 """
@@ -111,7 +111,7 @@ def q_adults(spark, d):
 def q_morphology(spark, d):
     rows = tables.embedding_curves(spark, d)
     found = morphology(F.col("curve"), embedding_grid())
-    return rows.select("subject_id", F.col("hour").cast("long").alias("hour"), *(r6(c).alias(n) for n, c in found.items()), r6(curvature(F.col("curve"))).alias("curvature"))
+    return rows.select("subject_id", F.col("hour").cast("long").alias("hour"), *(r6(c).alias(n) for n, c in found.items()), r6(mean_curvature(F.col("curve"), embedding_grid())).alias("curvature"))
 
 
 def q_centred(spark, d):
@@ -181,7 +181,7 @@ h AS (SELECT subject_id, hour, 1 - sum(greatest(d, 0)) / sum(abs(d)) AS monotoni
 en AS (SELECT f.subject_id, f.hour, -sum((v - lo) / mass * ln((v - lo) / mass + 1e-12)) AS entropy FROM f JOIN h USING (subject_id, hour) GROUP BY ALL),
 k AS (SELECT *, v - lag(v) OVER (PARTITION BY subject_id, hour ORDER BY j) AS d, avg(v) OVER (PARTITION BY subject_id, hour) AS mu FROM g WHERE s BETWEEN log10(10) AND log10(30)),
 co AS (SELECT subject_id, hour, -log10(sum(d * d) / sum((v - mu) * (v - mu))) AS coherence FROM k GROUP BY ALL),
-cu AS (SELECT subject_id, hour, avg(abs(b)) AS curvature FROM (SELECT subject_id, hour, v - 2 * lag(v) OVER w + lag(v, 2) OVER w AS b FROM g WINDOW w AS (PARTITION BY subject_id, hour ORDER BY j)) GROUP BY ALL)
+cu AS (SELECT subject_id, hour, avg(abs(b)) AS curvature FROM (SELECT subject_id, hour, v - 2 * lag(v) OVER w + lag(v, 2) OVER w AS b FROM g WHERE s <= log10(100) WINDOW w AS (PARTITION BY subject_id, hour ORDER BY j)) GROUP BY ALL)
 SELECT subject_id, hour, round(coherence, 6) AS coherence, round(monotonicity, 6) AS monotonicity, round(dynamic_range, 6) AS dynamic_range, round(auc, 6) AS auc, round(centroid, 6) AS centroid, round(entropy, 6) AS entropy, round(curvature, 6) AS curvature
 FROM h JOIN en USING (subject_id, hour) JOIN co USING (subject_id, hour) JOIN cu USING (subject_id, hour)""",
     ),
@@ -303,7 +303,7 @@ SELECT metric, round(value, 6) AS value FROM (UNPIVOT f ON mse, mae, r2, pearson
     ),
     "silhouette": (
         q_silhouette,
-        """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, (vec_id % 24) // 8 AS c FROM embeddings WHERE (vec_id * 7) % 10 >= 3),
+        """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, (vec_id % 24) // 8 AS c FROM embeddings),
 d AS (SELECT a.vec_id, a.c, b.c AS o, sum(list_distance(a.x, b.x)) AS d, count(*) AS n FROM e a, e b GROUP BY ALL),
 s AS (SELECT vec_id, max(CASE WHEN o = c THEN d / (n - 1) END) AS i, min(CASE WHEN o <> c THEN d / n END) AS x FROM d GROUP BY 1)
 SELECT round(avg((x - i) / greatest(x, i)), 6) AS silhouette FROM s""",

@@ -5,14 +5,33 @@ A wide CSV of curves has a subject column and one column for each scale; one fil
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import csv
+import logging
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from dayline import schema
+from dayline.functions.curves import morphology, total
+
+log = logging.getLogger(__name__)
 
 MIN_HOURS = 4
 ADULT = 18
-# Cohorts, windows in hours, and file names.
+#: Rows under which paired data of one hour are too few to learn from.
+LEAST_PAIRED = 10
+# Figures and their columns in the summary file.
+SUMMARY = {"reconstruction_mse": "Reconstruction_MSE", "accuracy": "Classification_Acc", "auc": "Classification_AUC", "silhouette": "Silhouette_Score", "adjusted_rand": "Adjusted_Rand_Index"}
+# Cohorts, windows in hours, curve features, and hours of the supervised task.
 COHORTS = ("986", "108", "Healthy")
 WINDOWS = (1, 2, 4, 6)
+CURVES = ("lmds", "alphas")
+TASK_HOURS = (0, 4, 8, 12, 16, 20)
 
 
 def covariate_path(root: str, cohort: str, window: int) -> str:
@@ -23,38 +42,81 @@ def curve_path(root: str, cohort: str, feature: str, window: int, hour: int) ->
     return f"{root}/{cohort}/{feature}_{window}h_{hour}.csv"
 
 
+def curve_paths(root: str, cohort: str, feature: str, window: int) -> dict[int, str]:
+    return {hour: curve_path(root, cohort, feature, window, hour) for hour in range(schema.HOURS)}
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame:
+    """cohort, window, feature, hour and path of every file that the layout has: curves by hour, covariates with no hour."""
+    rows = [(c, w, f, h, curve_path(root, c, f, w, h)) for c in COHORTS for w in WINDOWS for f in CURVES for h in range(schema.HOURS)]
+    rows += [(c, w, "covariates", None, covariate_path(root, c, w)) for c in COHORTS for w in WINDOWS]
+    return spark.createDataFrame(rows, "cohort string, window int, feature string, hour int, path string")
+
+
+def header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file: only its first line is read. A missing file raises AnalysisException."""
+    first = spark.read.text(path).first()
+    return [] if first is None else next(csv.reader([first[0]]))
+
+
+def raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings, in one scan; readers cast what they need."""
+    names = header(spark, path)
+    if not names:
+        return spark.createDataFrame([], "subject_id string")
+    types = T.StructType([T.StructField(n or "subject_id", T.StringType()) for n in names])
+    return spark.read.csv(path, header=True, schema=types, mode="FAILFAST", enforceSchema=True)
+
+
+def number(name: str) -> Column:
+    """A column of numbers; what is no number is missing."""
+    return F.nanvl(F.expr(f"try_cast(`{name}` AS DOUBLE)"), F.lit(None))
+
+
 def covariates(spark: SparkSession, path: str, age: str = "age") -> DataFrame:
-    """Rows of adults; the first column is the key, as a string ``subject_id``."""
-    raw = spark.read.csv(path, header=True, inferSchema=True)
-    key = raw.columns[0]
-    return adults(raw.withColumnRenamed(key, "subject_id").withColumn("subject_id", F.col("subject_id").cast("string")), age)
+    """Rows of adults; the first column is the key, as a string ``subject_id``; columns of numbers come as doubles."""
+    raw = raw_csv(spark, path)
+    key, *names = raw.columns
+    seen = raw.agg(*(F.max(F.col(f"`{n}`").isNotNull() & (F.trim(f"`{n}`") != "") & F.expr(f"try_cast(`{n}` AS DOUBLE)").isNull()).alias(f"t{i}") for i, n in enumerate(names))).first()
+    typed = [F.col(f"`{n}`").alias(n) if seen[f"t{i}"] else number(n).alias(n) for i, n in enumerate(names)]
+    return adults(raw.select(F.col(f"`{key}`").alias("subject_id"), *typed), age)
 
 
 def adults(rows: DataFrame, age: str = "age", least: float = ADULT) -> DataFrame:
     return rows.where(F.nanvl(F.col(age).cast("double"), F.lit(None)) >= least)
 
 
-def wide_curves(spark: SparkSession, path: str, hour: int) -> tuple[DataFrame, list[float]]:
-    """Observations of one file and its scales. Columns with a missing value in any row are left out."""
-    raw = spark.read.csv(path, header=True, inferSchema=True)
+def wide_curves(spark: SparkSession, path: str, hour: int, subjects: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+    """Observations of one file and its scales. Columns with a missing value in any row are left out; of rows, those without a subject in ``subjects``."""
+    raw = raw_csv(spark, path)
     key, *names = raw.columns
-    value = {n: F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None)) for n in names}
-    whole = raw.agg(F.count(F.lit(1)).alias("rows"), *(F.count(value[n]).alias(f"c{i}") for i, n in enumerate(names))).first()
-    kept = sorted((n for i, n in enumerate(names) if whole[f"c{i}"] == whole["rows"]), key=float)
-    curve = F.array(*(value[n] for n in kept)) if kept else F.array().cast("array<double>")
-    return raw.select(F.col(f"`{key}`").cast("string").alias("subject_id"), F.lit(hour).alias("hour"), curve.alias("curve")), [float(n) for n in kept]
+    whole = raw.agg(F.count(F.lit(1)).alias("rows"), *(F.count(number(n)).alias(f"c{i}") for i, n in enumerate(names))).first()
+    kept = sorted((n for i, n in enumerate(names) if whole["rows"] and whole[f"c{i}"] == whole["rows"]), key=float)
+    curve = F.array(*map(number, kept)) if kept else F.array().cast("array<double>")
+    rows = raw.select(F.col(f"`{key}`").alias("subject_id"), F.lit(hour).alias("hour"), curve.alias("curve"))
+    if subjects is not None:
+        rows = rows.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi")
+    return rows, [float(n) for n in kept]
 
 
-def hourly_curves(spark: SparkSession, paths: dict[int, str], min_hours: int = MIN_HOURS) -> tuple[DataFrame, list[float]]:
-    """All hours that can be read, subjects with too few hours left out; raises if none remain."""
+def hourly_curves(spark: SparkSession, paths: dict[int, str], min_hours: int = MIN_HOURS, subjects: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+    """All hours that have a file with curves, subjects with too few hours left out; raises if none remain.
+
+    A missing file is an hour without rows, and is logged; any other fault raises. Scales are those that all files have.
+    """
     parts, scales, skipped = [], None, []
     for hour, path in sorted(paths.items()):
         try:
-            part, own = wide_curves(spark, path, hour)
-        except Exception as e:  # a missing or unreadable file is an hour without rows
-            skipped.append((hour, type(e).__name__))
+            part, own = wide_curves(spark, path, hour, subjects)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            log.warning("hour %d is left out: no file %s", hour, path)
+            skipped.append(hour)
             continue
         if not own:
+            log.warning("hour %d is left out: no column of %s is whole", hour, path)
+            skipped.append(hour)
             continue
         if scales is not None and own != scales:
             both = [s for s in scales if s in own]
@@ -63,11 +125,62 @@ def hourly_curves(spark: SparkSession, paths: dict[int, str], min_hours: int = M
         scales = scales or own
         parts.append(part)
     if not parts:
-        raise ValueError(f"no curves; unreadable hours: {skipped}")
+        raise ValueError(f"no curves; hours without any: {skipped}")
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return enough_hours(some_value(rows), min_hours), scales
+    rows = enough_hours(some_value(rows), min_hours)
+    if rows.isEmpty():
+        raise ValueError(f"no subject has {min_hours} hours")
+    return rows, scales
+
+
+def features(curves: DataFrame, scales: list[float], subjects: DataFrame) -> DataFrame:
+    """Shape features of every hour beside the covariates of the same subject and hour, of subjects with all 24 hours."""
+    rows = complete_days(curves.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi"))
+    found = rows.select("subject_id", "hour", *(c.alias(n) for n, c in morphology(F.col("curve"), scales).items()))
+    return subjects.join(found, ["subject_id", "hour"])
+
+
+def supervised(rows: DataFrame, first: DataFrame, second: DataFrame, target: str, least: int = LEAST_PAIRED) -> DataFrame:
+    """subject_id, a, b and log10 of the target: of one hour, the two curves of subjects with a positive target, their first by hour.
+
+    No rows come back if fewer than ``least`` have a target, have both curves too, or have no missing value in them.
+    """
+    value = F.nanvl(F.col(target).cast("double"), F.lit(None))
+    targets = rows.where(value.isNotNull()).groupBy("subject_id").agg(F.min_by(value, "hour").alias("y")).where("y > 0")
+    both = first.select("subject_id", F.col("curve").alias("a")).join(second.select("subject_id", F.col("curve").alias("b")), "subject_id").join(targets, "subject_id")
+    valid = both.where(whole("a") & whole("b"))
+    counts = targets.agg(F.count(F.lit(1)).alias("n0")).join(both.agg(F.count(F.lit(1)).alias("n1"))).join(valid.agg(F.count(F.lit(1)).alias("n2")))  # one row each
+    gate = counts.where((F.col("n0") >= least) & (F.col("n1") >= least) & (F.col("n2") >= least)).select(F.lit(True).alias("enough"))
+    return valid.crossJoin(F.broadcast(gate)).select("subject_id", "a", "b", F.log10("y").alias("target"))
+
+
+def samples(first: DataFrame, second: DataFrame | None = None, targets: DataFrame | None = None, target: str = "BNP") -> DataFrame:
+    """subject_id, hour, one or two channels standardised over all their values, missing values 0, and log10 of the target where there is one."""
+    rows, names = first.select("subject_id", "hour", F.col("curve").alias("a")), ("a",)
+    if second is not None:
+        rows, names = rows.join(second.select("subject_id", "hour", F.col("curve").alias("b")), ["subject_id", "hour"]), ("a", "b")
+    if targets is not None:
+        known = targets.select("subject_id", F.nanvl(F.col(target).cast("double"), F.lit(None)).alias("y")).where("y IS NOT NULL")
+        rows = rows.join(known, "subject_id").select("subject_id", "hour", *names, F.log10("y").alias("target"))
+    return standardised(rows, names)
+
+
+def transformed(rows: DataFrame, columns: tuple[str, ...], change: Callable[[np.ndarray, np.random.Generator], np.ndarray], seed: int = 0) -> DataFrame:
+    """rows with change(x, rng) in place of the channels x (channel, scale) of each; a row's generator hangs on its key and the seed only."""
+    types = ", ".join(f"{n} array<double>" for n in columns)
+    keyed = rows.withColumn("seed", F.xxhash64("subject_id", "hour", F.lit(seed)))
+    other = [c for c in rows.columns if c not in columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = {c: batch[c] for c in other}
+            made = [change(np.array([batch[c].iloc[i] for c in columns], float), np.random.default_rng(int(s) & (2**63 - 1))) for i, s in enumerate(batch["seed"])]
+            yield pd.DataFrame(out | {c: [m[k] for m in made] for k, c in enumerate(columns)}, index=batch.index)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in other)
+    return keyed.mapInPandas(run, f"{kept}, {types}").select(*rows.columns)
 
 
 def at_scales(rows: DataFrame, scales: list[float], kept: list[float]) -> DataFrame:
@@ -94,18 +207,26 @@ def complete_days(rows: DataFrame) -> DataFrame:
 def channels(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two curves at one subject and hour: the inner intersection, without rows that miss a value."""
     both = first.select("subject_id", "hour", F.col("curve").alias("a")).join(second.select("subject_id", "hour", F.col("curve").alias("b")), ["subject_id", "hour"])
-    return both.where(F.forall("a", lambda x: x.isNotNull() & ~F.isnan(x)) & F.forall("b", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return both.where(whole("a") & whole("b"))
+
+
+def whole(curve: str) -> Column:
+    return F.forall(curve, lambda x: x.isNotNull() & ~F.isnan(x))
 
 
 def standardised(rows: DataFrame, columns: tuple[str, ...] = ("a", "b"), eps: float = 1e-6) -> DataFrame:
-    """Each channel less its mean over all values, over its standard deviation; one row of statistics is joined."""
-    stats = [s for c in columns for s in (F.sum(F.aggregate(c, F.lit(0.0), lambda u, x: u + x)).alias(f"s_{c}"), F.sum(F.aggregate(c, F.lit(0.0), lambda u, x: u + x * x)).alias(f"q_{c}"), F.sum(F.size(c)).alias(f"n_{c}"))]
+    """Each channel less its mean over all values that are there, over their standard deviation; missing values are 0.
+
+    One row of statistics is joined.
+    """
+    there = {c: F.filter(F.transform(c, lambda x: F.nanvl(x, F.lit(None))), lambda x: x.isNotNull()) for c in columns}
+    stats = [s for c, v in there.items() for s in (F.sum(total(v)).alias(f"s_{c}"), F.sum(total(F.transform(v, lambda x: x * x))).alias(f"q_{c}"), F.sum(F.size(v)).alias(f"n_{c}"))]
     joined = rows.crossJoin(F.broadcast(rows.agg(*stats)))
     out = {}
     for c in columns:
         mean = F.col(f"s_{c}") / F.col(f"n_{c}")
         deviation = F.sqrt(F.greatest(F.col(f"q_{c}") / F.col(f"n_{c}") - mean * mean, F.lit(0.0)))
-        out[c] = F.transform(c, lambda x, mean=mean, deviation=deviation: (x - mean) / (deviation + eps))
+        out[c] = F.transform(c, lambda x, mean=mean, deviation=deviation: F.coalesce((F.nanvl(x, F.lit(None)) - mean) / (deviation + eps), F.lit(0.0)))
     return joined.withColumns(out).select(*rows.columns)
 
 
@@ -113,6 +234,24 @@ def written_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def benchmark_summary(rows: DataFrame) -> DataFrame:
+    """A row for each estimator with a column for each figure, from estimator, metric and value; a failed estimator has none."""
+    return rows.groupBy("estimator").pivot("metric", list(SUMMARY)).agg(F.first("value")).select("estimator", *(F.col(k).alias(v) for k, v in SUMMARY.items())).orderBy("estimator")
+
+
+def written_benchmark(rows: DataFrame, root: str, cohort: str, window: int, feature: str) -> str:
+    path = f"{root}/{cohort}/benchmark/{window}/{feature}_benchmark_summary.csv"
+    written_csv(benchmark_summary(rows).coalesce(1), path)
+    return path
+
+
+def written_folds(rows: DataFrame, root: str, cohort: str, window: int, hour: int) -> str:
+    """Figures of each fold: rep_fold, mse, r2, pearson_r, spearman_rho."""
+    path = f"{root}/{cohort}/deep_learning_results/{window}/metrics/cv_metrics_hour_{hour}.csv"
+    written_csv(rows.select("rep_fold", "mse", "r2", "pearson_r", "spearman_rho").coalesce(1), path)
+    return path
+
+
 # Stand-ins made from the tables of the test data.
 
 EVENT_SCALES = [0.0, 1.0, 2.0, 4.0, 8.0]
@@ -127,8 +266,8 @@ def event_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-point curves with hours missing: 24 vectors are the day of a subject, three in ten left out."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("(vec_id * 7) % 10 >= 3")
+    """64-point curves: 24 vectors are the day of a subject."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return rows.select(
         F.expr("vec_id div 24").cast("string").alias("subject_id"), (F.col("vec_id") % 24).cast("int").alias("hour"), F.transform("embedding", lambda x: x.cast("double")).alias("curve")
     )
