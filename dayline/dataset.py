@@ -91,9 +91,13 @@ class CurveSet:
         sums = self.observations.agg(*(F.avg(F.col("curve")[j]).alias(f"m{j}") for j in range(n)))
         return sums.select(F.posexplode(F.array(*(F.col(f"m{j}") for j in range(n)))).alias("j", "mean"))
 
+    def packed(self) -> DataFrame:
+        """subject_id and ``day``, its observations (hour, curve) in order: at most 24 in a row."""
+        return self.observations.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("hour", "curve"))).alias("day"))
+
     def tensor(self) -> DataFrame:
         """subject_id and the matrix of its curves by hour; raises unless all subjects have as many hours."""
-        packed = self.observations.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("hour", "curve"))).alias("day"))
+        packed = self.packed()
         if packed.agg(F.countDistinct(F.size("day"))).first()[0] > 1:
             raise ValueError("subjects differ in their number of hours")
         return packed.select("subject_id", F.transform("day", lambda x: x["curve"]).alias("curves"))

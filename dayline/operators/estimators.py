@@ -87,11 +87,8 @@ class Basis:
 
     def curves(self, scores: str = "xi") -> Column:
         """The curve of an array of scores: mean and modes."""
-        parts = [F.transform(literal(mode), lambda v, m=m: v * F.col(scores)[m]) for m, mode in enumerate(self.modes)]
-        out = literal(self.mean)
-        for part in parts:
-            out = F.zip_with(out, part, lambda a, b: a + b)
-        return out
+        points = [literal(self.modes[:, j]) for j in range(len(self.mean))]
+        return F.array(*(total(F.zip_with(scores, p, lambda a, b: a * b)) + float(m) for p, m in zip(points, self.mean, strict=True)))
 
 
 def mean_fingerprint(data: CurveSet, basis: Basis) -> DataFrame:

@@ -10,13 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.dataset import CurveSet
@@ -51,8 +52,11 @@ def reconstruction_mse(data: CurveSet, rebuilt: DataFrame) -> DataFrame:
     return curve_errors(data, rebuilt).agg(F.avg("mse").alias("mse"))
 
 
-def ridge_r2(rows: DataFrame, alpha: float = 1.0, folds: int = 3, seed: int = 42) -> list[float]:
-    """R squared of each fold, from sums of products by fold: one job. rows: subject_id, fingerprint, target."""
+def ridge_r2(rows: DataFrame, alpha: float = 1.0, folds: int = 3, seed: int = 42, placed: DataFrame | None = None) -> list[float]:
+    """R squared of each fold, from sums of products by fold: one job. rows: subject_id, fingerprint, target.
+
+    placed: subject_id and fold, where folds are not hashed. A fold whose figure is not finite raises.
+    """
     width = rows.select(F.size("fingerprint").alias("n")).first()
     if width is None:
         raise ValueError("no subject has a target")
@@ -66,7 +70,8 @@ def ridge_r2(rows: DataFrame, alpha: float = 1.0, folds: int = 3, seed: int = 42
             out[k] = z.T @ z
         return out.ravel()
 
-    each = summed(rows.select("fingerprint", "target", fold(folds, seed).alias("fold")), part, folds * size * size).reshape(folds, size, size)
+    at = rows.withColumn("fold", fold(folds, seed)) if placed is None else rows.join(placed, "subject_id")
+    each = summed(at.select("fingerprint", "target", "fold"), part, folds * size * size).reshape(folds, size, size)
     found = []
     for test in each:
         train = each.sum(axis=0) - test
@@ -76,6 +81,8 @@ def ridge_r2(rows: DataFrame, alpha: float = 1.0, folds: int = 3, seed: int = 42
         line = np.concatenate([[-(mean[-1] - mean[:-1] @ b)], -b, [1.0]])  # target minus prediction
         around = test[-1, -1] - test[0, -1] ** 2 / max(test[0, 0], 1)
         found.append(1 - line @ test @ line / around if around > 0 else float("nan"))
+    if not np.isfinite(found).all():
+        raise ValueError(f"R squared of a fold is not finite: {found}")
     return found
 
 
@@ -112,11 +119,20 @@ def classification(scored: DataFrame) -> dict[str, float]:
     return {"accuracy": scored.agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0], "auc": float(np.mean(areas))}
 
 
+def confusion(rows: DataFrame) -> DataFrame:
+    """target, prediction, n, and share, their part of the rows with that target."""
+    counts = rows.groupBy("target", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("target")))
+
+
 def clusters(fingerprints: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
     """subject_id, fingerprint and cluster: the best of several starts by within-cluster squares."""
-    rows = fingerprints.select("subject_id", "fingerprint", array_to_vector("fingerprint").alias("features"))
-    models = [KMeans(k=k, seed=seed + i).fit(rows) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
+    rows = fingerprints.select("subject_id", "fingerprint", array_to_vector("fingerprint").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        models = [KMeans(k=k, seed=seed + i).fit(rows) for i in range(starts)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        rows.unpersist()
     return best.transform(rows).select("subject_id", "fingerprint", F.col("prediction").alias("cluster"))
 
 

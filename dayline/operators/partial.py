@@ -37,5 +37,4 @@ def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: in
 
 def days(data: CurveSet) -> DataFrame:
     """subject_id, hours (in order) and values, its curves end to end: at most 24 curves in a row."""
-    day = data.observations.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("hour", "curve"))).alias("day"))
-    return day.select("subject_id", F.transform("day", lambda x: x["hour"]).alias("hours"), F.flatten(F.transform("day", lambda x: x["curve"])).alias("values"))
+    return data.packed().select("subject_id", F.transform("day", lambda x: x["hour"]).alias("hours"), F.flatten(F.transform("day", lambda x: x["curve"])).alias("values"))

@@ -3,63 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayline import schema
-from dayline.dataset import CurveSet
 from dayline.functions.curves import mean_curvature, morphology, quadrature_weights
 from dayline.operators import autoencoder, estimators, evaluation, spectral, two_level
+from dayline.plans import containers, fixed_basis
+from dayline.plans.sql import EMB, LONG, PAIRS, event_scores, events_set, r6
 from dayline.sources import tables
 
-GRID = "(ln(5) / ln(10) + j * (ln(200) - ln(5)) / ln(10) / 63)"
 HARMONICS, SHRINKAGE = 2, 0.25
 
 
-def events_set(spark: SparkSession, sf_dir: str) -> CurveSet:
-    return CurveSet(tables.event_curves(spark, sf_dir), tables.EVENT_SCALES)
-
-
-def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event curves in the canonical basis: a mode for each event type."""
-    long = tables.event_curves(spark, sf_dir).select("subject_id", "hour", F.posexplode("curve").alias("m", "xi"))
-    return spectral.centred(long)
-
-
 def embedding_grid() -> list[float]:
     import math
 
     return [math.log10(5) + j * (math.log10(200) - math.log10(5)) / 63 for j in range(64)]
 
 
-def r6(c) -> F.Column:
-    return F.round(c, 6)
-
-
-LONG = """
-WITH types AS (SELECT * FROM (VALUES ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4)) t(event_type, m)),
-seen AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS subject_id, CAST(hour(ts) AS BIGINT) AS hour FROM events),
-sums AS (SELECT CAST(user_id AS VARCHAR) AS subject_id, CAST(hour(ts) AS BIGINT) AS hour, event_type, sum(value) AS v FROM events GROUP BY ALL),
-obs AS (SELECT s.subject_id, s.hour, t.m, coalesce(v.v, 0) AS xi FROM seen s CROSS JOIN types t
-        LEFT JOIN sums v ON v.subject_id = s.subject_id AND v.hour = s.hour AND v.event_type = t.event_type),
-cen AS (SELECT *, avg(xi) OVER (PARTITION BY subject_id, m) AS offs, xi - avg(xi) OVER (PARTITION BY subject_id, m) AS c FROM obs)
-"""
-PAIRS = LONG + """, prods AS (SELECT a.subject_id, (b.hour - a.hour + 24) % 24 AS lag, a.m, b.m AS n, a.c * b.c AS prod
-        FROM cen a JOIN cen b ON a.subject_id = b.subject_id),
-pooled AS (SELECT lag, m, n, avg(prod) AS cov FROM prods GROUP BY ALL),
-two AS (SELECT lag, m, n, avg(p) AS cov FROM (SELECT subject_id, lag, m, n, avg(prod) AS p FROM prods GROUP BY ALL) GROUP BY ALL),
-raw AS (SELECT r, m, n, sum(cov * cos(2 * pi() * r * lag / 24)) / 24 AS re, -sum(cov * sin(2 * pi() * r * lag / 24)) / 24 AS im
-        FROM two CROSS JOIN (VALUES (1), (2)) h(r) GROUP BY ALL),
-spec AS (SELECT s.r, s.m, s.n, (s.re + t.re) / 2 AS re, (s.im - t.im) / 2 AS im FROM raw s JOIN raw t ON s.r = t.r AND s.m = t.n AND s.n = t.m)
-"""
-EMB = """
-WITH e AS (SELECT CAST(vec_id // 24 AS VARCHAR) AS subject_id, CAST(vec_id % 24 AS BIGINT) AS hour, embedding FROM embeddings),
-p AS (SELECT subject_id, hour, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM e),
-g AS (SELECT *, log10(5) + j * (log10(200) - log10(5)) / 63 AS s FROM p)
-"""
-
-
 def q_summary(spark, d):
     return events_set(spark, d).summary().select("subjects", F.col("scales").cast("long").alias("scales"), "observations", r6("mean_hours").alias("mean_hours"))
 
@@ -115,7 +79,7 @@ def q_morphology(spark, d):
 
 
 def q_centred(spark, d):
-    return event_scores(spark, d).select("subject_id", F.col("hour").cast("long").alias("hour"), F.col("m").cast("long").alias("m"), r6("offset").alias("offs"), r6("centred").alias("c"))
+    return event_scores(events_set(spark, d)).select("subject_id", F.col("hour").cast("long").alias("hour"), F.col("m").cast("long").alias("m"), r6("offset").alias("offs"), r6("centred").alias("c"))
 
 
 def lag_rows(lags):
@@ -123,35 +87,35 @@ def lag_rows(lags):
 
 
 def q_lag_two(spark, d):
-    return lag_rows(spectral.lag_covariance(event_scores(spark, d)))
+    return lag_rows(spectral.lag_covariance(event_scores(events_set(spark, d))))
 
 
 def q_lag_pooled(spark, d):
-    return lag_rows(spectral.lag_covariance(event_scores(spark, d), pooled=True))
+    return lag_rows(spectral.lag_covariance(event_scores(events_set(spark, d)), pooled=True))
 
 
 def q_lag_diagonal(spark, d):
-    return lag_rows(spectral.lag_covariance(event_scores(spark, d), pooled=True, diagonal=True))
+    return lag_rows(spectral.lag_covariance(event_scores(events_set(spark, d)), pooled=True, diagonal=True))
 
 
 def q_cross(spark, d):
-    s = spectral.cross_spectra(spectral.lag_covariance(event_scores(spark, d)), HARMONICS)
+    s = spectral.cross_spectra(spectral.lag_covariance(event_scores(events_set(spark, d))), HARMONICS)
     return s.select(*(F.col(c).cast("long").alias(c) for c in ("r", "m", "n")), r6("re").alias("re"), r6("im").alias("im"))
 
 
 def q_shrunk(spark, d):
-    s = spectral.shrunk(spectral.cross_spectra(spectral.lag_covariance(event_scores(spark, d)), HARMONICS), SHRINKAGE)
+    s = spectral.shrunk(spectral.cross_spectra(spectral.lag_covariance(event_scores(events_set(spark, d))), HARMONICS), SHRINKAGE)
     return s.select(*(F.col(c).cast("long").alias(c) for c in ("r", "m", "n")), r6("re").alias("re"), r6("im").alias("im"))
 
 
 def q_power(spark, d):
-    lags = spectral.lag_covariance(event_scores(spark, d), pooled=True, diagonal=True)
+    lags = spectral.lag_covariance(event_scores(events_set(spark, d)), pooled=True, diagonal=True)
     s = spectral.shrunk_power(spectral.power_spectra(lags, HARMONICS), SHRINKAGE)
     return s.select(F.col("r").cast("long").alias("r"), F.col("m").cast("long").alias("m"), r6("psd").alias("psd"))
 
 
 def q_cosinor(spark, d):
-    rows = spectral.complete_day_harmonics(event_scores(spark, d), HARMONICS)
+    rows = spectral.complete_day_harmonics(event_scores(events_set(spark, d)), HARMONICS)
     return rows.select("subject_id", F.col("m").cast("long").alias("m"), F.col("r").cast("long").alias("r"), r6("mesor").alias("mesor"), r6(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))).alias("amp"))
 
 
@@ -247,10 +211,15 @@ def q_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(found.within_variances.sum()),)], "total double").select(F.round("total", 4).alias("total"))
 
 
+@lru_cache(maxsize=4)
+def autoencoder_of(spark: SparkSession, sf_dir: str) -> autoencoder.Autoencoder:
+    return autoencoder.fit_autoencoder(events_set(spark, sf_dir))
+
+
 def q_autoencoder(what: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = events_set(spark, sf_dir)
-        return getattr(autoencoder.fit_autoencoder(data, steps=STEPS), what)(data)
+        return getattr(autoencoder_of(spark, sf_dir), what)(data)
 
     return run
 
@@ -279,7 +248,6 @@ def q_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.matched(prints, orders, "o_totalprice", "o_orderkey").select("subject_id", r6(F.col("fingerprint")[0]).alias("n_hours"), r6("target").alias("target"))
 
 
-STEPS = 20
 REGISTERED |= {
     "two_level_within_variance": (
         q_within,
@@ -330,5 +298,7 @@ UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosinor_fingerprint": q_cosinor_fit(False),
     "cosinor_reconstruct": q_cosinor_fit(True),
 }
+REGISTERED |= containers.REGISTERED | fixed_basis.REGISTERED
+UNSTATED |= fixed_basis.UNSTATED
 QUERIES = {name: run for name, (run, _) in REGISTERED.items()} | UNSTATED
 ORACLE_SQL = {name: sql for name, (_, sql) in REGISTERED.items()}

@@ -222,12 +222,13 @@ def standardised(rows: DataFrame, columns: tuple[str, ...] = ("a", "b"), eps: fl
     there = {c: F.filter(F.transform(c, lambda x: F.nanvl(x, F.lit(None))), lambda x: x.isNotNull()) for c in columns}
     stats = [s for c, v in there.items() for s in (F.sum(total(v)).alias(f"s_{c}"), F.sum(total(F.transform(v, lambda x: x * x))).alias(f"q_{c}"), F.sum(F.size(v)).alias(f"n_{c}"))]
     joined = rows.crossJoin(F.broadcast(rows.agg(*stats)))
-    out = {}
-    for c in columns:
+
+    def scaled(c: str) -> Column:
         mean = F.col(f"s_{c}") / F.col(f"n_{c}")
         deviation = F.sqrt(F.greatest(F.col(f"q_{c}") / F.col(f"n_{c}") - mean * mean, F.lit(0.0)))
-        out[c] = F.transform(c, lambda x, mean=mean, deviation=deviation: F.coalesce((F.nanvl(x, F.lit(None)) - mean) / (deviation + eps), F.lit(0.0)))
-    return joined.withColumns(out).select(*rows.columns)
+        return F.transform(c, lambda x: F.coalesce((F.nanvl(x, F.lit(None)) - mean) / (deviation + eps), F.lit(0.0)))
+
+    return joined.withColumns({c: scaled(c) for c in columns}).select(*rows.columns)
 
 
 def written_csv(rows: DataFrame, path: str) -> None:

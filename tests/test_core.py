@@ -4,15 +4,17 @@ import pytest
 
 from dayline.functions import dense
 from dayline.functions.curves import quadrature_weights
-from dayline.plans import queries
+from dayline.plans import containers, fixed_basis, queries
 
 SF = "/root/testdata/sf0.001"
+#: Queries of which SQL is the only check.
+NEW = [*containers.REGISTERED, *fixed_basis.REGISTERED]
 
 
-@pytest.mark.parametrize("name", ["mean_curve", "observed_pairs_lag6", "lagcov_two_level", "cross_spectra", "cosinor_24h", "morph_bundle", "visit_means", "shape_total_variance", "two_level_within_variance", "adjusted_rand", "regression_metrics", "silhouette", "target_match"])
+@pytest.mark.parametrize("name", ["mean_curve", "observed_pairs_lag6", "lagcov_two_level", "cross_spectra", "cosinor_24h", "morph_bundle", "visit_means", "shape_total_variance", "two_level_within_variance", "adjusted_rand", "regression_metrics", "silhouette", "target_match", *NEW])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "embeddings", "customer", "lineitem", "orders"):
+    for t in ("events", "embeddings", "customer", "lineitem", "orders", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
@@ -26,7 +28,11 @@ def test_query_equals_its_sql(spark, name):
             assert got[c].tolist() == want[c].tolist()
 
 
-@pytest.mark.parametrize("name", list(queries.UNSTATED))
+#: Long fits that have tests of their own.
+LONG_FITS = ("autoencoder_", "conv_", "panel_importance", "benchmark_summary")
+
+
+@pytest.mark.parametrize("name", [n for n in queries.UNSTATED if not n.startswith(LONG_FITS)])
 def test_query_without_sql_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
