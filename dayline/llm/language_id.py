@@ -4,7 +4,7 @@ Training runs by backpropagation through time on the driver, over a bounded samp
 ``PER_LANGUAGE`` rows of each language, fewer where more than ``TRAINING`` in all would come together, and some of every language
 however many there are. Prediction covers every byte of
 every text: a text is cut into blocks of ``BLOCK`` bytes, blocks of many documents run as one batch,
-each direction comes into a block with the state of the ``RUN_UP`` bytes before it, as long as the windows of training, every position gets
+each direction comes into a block with the state of the ``RUN_UP`` bytes before it, every position gets
 class probabilities from both states, and a document's probabilities are the mean over its positions.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no labelled row everything is
@@ -30,7 +30,7 @@ WINDOW = 96
 HIDDEN, MOST_HIDDEN = 10, 64
 STEPS = 260
 BATCH = 64
-BLOCK, RUN_UP = 512, 96
+BLOCK, RUN_UP = 512, 32
 #: Blocks in one batch of a prediction, about; fewer for a wider network.
 LANES = 2048
 LETTER = regex.compile(r"\p{L}")
