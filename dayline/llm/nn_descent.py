@@ -32,7 +32,7 @@ K, REVERSE = 32, 24
 #: Better companions that a member hears of from one local join, at most.
 NEWS = 6
 #: Share of nodes under which the number of replaced neighbours ends the descent.
-STILL = 0.5
+STILL = 1.0
 BEAM = 160
 NEAREST = 5
 
