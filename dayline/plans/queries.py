@@ -122,7 +122,7 @@ def q_cosinor(spark, d):
 def q_visits(spark, d):
     rows = tables.event_curves(spark, d).withColumn("visit", F.row_number().over(Window.partitionBy("subject_id").orderBy("hour")))
     long = rows.select("visit", F.posexplode("curve").alias("m", "x"))
-    return long.groupBy("visit", "m").agg(r6(F.avg("x")).alias("mean")).select(F.col("visit").cast("long").alias("visit"), F.col("m").cast("long").alias("m"), "mean")
+    return long.groupBy("visit", "m").agg(F.round(F.avg("x"), 8).alias("mean")).select(F.col("visit").cast("long").alias("visit"), F.col("m").cast("long").alias("m"), "mean")
 
 
 S_DIAG = "SELECT lag, m, n, round(cov, 6) AS cov FROM "
@@ -161,7 +161,7 @@ FROM h JOIN en USING (subject_id, hour) JOIN co USING (subject_id, hour) JOIN cu
         LONG + """, full24 AS (SELECT subject_id FROM seen GROUP BY 1 HAVING count(*) = 24)
 SELECT subject_id, m, r, round(mesor, 6) AS mesor, round(sqrt(a * a + b * b), 6) AS amp FROM (SELECT subject_id, m, r, avg(xi) AS mesor, sum(xi * cos(2 * pi() * r * hour / 24)) / 12 AS a, sum(xi * sin(2 * pi() * r * hour / 24)) / 12 AS b FROM obs JOIN full24 USING (subject_id) CROSS JOIN (VALUES (1), (2)) h(r) GROUP BY ALL)""",
     ),
-    "visit_means": (q_visits, LONG + ", v AS (SELECT *, row_number() OVER (PARTITION BY subject_id, m ORDER BY hour) AS visit FROM obs) SELECT visit, m, round(avg(xi), 6) AS mean FROM v GROUP BY ALL"),
+    "visit_means": (q_visits, LONG + ", v AS (SELECT *, row_number() OVER (PARTITION BY subject_id, m ORDER BY hour) AS visit FROM obs) SELECT visit, m, round(avg(xi), 8) AS mean FROM v GROUP BY ALL"),
 }
 
 
