@@ -13,7 +13,9 @@ import regex
 
 _any = regex.compile(public_tokenizers.PATTERN)
 _latin = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-_other = re.compile("[^\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ſ‐-‧]")
+#: Characters that the standard library may class otherwise.
+OTHER = "[^\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ſ‐-‧]"
+_other = re.compile(OTHER)
 
 
 def words(text: str) -> list[str]:

@@ -15,12 +15,16 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,6 +39,10 @@ END_ID = 2
 MEMORY_WORDS = 500_000
 #: Plain words that the library is given as one text, and the last character that counts as plain.
 JOINED, LAST_LATIN = 200, "\u017f"
+#: Texts that are not cut at spaces: white space other than space and line feed, or beside a space.
+UNCUT = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n "
+#: Bytes of text that are encoded at once, about.
+BUNCH = 8 << 20
 
 
 def repaired(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,34 +176,26 @@ class Words:
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; words not met before are given to the library together."""
+    def codes(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; those not met before are given to the library together."""
         if len(self.memory) > MEMORY_WORDS:
             self.older, self.memory = self.memory, {}
         memory, older = self.memory, self.older
-        out: list[bytes] = []
-        wanting = []
-        missing: set[str] = set()
-        for text in texts:
-            if any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            words = presplit.words(text)
-            codes = list(map(memory.get, words))
-            if None in codes:
-                holes = [i for i, code in enumerate(codes) if code is None]
-                missing.update([words[i] for i in holes])
-                wanting.append((len(out), words, codes, holes))
-                codes = []
-            out.append(b"".join(codes))
+        out = list(map(memory.get, words))
+        holes = [i for i, code in enumerate(out) if code is None]
+        missing = {words[i] for i in holes}
         memory.update((w, older[w]) for w in missing if w in older)
         self._remember([w for w in missing if w not in memory])
-        for at, words, codes, holes in wanting:
-            for i in holes:
-                codes[i] = memory[words[i]]
-            out[at] = b"".join(codes)
+        for i in holes:
+            out[i] = memory[words[i]]
         return out
 
+    def encode(self, text: str) -> bytes:
+        """The ids of one text."""
+        if any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.codes(presplit.words(text)))
+
     def _remember(self, new: list[str]) -> None:
         plain, other = [], []
         for w in new:
@@ -213,53 +213,148 @@ class Words:
         return zip(plain, (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True)
 
 
-_words: dict[str, Words] = {}
+def gathered(table: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """table[start : start + size] of each, in a row."""
+    ends = np.cumsum(size)
+    return table[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
+
 
+class Pieces:
+    """Ids of whole columns of texts. Texts are cut at their spaces, the distinct pieces of a column into words, and ids are gathered.
+
+    A word never goes on over a space between two characters that are not white space, so a piece and the space before it are
+    split alone. Texts with other white space beside a space, or with a special token, are one piece each.
+    """
 
-def words_of(file: str) -> Words:
-    if file not in _words:
-        _words[file] = Words(file)
-    return _words[file]
+    def __init__(self, file: str):
+        self.words = Words(file)
+        self.uncut = "|".join([UNCUT, *(re.escape(s) for s in self.words.special)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with its end id, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        single = pc.match_substring_regex(texts, self.uncut)
+        lists = pc.split_pattern(pc.if_else(single, "", texts), " ")
+        flat = lists.flatten()
+        first = lists.offsets.to_numpy().astype(np.int64)
+        first -= first[0]
+        heads = flat.take(pa.array(first[:-1])).to_numpy(zero_copy_only=False).tolist()  # these have no space before them
+        for i in np.flatnonzero(single.to_numpy(zero_copy_only=False)).tolist():
+            heads[i] = texts[i].as_py()
+        later = np.ones(len(flat), bool)
+        later[first[:-1]] = False
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        table, start, size = self._pieces(coded.dictionary)
+        number = np.empty(len(flat), np.int64)
+        number[later] = coded.indices.to_numpy(zero_copy_only=False)
+        number[first[:-1]] = len(size) + np.arange(len(heads))
+        codes = [self.words.encode(h) for h in heads]
+        more = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        start = np.concatenate([start, len(table) + np.cumsum(more) - more])
+        table = np.concatenate([table, np.frombuffer(b"".join(codes), "<u4")])
+        size = np.concatenate([size, more])[number]
+        ids = gathered(table, start[number], size)
+        ends = np.concatenate([[0], np.cumsum(size)])[first[1:]]
+        return np.insert(ids, ends, END_ID), np.diff(ends, prepend=0) + 1
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the place and number of those of each distinct piece, which has a space before it."""
+        other = pc.match_substring_regex(pieces, presplit.OTHER).to_numpy(zero_copy_only=False)
+        empty = pc.equal(pieces, "").to_numpy(zero_copy_only=False)
+        order = np.argsort(other.astype(np.int8) - empty, kind="stable")  # the empty piece, those that the quick pattern can split, the rest
+        words: list[str] = []
+        for part in (order[: len(order) - int(other.sum())], order[len(order) - int(other.sum()) :]):
+            if len(part):
+                words += presplit.words(" " + " ".join(pieces.take(pa.array(part)).to_numpy(zero_copy_only=False)))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        heads = pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        codes = self.words.codes(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        size = lengths[number]
+        table = gathered(np.frombuffer(b"".join(codes), "<u4"), (np.cumsum(lengths) - lengths)[number], size)
+        begins = (np.cumsum(size) - size)[heads[number]]  # only the first word of a piece has a space
+        start = np.empty(len(pieces), np.int64)
+        start[order] = begins
+        held = np.empty(len(pieces), np.int64)
+        held[order] = np.diff(begins, append=len(table))
+        return table, start, held
+
+
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces_of(file: str) -> Pieces:
+    if file not in _pieces:
+        _pieces[file] = Pieces(file)
+    return _pieces[file]
+
+
+def bunches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches in runs of about BUNCH bytes of text: short batches together, long ones cut."""
+    held: list[pa.Table] = []
+    room = BUNCH
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = done = 0
+        while at < len(ends):
+            to = min(int(np.searchsorted(ends, done + room)) + 1, len(ends))
+            held.append(table.slice(at, to - at))
+            room -= int(ends[to - 1]) - done
+            at, done = to, int(ends[to - 1])
+            if room <= 0:
+                yield pa.concat_tables(held).combine_chunks()
+                held, room = [], BUNCH
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 SHARDS = "place int, number int, before long, base int, n_ids long, doc_ids array<long>, n_tokens array<long>, rules binary, lengths binary, sequence binary"
+SHARD_TYPES = pa.schema(
+    [(c, pa.int32() if c in ("place", "number", "base") else pa.int64()) for c in ("place", "number", "before", "base", "n_ids")]
+    + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "n_tokens")]
+    + [(c, pa.binary()) for c in ("rules", "lengths", "sequence")]
+)
 
 
 def written(docs: DataFrame, file: str, label: str = "token-shards") -> DataFrame:
     """Encode docs in order of doc_id into shards, as a table in the shared folder."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = words_of(file)
-        end = np.array([END_ID], "<u4").tobytes()
+        pieces = pieces_of(file)
+        base = pieces.words.size
         place, number, before, ids, doc_ids, counts, size = 0, 0, 0, [], [], [], 0
 
-        def closed() -> pd.DataFrame:
-            seq, rules = repaired(np.frombuffer(b"".join(ids), "<u4"), words.size)
-            lengths = expansion_lengths(rules, words.size)
-            row = (place, number, before, words.size, size, doc_ids, counts, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes())
-            return pd.DataFrame([row], columns=["place", "number", "before", "base", "n_ids", "doc_ids", "n_tokens", "rules", "lengths", "sequence"])
-
-        for batch in batches:
-            codes = words.encode([text or "" for text in batch["text"]])
-            for doc_id, code, at in zip(batch["doc_id"].astype("Int64"), codes, batch["place"], strict=True):
-                if ids and size >= SHARD_IDS:
+        def closed() -> pa.RecordBatch:
+            seq, rules = repaired(np.concatenate(ids), base)
+            lengths = expansion_lengths(rules, base)
+            row = (place, number, before, base, size, doc_ids, counts, *(x.astype("<u4").tobytes() for x in (rules, lengths, seq)))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, SHARD_TYPES.types, strict=True)], schema=SHARD_TYPES)
+
+        for bunch in bunches(batches):
+            found, n_tokens = pieces.encode(bunch["text"].combine_chunks() if bunch.num_rows else pa.array([], pa.string()))
+            names, ends, at = bunch["doc_id"].to_pylist(), np.cumsum(n_tokens), 0
+            place = bunch["place"][0].as_py()
+            while at < len(ends):
+                if size >= SHARD_IDS:
                     yield closed()
                     number, before, ids, doc_ids, counts, size = number + 1, before + size, [], [], [], 0
-                place = int(at)
-                ids += [code, end]
-                doc_ids.append(None if doc_id is pd.NA else int(doc_id))
-                counts.append(len(code) // 4 + 1)
-                size += counts[-1]
+                start = int(ends[at] - n_tokens[at])
+                to = min(int(np.searchsorted(ends, start + SHARD_IDS - size)) + 1, len(ends))
+                ids.append(found[start : ends[to - 1]])
+                doc_ids += names[at:to]
+                counts += n_tokens[at:to].tolist()
+                size += int(ends[to - 1]) - start
+                at = to
         if ids:
             yield closed()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("at"))
     dealt = rows.repartitionByRange(parts, "doc_id", "th", "at").sortWithinPartitions("doc_id", "th", "at").select("doc_id", "text", F.spark_partition_id().alias("place"))
-    return common.saved(dealt.mapInPandas(run, SHARDS), label, batch=1000)
+    return common.saved(dealt.mapInArrow(run, SHARDS), label, batch=1000)
 
 
 def read(shards: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """The training-data operators against brute force, on small tables and on odd ones."""
 
+import random
 import re
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -314,3 +316,24 @@ def test_pipeline_against_brute_force(spark, texts):
     assert len(rows) == sum(times.values())
     for r in rows:
         assert np.frombuffer(r.ids, "<u4").tolist() == t.encode(after[r.doc_id] or "", add_special_tokens=False).ids
+
+
+def test_shard_columns_of_texts_equal_the_library():
+    """Whole columns, encoded by pieces: white space of all kinds beside spaces, special tokens, several scripts, nulls, one huge text."""
+    draw = random.Random(3)
+    parts = ["a", "b é", "'s", " ", "  ", "\n", "\n ", "\t", "\u3000", "x-y", "12 ", "<|endoftext|>", "中文。", "I'm", ".", "\xa0", "\r\n", "\x1c", "\x85", "ǅ ", "", " a"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(12))) for _ in range(4000)] + [None, "", "word " * 30_000, "x" * 50_000]
+    pieces = repair.pieces_of(FILE)
+    for table in (texts, texts[::-1], [None], []):
+        ids, counts = pieces.encode(pa.array(table, pa.string()))
+        ends = np.cumsum(counts)
+        for text, first, last in zip(table, ends - counts, ends, strict=True):
+            assert ids[first:last].tolist() == [*pieces.words.tokenizer.encode(text or "", add_special_tokens=False).ids, repair.END_ID], repr(text)
+
+
+def test_shard_bunches_keep_all_rows_in_order():
+    texts = ["a" * n for n in (5, 0, 20_000_000, 3, 9_000_000)] + [None] * 3
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(i, i + 4)), "text": pa.array(texts[i : i + 4], pa.string())}) for i in (0, 4)]
+    got = list(repair.bunches(iter(batches)))
+    assert [d for b in got for d in b["doc_id"].to_pylist()] == list(range(8)) and len(got) > 1
+    assert [t for b in got for t in b["text"].to_pylist()] == texts
