@@ -35,6 +35,8 @@ NEWS = 6
 STILL = 1.0
 BEAM = 160
 NEAREST = 5
+#: A node with more than one in this many of all queries is dealt in parts.
+PARTS = 500
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -221,9 +223,25 @@ def nearest(vectors: DataFrame, asked: Column) -> DataFrame:
     scored = common.saved(close.join(a, "query").join(b, "near").select("query", "near", cosine(F.col("qv"), F.col("nv")).alias("score")), "nn-scored")
     ids = scored.join(members.select(F.col("node").alias("near"), "vec_id"), "near").select("query", "vec_id", "score")
     best = ids.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= NEAREST + 1 + NEAREST)
-    out = queries.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).join(best, "query").where("vec_id != query_id")
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")
+    lists = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
+    return answered(queries, lists)
+
+
+def answered(queries: DataFrame, lists: DataFrame) -> DataFrame:
+    """The NEAREST of each query from the list of its node. queries: vec_id, node; lists: query (a node), best.
+
+    Nodes that many queries share are dealt in parts, each with its own copy of the list. They hold more than one in ``PARTS`` of all queries
+    each, so that there are fewer than ``PARTS`` of them to broadcast.
+    """
+    total = queries.count()
+    hot = queries.groupBy("node").count().where(F.col("count") * PARTS > total)
+    hot = F.broadcast(hot.select("node", F.ceil(F.col("count") * PARTS / F.lit(max(total, 1))).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    asked = queries.join(hot, "node", "left").select("node", F.col("vec_id").alias("query_id"), F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"))
+    copies = lists.withColumnRenamed("query", "node").join(hot, "node", "left").select("node", "best", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, NEAREST)
+    found = asked.join(copies, ["node", "part"]).select("query_id", F.posexplode(others).alias("place", "x"))
+    return found.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,21 @@ def test_nearest_of_few_vectors(spark):
     assert nn_descent.nearest(clash, F.col("vec_id") == 0).count() == 5
 
 
+def test_queries_that_share_a_vector(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(1, 121)]
+    rows += [(1000 + i, rows[0][1]) for i in range(80)]
+    got = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") >= 60).toPandas()
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -9)
+    want = {int(q): set(ids[np.lexsort((ids, -s.round(9)))[:5]].tolist()) for q, s in zip(ids, sims, strict=True) if q >= 60}
+    assert sorted(got.groupby("query_id")["rank"].apply(lambda r: sorted(r)).to_dict().items()) == [(q, [1, 2, 3, 4, 5]) for q in sorted(want)]
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    assert all(found[1000 + i] == want[1000 + i] for i in range(80)) and np.mean([len(found[q] & w) / 5 for q, w in want.items()]) >= 0.9
+
+
 ODD = [
     (1, None), (2, ""), (3, "ab" * 60_000), (4, " ".join(f"w{i}" for i in range(20_000))), (5, " ".join(f"w{i}" for i in range(20_000)) + " end"), (6, "line of a few words\n" * 4000),
     (7, "same text twice " * 10), (7, "same text twice " * 10), (8, "same text twice " * 10), (None, "nobody's text"), (9, "\x01\x00 \x0b odd"), (10, "+1 555 123 4567 " * 300),
