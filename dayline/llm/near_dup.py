@@ -113,7 +113,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def blockwise(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def shingle_sets(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """rep and set, its shingle hashes, of each member."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["rep"], "set": [shingle_hashes(t, size).tobytes() for t in batch["text"]]})
+
+    return texts.join(members.select("rep").distinct(), "rep", "left_semi").mapInPandas(hashed, "rep long, set binary")
+
+
+def blockwise(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside large bands. members: key, rep, comp and m, the size of the band.
 
     A band is cut into blocks of about BLOCK members and each two blocks meet in one group, which counts all
@@ -121,10 +131,6 @@ def blockwise(members: DataFrame, texts: DataFrame, size: int, percent: int) ->
     document and another component, one link.
     """
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"rep": batch["rep"], "set": [shingle_hashes(t, size).tobytes() for t in batch["text"]]})
-
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep", kind="stable").reset_index(drop=True)
         sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
@@ -149,7 +155,6 @@ def blockwise(members: DataFrame, texts: DataFrame, size: int, percent: int) ->
         out = pd.DataFrame({"a": rep[i], "b": rep[j], "c": comp[j]})
         return out.drop_duplicates(["a", "c"])[["a", "b"]]
 
-    sets = common.saved(texts.join(members.select("rep").distinct(), "rep", "left_semi").mapInPandas(hashed, "rep long, set binary"), "near-sets", batch=500)
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = members.select("key", "rep", "comp", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
     placed = placed.select("key", "rep", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -166,10 +171,12 @@ def components(edges: DataFrame) -> DataFrame:
         spread = label.join(around, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         spread = common.saved(spread, "near-spread")
         ahead = spread.select(F.col("node").alias("comp"), F.col("comp").alias("ahead"))
-        label = common.saved(spread.join(ahead, "comp", "left").select("node", "old", F.coalesce("ahead", "comp").alias("comp")), "near-labels")
-        if label.where("comp != old").isEmpty():
-            return label.select("node", "comp")
-        label = label.select("node", "comp")
+        after = common.saved(spread.join(ahead, "comp", "left").select("node", "old", F.coalesce("ahead", "comp").alias("comp")), "near-labels")
+        common.dropped(label, spread)
+        label = after.select("node", "comp")
+        if after.where("comp != old").isEmpty():
+            common.dropped(both)
+            return label
 
 
 def relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -180,7 +187,9 @@ def relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
     ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
     moved = components(ends)
     old = label.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return common.saved(old.union(moved.join(label, "node", "left_anti")), "near-components")
+    after = common.saved(old.union(moved.join(label, "node", "left_anti")), "near-components")
+    common.dropped(label, moved)
+    return after
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -210,6 +219,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
         left, all_members = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if r and (left <= LEFT_OVER * all_members or left > WORTH * before):
+            common.dropped(at)
             break
         before = left
         pick = F.struct(F.xxhash64("rep", F.lit(r)), "rep", "comp")
@@ -218,9 +228,11 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         ).select("key", F.explode(F.array(F.struct("low.rep", "low.comp"), F.struct("some.rep", "some.comp"))).alias("p"))
         met = at.join(pivots, "key").where("comp != p.comp").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
         found = checked(met, "near-links")
+        common.dropped(at, pivots)
         if found.isEmpty():
             break
         label = relabelled(label, found)
+        common.dropped(found)
     at = members.withColumn("comp", F.col("rep")) if label is None else members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     several = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 != c1 AND m > 2").select("key", "m")
     rest = common.saved(at.join(several, "key"), "near-rest")
@@ -230,9 +242,13 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         apart = a.join(b, "key").where((F.col("comp_a") < F.col("comp_b")) & near("sig_a", "sig_b", ("n_a", "n_b"), percent))
         apart = apart.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
         many = rest.where(F.col("m") > SMALL)
-        found = common.saved(confirmed(apart.union(blockwise(many, texts, size, percent)).distinct(), texts, size, percent), "near-links", batch=500)
+        full = common.saved(shingle_sets(many, texts, size), "near-sets", batch=500)
+        found = common.saved(confirmed(apart.union(blockwise(many, full, percent)).distinct(), texts, size, percent), "near-links", batch=500)
+        common.dropped(full)
         if not found.isEmpty():
             label = relabelled(label, found)
+        common.dropped(found)
+    common.dropped(rest, texts, members, shared)
     out = sets.select("doc_id", *by).join(classes.select(*by, "rep"), by, "left")
     if label is None:
         out = out.withColumn("comp", F.lit(None).cast("long"))
