@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayline.llm import bpe_automaton, exact_dedup, language_id, line_dedup, mixing, near_dup, nn_descent, pii, quality, repair
+from dayline.llm import bpe_automaton, centroids, exact_dedup, language_id, line_dedup, mixing, near_dup, nn_descent, pii, quality, repair, simhash, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nn_descent": nn_descent.op5_nn_descent,
@@ -19,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe_automaton": bpe_automaton.op7_bpe_automaton,
     "op9_quality_discriminant": quality.op9_quality_discriminant,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.SQL,
+    "op13_centroids": centroids.SQL,
 }
