@@ -60,7 +60,8 @@ def counted(docs: DataFrame, spoiled: int = SPOILED) -> DataFrame:
                             word = word[:at] + word[at + 1 :]
                     if len(word) >= SHORTEST:
                         total[word] += times
-            yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+            if total:
+                yield pd.DataFrame({"word": list(total), "n": list(total.values())})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= RAREST)
