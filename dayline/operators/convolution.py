@@ -1,32 +1,34 @@
 """Convolutional networks over two-channel curves, in numpy: an autoencoder, a regressor with attention over scales, and what it looks at.
 
-A training step is one Spark job over all rows: each task sums the exact gradients of its rows, normalised within blocks of ``ROWS`` of them,
-and the driver takes an Adam step on the weights, whose number depends on the layers only. So a step sees every row, where small
-shuffled batches would see a few. Rows have subject_id, hour, the channels ``a`` and ``b`` (arrays of equal length), and a target for the regressor.
+Training is in small shuffled batches, by operators.training. Rows have subject_id, hour, the channels ``a`` and ``b`` (arrays of equal length), and
+a target for the regressor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayline.operators import evaluation
-from dayline.operators.partial import summed
+from dayline.operators import evaluation, training
+from dayline.operators.training import Schedule, Weights
 
+#: Rows that a fitted network is applied to at once.
 ROWS = 256
-# Channels of the layers, width of a kernel, slope below zero, momentum of running moments.
-WIDTHS, KERNEL, SLOPE, MOMENTUM = (16, 32, 64), 5, 0.01, 0.1
+# Channels of the layers, width of a kernel, slope below zero.
+WIDTHS, KERNEL, SLOPE = (16, 32, 64), 5, 0.01
 HIDDEN, ATTENTION, DROPPED = 32, 16, 0.2
 # Fixed values of augmentation: range of the factor, noise, places of a shift, share of scales set to zero.
 FACTOR, NOISE, SHIFT, MASKED = (0.95, 1.05), 0.01, 3, 0.1
 CHANNELS = ("a", "b")
-Weights = dict[str, np.ndarray]
+# Schedules of the experiment's two stages, and of the pipeline's.
+PRETRAINING, TUNING = Schedule(20, 64, 1e-3, 1e-5), Schedule(25, 16, 5e-4, 1e-4)
+PIPELINE = (Schedule(25, 32, 1e-3), Schedule(30, 16, 5e-4, augment=False))
 
 
 def augmented(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -213,17 +215,13 @@ def first_weights(kind: str, channels: int = 2, seed: int = 42) -> Weights:
     return w
 
 
-def is_moment(name: str) -> bool:
-    return name.endswith((".mean", ".var"))
-
-
 def channels_of(batch: pd.DataFrame) -> np.ndarray:
     return np.stack([np.stack(batch[c].to_numpy()) for c in CHANNELS], axis=1).astype(float)
 
 
-def block_sums(kind: str, w: Weights, x: np.ndarray, y: np.ndarray | None, keys: np.ndarray | None) -> tuple[float, Weights, Weights]:
-    """Of a block of rows: the summed loss, its gradients, and the moments of its norms. With keys, inputs are augmented and units dropped."""
-    t = Tape(w, True, None if keys is None else np.random.default_rng(int(keys[0]) & (2**63 - 1)))
+def block_sums(kind: str, w: Weights, x: np.ndarray, y: np.ndarray | None, keys: np.ndarray | None, rng: np.random.Generator | None = None) -> tuple[float, Weights, Weights]:
+    """Of a batch of rows: the summed loss, its gradients, and the moments of its norms. With keys inputs are augmented, with a generator units are dropped."""
+    t = Tape(w, True, rng)
     seen = x if keys is None else np.stack([augmented(v, np.random.default_rng(int(k) & (2**63 - 1))) for v, k in zip(x, keys, strict=True)])
     if kind == "autoencoder":
         features, _, _ = encoded(t, seen)
@@ -236,43 +234,6 @@ def block_sums(kind: str, w: Weights, x: np.ndarray, y: np.ndarray | None, keys:
     return float((error**2).sum()), t.grads, t.moments
 
 
-def trained(kind: str, rows: DataFrame, w: Weights, steps: int, rate: float, decay: float, augment: bool) -> tuple[Weights, tuple[float, ...]]:
-    """Adam with the penalty ``decay`` on weights; the mean loss of each step."""
-    names = list(w)
-    learned = [n for n in names if not is_moment(n)]
-    ends = np.cumsum([w[n].size for n in names])
-    keyed = rows.select(*CHANNELS, *(["target"] if kind == "regressor" else []), F.xxhash64("subject_id", "hour").alias("key")).persist(StorageLevel.MEMORY_AND_DISK)
-    first, second, losses = {n: 0.0 for n in learned}, {n: 0.0 for n in learned}, []
-    try:
-        for step in range(1, steps + 1):
-
-            def part(batch: pd.DataFrame, w: Weights = w, step: int = step) -> np.ndarray:
-                total = np.zeros(ends[-1] + 2)
-                for a in range(0, len(batch), ROWS):
-                    some = batch.iloc[a : a + ROWS]
-                    y = some["target"].to_numpy(float) if kind == "regressor" else None
-                    loss, grads, moments = block_sums(kind, w, channels_of(some), y, some["key"].to_numpy() + step if augment else None)
-                    total += np.concatenate([*((grads[n] if n in grads else moments[n] * len(some)).ravel() for n in names), [loss, len(some)]])
-                return total
-
-            sums = summed(keyed, part, ends[-1] + 2)
-            n = max(sums[-1], 1)
-            losses.append(float(sums[-2] / n))
-            found = {name: v.reshape(w[name].shape) / n for name, v in zip(names, np.split(sums[:-2], ends[:-1]), strict=True)}
-            w = dict(w)
-            for name in names:
-                if is_moment(name):
-                    w[name] = (1 - MOMENTUM) * w[name] + MOMENTUM * found[name]
-                    continue
-                g = found[name] + decay * w[name]
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.999 * second[name] + 0.001 * g * g
-                w[name] = w[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-    finally:
-        keyed.unpersist()
-    return w, tuple(losses)
-
-
 def mapped(rows: DataFrame, of: Callable[[np.ndarray], dict[str, list]], schema: str) -> DataFrame:
     """subject_id, hour and the columns that of(channels) gives, block by block."""
 
@@ -348,42 +309,60 @@ def drawn_out(values: np.ndarray, length: int) -> np.ndarray:
     return values[:, low] * (1 - part) + values[:, np.minimum(low + 1, n - 1)] * part
 
 
-def fit_conv_autoencoder(rows: DataFrame, steps: int = 100, rate: float = 1e-3, decay: float = 1e-5, augment: bool = True, seed: int = 42) -> ConvAutoencoder:
+def fit_conv_autoencoder(rows: DataFrame, schedule: Schedule = PRETRAINING) -> ConvAutoencoder:
     """Inputs are augmented, outputs are held against the inputs as they came."""
-    return ConvAutoencoder(*trained("autoencoder", rows, first_weights("autoencoder", len(CHANNELS), seed), steps, rate, decay, augment))
+    w = first_weights("autoencoder", len(CHANNELS), schedule.seed)
+    return ConvAutoencoder(*training.fitted(rows, CHANNELS, w, partial(block_sums, "autoencoder"), schedule).get(0, (w, ())))
 
 
-def fit_conv_regressor(rows: DataFrame, encoder: ConvAutoencoder | None = None, steps: int = 100, rate: float = 5e-3, decay: float = 1e-4, augment: bool = True, seed: int = 42) -> ConvRegressor:
+def regressor_start(encoder: ConvAutoencoder | None, seed: int) -> Weights:
     """The encoder's layers, if given, start from its weights and are trained on."""
     w = first_weights("regressor", len(CHANNELS), seed)
     if encoder is not None:
         w |= {n: v for n, v in encoder.weights.items() if n in w and n.startswith(("conv", "norm"))}
-    return ConvRegressor(*trained("regressor", rows, w, steps, rate, decay, augment))
+    return w
+
+
+def fit_conv_regressor(rows: DataFrame, encoder: ConvAutoencoder | None = None, schedule: Schedule = TUNING) -> ConvRegressor:
+    w = regressor_start(encoder, schedule.seed)
+    return ConvRegressor(*training.fitted(rows, CHANNELS, w, partial(block_sums, "regressor"), schedule, "target").get(0, (w, ())))
 
 
-def cross_validated(rows: DataFrame, encoder: ConvAutoencoder | None = None, folds: int = 5, repeats: int = 10, **options) -> tuple[DataFrame, DataFrame]:
-    """Figures of each fold of each repeat (rep_fold, mse, r2, pearson_r, spearman_rho), and the importance of scales of the rows left out.
+def fit_pipeline(curves: DataFrame, targets: DataFrame) -> tuple[ConvAutoencoder, ConvRegressor]:
+    """Both stages one after the other: an encoder from all curves, and a regressor on it from those with a target, whose inputs are not augmented."""
+    auto = fit_conv_autoencoder(curves, PIPELINE[0])
+    return auto, fit_conv_regressor(targets, auto, PIPELINE[1])
+
+
+def left_out(rows: DataFrame, folds: int, repeats: int) -> tuple[Column, Column]:
+    """Of each row, the models that learn from it and those that leave it out. Model r * folds + f leaves out fold f of repeat r.
 
     Folds are hashed from subject_id, so that all hours of a subject are left out together.
     """
-    spark, figures, seen = rows.sparkSession, [], []
-    for k in range(folds * repeats):
-        fold = evaluation.fold(folds, repeat=k // folds)
-        left = rows.where(fold == k % folds)
-        model = fit_conv_regressor(rows.where(fold != k % folds), encoder, **options)
-        both = left.select("subject_id", "hour", "target").join(model.predict(left).drop("attention"), ["subject_id", "hour"])
-        if both.isEmpty():
-            continue
-        m = evaluation.regression(both)
-        figures.append((k, *(float(m[n]) if m[n] is not None else None for n in ("mse", "r2", "pearson", "spearman"))))
-        seen.append(model.importance(left))
-    found = spark.createDataFrame(figures, "rep_fold int, mse double, r2 double, pearson_r double, spearman_rho double")
-    if not seen:
-        return found, spark.createDataFrame([], "subject_id string, hour int, importance array<double>")
-    looked = seen[0]
-    for part in seen[1:]:
-        looked = looked.unionByName(part)
-    return found, looked
+    own = [evaluation.fold(folds, repeat=r) + r * folds for r in range(repeats)]
+    held = F.array(*own)
+    return F.filter(F.sequence(F.lit(0), F.lit(folds * repeats - 1)), lambda k: ~F.array_contains(held, k)), held
+
+
+def cross_validated(rows: DataFrame, encoder: ConvAutoencoder | None = None, folds: int = 5, repeats: int = 10, schedule: Schedule = TUNING) -> tuple[DataFrame, DataFrame]:
+    """Figures of each fold of each repeat (rep_fold, mse, r2, pearson_r, spearman_rho), and rows left out with what their
+    models say: rep_fold, subject_id, hour, target, prediction and importance of the scales. All models learn in the same jobs."""
+    learns, held = left_out(rows, folds, repeats)
+    w = regressor_start(encoder, schedule.seed)
+    found = training.fitted(rows, CHANNELS, w, partial(block_sums, "regressor"), schedule, "target", learns, folds * repeats)
+    weights = {k: v for k, (v, _) in found.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, group in batch.groupby("rep_fold"):
+                for a in range(0, len(group) if k in weights else 0, ROWS):
+                    some = group.iloc[a : a + ROWS]
+                    x = channels_of(some)
+                    yield some[["rep_fold", "subject_id", "hour", "target"]].assign(prediction=regressed(Tape(weights[k], False), x)[0], importance=list(looked_at(weights[k], x)))
+
+    said = rows.select(F.explode(held).alias("rep_fold"), "subject_id", "hour", *CHANNELS, "target").mapInPandas(run, "rep_fold int, subject_id string, hour int, target double, prediction double, importance array<double>")
+    figures = evaluation.grouped_regression(said.select("rep_fold", "target", "prediction"), "rep_fold")
+    return figures.select("rep_fold", "mse", "r2", F.col("pearson").alias("pearson_r"), F.col("spearman").alias("spearman_rho")), said
 
 
 def importance_panel(rows: DataFrame, looked: DataFrame, scales: list[float], channel: str = "a") -> DataFrame:

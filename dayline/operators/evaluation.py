@@ -188,6 +188,42 @@ def regression(rows: DataFrame, truth: str = "target", predicted: str = "predict
     return {"mse": r.mse, "mae": r.mae, "r2": 1 - r.mse / r.v if r.v else float("nan"), "pearson": r.pearson, "spearman": float(Correlation.corr(both, "both", "spearman").first()[0][0, 1])}
 
 
+def grouped_ranks(rows: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """by, value and rank, the mean rank of equal values within a group, and the persisted table that they read, for its release.
+
+    Distinct values are dealt by range and counted there, so that a large group is ranked by many tasks.
+    """
+    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    dealt = counts.repartitionByRange(by, value).withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    start = Window.unboundedPreceding
+    sizes = dealt.groupBy(by, "part").agg(F.sum("n").alias("m"))  # a row for each partition and the groups that begin or end there
+    before = sizes.select(by, "part", F.coalesce(F.sum("m").over(Window.partitionBy(by).orderBy("part").rowsBetween(start, -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part", by).orderBy(value).rowsBetween(start, -1)), F.lit(0))
+    ranked = dealt.withColumn("inside", inside).join(before, [by, "part"])
+    return ranked.select(by, value, (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2).alias(f"rank_{value}")), dealt
+
+
+def grouped_regression(rows: DataFrame, by: str) -> DataFrame:
+    """by, mse, r2, pearson and spearman of each group, for a bounded number of groups; rows: by, target, prediction. A figure that is not defined is null."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [rows]
+    try:
+        t, p = F.col("target"), F.col("prediction")
+        plain = rows.groupBy(by).agg(F.avg((t - p) ** 2).alias("mse"), F.var_pop(t).alias("v"), F.corr(t, p).alias("pearson"))
+        both = rows
+        for c in ("target", "prediction"):
+            ranked, dealt = grouped_ranks(rows, by, c)
+            kept.append(dealt)
+            both = both.join(ranked, [by, c])
+        spearman = both.groupBy(by).agg(F.corr("rank_target", "rank_prediction").alias("spearman"))
+        r2 = F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2")
+        out = plain.join(spearman, by).select(by, "mse", r2, *(F.nanvl(c, F.lit(None)).alias(c) for c in ("pearson", "spearman")))
+        return rows.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
 def summary(metrics: DataFrame) -> DataFrame:
     """metric, mean and sample deviation of rows of metric and value."""
     return metrics.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"))

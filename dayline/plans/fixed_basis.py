@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -312,7 +311,6 @@ def q_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return tables.benchmark_summary(evaluation.benchmark(fits, data, labels))
 
 
-@lru_cache(maxsize=4)
 def conv_models(spark: SparkSession, d: str) -> tuple[convolution.ConvAutoencoder, convolution.ConvRegressor]:
     rows = conv_rows(spark, d)
     auto = convolution.fit_conv_autoencoder(rows)
@@ -339,6 +337,12 @@ def q_importance(spark: SparkSession, d: str) -> DataFrame:
     return convolution.importance_panel(rows, conv_models(spark, d)[1].importance(rows), list(range(64)))
 
 
+def q_conv_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Five folds, ten times, of a regressor that starts from the encoder of all rows."""
+    rows = conv_rows(spark, d)
+    return convolution.cross_validated(rows, convolution.fit_conv_autoencoder(rows))[0]
+
+
 #: Fits that SQL cannot say; the tests hold them against dense algebra, numerical gradients or brute force.
 UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "panel_shape_modes": q_shape_panel,
@@ -353,4 +357,5 @@ UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conv_reconstruct": q_conv(lambda m, rows: m[0].reconstruct(rows)),
     "conv_prediction": q_conv(lambda m, rows: m[1].predict(rows)),
     "panel_importance": q_importance,
+    "conv_cross_validated": q_conv_folds,
 }

@@ -210,18 +210,43 @@ def channels(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.where(whole("a") & whole("b"))
 
 
+def cohort_channels(spark: SparkSession, root: str, window: int, cohorts: tuple[str, ...] = COHORTS, hours: tuple[int, ...] = tuple(range(schema.HOURS))) -> tuple[DataFrame, list[float]]:
+    """cohort, subject_id, hour, a and b of all cohorts and hours that have files of both curves, and the scales that all share.
+
+    ``subject_id`` begins with the cohort, since cohorts number their subjects alike. A cohort without curves is logged; without any, there are no rows.
+    """
+    parts: list[tuple[DataFrame, list[float]]] = []
+    for cohort in cohorts:
+        try:
+            both = [hourly_curves(spark, {h: curve_path(root, cohort, f, window, h) for h in hours}, 1) for f in CURVES]
+        except ValueError as e:
+            log.warning("cohort %s is left out: %s", cohort, e)
+            continue
+        scales = [s for s in both[0][1] if s in both[1][1]]
+        rows = channels(*(at_scales(r, own, scales) for r, own in both))
+        parts.append((rows.select(F.lit(cohort).alias("cohort"), F.concat(F.lit(f"{cohort}/"), "subject_id").alias("subject_id"), "hour", "a", "b"), scales))
+    if not parts:
+        return spark.createDataFrame([], "cohort string, subject_id string, hour int, a array<double>, b array<double>"), []
+    common = [s for s in parts[0][1] if all(s in own for _, own in parts)]
+    out = None
+    for rows, own in parts:
+        cut = rows.withColumns({c: F.array(*(F.col(c)[own.index(s)] for s in common)) for c in ("a", "b")})
+        out = cut if out is None else out.unionByName(cut)
+    return out, common
+
+
 def whole(curve: str) -> Column:
     return F.forall(curve, lambda x: x.isNotNull() & ~F.isnan(x))
 
 
-def standardised(rows: DataFrame, columns: tuple[str, ...] = ("a", "b"), eps: float = 1e-6) -> DataFrame:
+def standardised(rows: DataFrame, columns: tuple[str, ...] = ("a", "b"), eps: float = 1e-6, of: DataFrame | None = None) -> DataFrame:
     """Each channel less its mean over all values that are there, over their standard deviation; missing values are 0.
 
-    One row of statistics is joined.
+    One row of statistics is joined, taken from the rows ``of`` if given.
     """
     there = {c: F.filter(F.transform(c, lambda x: F.nanvl(x, F.lit(None))), lambda x: x.isNotNull()) for c in columns}
     stats = [s for c, v in there.items() for s in (F.sum(total(v)).alias(f"s_{c}"), F.sum(total(F.transform(v, lambda x: x * x))).alias(f"q_{c}"), F.sum(F.size(v)).alias(f"n_{c}"))]
-    joined = rows.crossJoin(F.broadcast(rows.agg(*stats)))
+    joined = rows.crossJoin(F.broadcast((rows if of is None else of).agg(*stats)))
 
     def scaled(c: str) -> Column:
         mean = F.col(f"s_{c}") / F.col(f"n_{c}")
