@@ -61,9 +61,10 @@ def grown(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def mirrored(half: DataFrame) -> DataFrame:
-    """Lags 0 to 23 from 0 to 12: the covariance at 24 - d is the transpose of that at d."""
-    rest = half.where("lag BETWEEN 1 AND 11").select((HOURS - F.col("lag")).alias("lag"), F.col("n").alias("m"), F.col("m").alias("n"), "cov")
-    return half.select("lag", "m", "n", "cov").unionByName(rest)
+    """Lags 0 to 23 from 0 to 12: the covariance at 24 - d is the transpose of that at d. Each row gives both, so that what it comes from runs once."""
+    own = F.struct("lag", "m", "n", "cov")
+    other = F.struct((HOURS - F.col("lag")).alias("lag"), F.col("n").alias("m"), F.col("m").alias("n"), "cov")
+    return half.select(F.inline(F.when(F.col("lag").between(1, 11), F.array(own, other)).otherwise(F.array(own))))
 
 
 def lag_covariance(scores: DataFrame, pooled: bool = False, diagonal: bool = False) -> DataFrame:
