@@ -61,10 +61,19 @@ def aligned_order(harmonics: int, modes: int) -> np.ndarray:
     return np.array([2 * modes * r + modes * part + m for m in range(modes) for r in range(harmonics) for part in (0, 1)])
 
 
-def posterior_covariance(precision: np.ndarray, x: np.ndarray, modes: int, noise: float, ridge: float) -> np.ndarray:
-    """Covariance of a subject's coefficients, mode by mode; the design repeats over modes, and nothing else of a subject enters."""
-    p = precision + np.kron(np.eye(modes), x.T @ x) / noise
-    return np.linalg.solve(p + ridge * np.eye(len(p)), np.eye(len(p)))
+def posterior_covariance(precision: np.ndarray, x: np.ndarray, modes: int, noise: float, ridge: float, form: str = "cheaper") -> np.ndarray:
+    """Covariance of a subject's coefficients, mode by mode; the design repeats over modes, and nothing else of a subject enters.
+
+    The primal form solves with a row for each coefficient, the dual form with one for each observed score, which is fewer where a subject has
+    fewer hours than the design has columns; "cheaper" takes the smaller.
+    """
+    prior = precision + ridge * np.eye(len(precision))
+    if form == "primal" or form == "cheaper" and len(x) >= x.shape[1]:
+        p = prior + np.kron(np.eye(modes), x.T @ x) / noise
+        return np.linalg.solve(p, np.eye(len(p)))
+    h, spread = np.kron(np.eye(modes), x), np.linalg.inv(prior)
+    across = h @ spread
+    return spread - across.T @ np.linalg.solve(across @ h.T + noise * np.eye(len(h)), across)
 
 
 def posterior(precision: np.ndarray, x: np.ndarray, centred: np.ndarray, noise: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
