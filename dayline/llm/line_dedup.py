@@ -7,8 +7,9 @@ documents hold has an owner, the earliest of them, and a later document is paire
 earlier document is found, and a window that a third of all rows share makes one pair for each of them with its owner, never all pairs.
 Alignment of a pair is patience diff:
 lines that occur once in both documents, kept where a longest increasing run orders them alike, then the same in each gap between them,
-where equal lines at its ends are paired first. An aligned common block of at least ``BLOCK_WORDS`` words is deleted from the later document, and so are
-windows that both hold in another order, or without a line that occurs once.
+where equal lines at its ends are paired first. An aligned common block of at least ``BLOCK_WORDS`` words is deleted from the later document. What is left of
+the later document is then aligned again, so that blocks which were moved or repeated are found. Blocks whose lines repeat so that no order can be had from them are found
+by the windows that begin them, and compared line by line.
 
 Words are runs without white space; a character of a script written without spaces is a word of its own.
 
@@ -106,7 +107,8 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Patience diff of two sequences: the positions that it pairs, in order.
 
     Equal lines at both ends of a gap are paired. Of the rest, lines that occur once in both parts of the gap, where a longest increasing run
-    orders them alike, are paired, and part it into smaller gaps, in which lines are counted anew.
+    orders them alike, are paired, and part it into smaller gaps, in which lines are counted anew. In a gap without such lines, the first
+    occurrences of a line are held against each other, then the second, and so on.
     """
     out: list[tuple[int, int]] = []
     gaps = [(0, len(a), 0, len(b))]
@@ -122,6 +124,9 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         once_b = _once(b, j, n)
         run = _increasing(sorted((x, once_b[line]) for line, x in _once(a, i, m).items() if line in once_b))
+        if not run:
+            again = _counted(b, j, n)
+            run = _increasing(sorted((x, again[line]) for line, x in _counted(a, i, m).items() if line in again))
         for x, y in run:
             out.append((x, y))
             gaps.append((i, x, j, y))
@@ -139,6 +144,16 @@ def _once(seq: list[int], low: int, high: int) -> dict[int, int]:
     return {x: i for x, i in seen.items() if i >= 0}
 
 
+def _counted(seq: list[int], low: int, high: int) -> dict[tuple[int, int], int]:
+    """Place of each line and the number of its occurrence, from low to high."""
+    seen: dict[int, int] = {}
+    out = {}
+    for i in range(low, high):
+        seen[seq[i]] = seen.get(seq[i], 0) + 1
+        out[seq[i], seen[seq[i]]] = i
+    return out
+
+
 def _increasing(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest run of the anchors, sorted by their first place, whose second places increase."""
     tails: list[int] = []
@@ -157,24 +172,48 @@ def _increasing(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return run[::-1]
 
 
+def aligned_blocks(a: list[int], b: list[int], words: list[int]) -> set[int]:
+    """Lines of b in aligned blocks (runs without a gap in either document) of at least BLOCK_WORDS words of b.
+
+    What an alignment has paired is taken out of b, and what is left is aligned with a again, which finds blocks that were moved or repeated.
+    The first alignment of the rest is made in any case, later ones while they find blocks.
+    """
+    gone: set[int] = set()
+    left: list = list(b)
+    rounds = 0
+    while True:
+        pairs = aligned(a, left)
+        new: set[int] = set()
+        block: list[int] = []
+        last = (-2, -2)
+        for i, j in [*pairs, (-9, -9)]:
+            if (i, j) != (last[0] + 1, last[1] + 1):
+                if sum(words[k] for k in block) >= BLOCK_WORDS:
+                    new.update(block)
+                block = []
+            block.append(j)
+            last = (i, j)
+        gone |= new
+        rounds += 1
+        if not pairs or (rounds > 1 and not new):
+            return gone
+        for _, j in pairs:
+            left[j] = (j,)  # equal to no line
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int]) -> list[int]:
-    """Lines of b in aligned blocks (runs without a gap in either document) of at least BLOCK_WORDS words of b, or in windows that a holds."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*aligned(a, b), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= BLOCK_WORDS:
-                out.extend(block)
-            block = []
-        block.append(j)
-        last = (i, j)
-    gone = set(out)
+    """aligned_blocks, and what alignment cannot order: of lines that repeat in either document, runs that begin like a window of a, compared line by line."""
+    gone = aligned_blocks(a, b, words)
     left = {s: h for s, h in windows(b, words).items() if not gone.issuperset(range(s[0], s[1] + 1))}
     if left:
         known = dict(zip(b, words, strict=True))
-        held = set(windows(a, [known.get(x, BLOCK_WORDS) for x in a]).values())  # equal lines have equal words; others are in no common window
-        gone.update(k for (i, j), h in left.items() if h in held for k in range(i, j + 1))
+        place: dict[int, int] = {}
+        for (i, _), h in windows(a, [known.get(x, BLOCK_WORDS) for x in a]).items():  # equal lines have equal words; others are in no common window
+            place.setdefault(h, i)
+        for (i, j), h in left.items():
+            at = place.get(h)
+            if at is not None and a[at : at + j - i + 1] == b[i : j + 1]:
+                gone.update(range(i, j + 1))
     return sorted(gone)
 
 

@@ -113,6 +113,26 @@ def test_line_dedup_of_exact_copies_and_of_scattered_owners(spark):
     assert line_dedup.aligned([7, 5, 2, 5, 8], [9, 5, 2, 5, 0]) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_patience_diff_pairs_what_repeats_between_anchors_and_what_moved():
+    """Lines 1 to 9 are unique, 20 has 25 words; alone, without the windows that come after."""
+    size = lambda b: [25 if x == 20 else 12 if x in (30, 31) else 1 for x in b]
+    a, b = [1, 4, 20, 5, 2, 6, 20, 7, 3], [1, 41, 20, 51, 2, 61, 20, 71, 3]
+    assert line_dedup.aligned_blocks(a, b, size(b)) == {2, 6}  # twice in both, once in each gap
+    a, b = [1, 2, 3, 4, 30, 31], [30, 31, 1, 2, 3, 4]
+    assert line_dedup.aligned_blocks(a, b, size(b)) == {0, 1}  # moved: found when the rest is aligned
+    a, b = [30, 31, 5], [30, 31, 6, 30, 31]
+    assert line_dedup.aligned_blocks(a, b, size(b)) == {0, 1, 3, 4}  # repeated
+    assert line_dedup.aligned_blocks([30, 7, 31], [30, 8, 31], [12, 1, 12]) == set()  # a gap parts it
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        blocks = [[100 * k + i for i in range(int(rng.integers(1, 6)))] for k in range(6)]
+        a = [x for k in range(6) for x in (*blocks[k], 1000 + k)]
+        order = rng.permutation(6)
+        b = [x for k in order for x in (*blocks[k], 2000 + k)]
+        words = [0 if x >= 1000 else -(-20 // len(blocks[x // 100])) for x in b]
+        assert line_dedup.aligned_blocks(a, b, words) == {i for i, x in enumerate(b) if x < 1000}
+
+
 def test_shards_hold_the_ids_of_the_library(spark, texts):
     t = Tokenizer.from_file(FILE)
     t.no_truncation()
@@ -178,15 +198,36 @@ def test_language_gradients_and_held_out_rows(spark):
     assert n > 20 and right >= 0.9
 
 
-def test_language_takes_every_label_and_blocks_agree(spark, monkeypatch):
+def test_language_takes_every_label_and_reads_whole_texts(spark, monkeypatch):
+    """Texts of very different lengths side by side, in stretches, equal each text read alone from end to end."""
     docs = spark.createDataFrame([(i, f"text {i} of {i % 90}", f"l{i % 90}") for i in range(1800)], "doc_id long, text string, lang string")
     assert language_id.sampled(docs).select("lang").distinct().count() == 90
     net = language_id.GatedNetwork(3)
-    raws = [bytes(np.random.default_rng(1).integers(97, 123, 3000, dtype=np.uint8)), b"short", b"x" * 700]
-    monkeypatch.setattr(language_id, "BLOCK", 4000)
-    one = net.pooled(raws)
-    monkeypatch.setattr(language_id, "BLOCK", 512)
-    np.testing.assert_allclose(net.pooled(raws), one, atol=2e-3)
+    rng = np.random.default_rng(1)
+    raws = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (3000, 1, 64, 65, 700, 128)] + [b"", b"x" * 500]
+    for stretch in (64, 7, 5000):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        got = net.pooled(raws)
+        for raw, p in zip(raws, got, strict=True):
+            if not raw:
+                assert (p == 0).all()
+                continue
+            at = np.frombuffer(raw, np.uint8)[:, None]
+            y = net.logits(net.states(at, "f")[0], net.states(at, "b")[0])[:, 0]
+            e = np.exp(y - y.max(axis=1, keepdims=True))
+            np.testing.assert_allclose(p, (e / e.sum(axis=1, keepdims=True)).mean(axis=0), atol=2e-5)
+
+
+def test_language_results_do_not_depend_on_who_waits(spark, monkeypatch):
+    net = language_id.GatedNetwork(2)
+    rows = [(i, "word " * (i * i % 700 + 1)) for i in range(60)] + [(None, "nobody"), (7, None), (8, "12 34")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(str, language_id.identified(docs.coalesce(1), ["de", "en"], net).collect()))
+    monkeypatch.setattr(language_id, "TOGETHER", 3000)
+    monkeypatch.setattr(language_id, "LONG", (100, 900))
+    few = [r.asDict() for r in language_id.identified(docs, ["de", "en"], net).collect()]
+    assert len(few) == len(rows) and [r["lang_pred"] for r in few if r["doc_id"] in (None, 8)].count("und") == 1
+    assert [r.split("score")[0] for r in one] == sorted(str(r).split("score")[0] for r in language_id.identified(docs, ["de", "en"], net).collect())
 
 
 def test_quality_equals_a_dense_discriminant(spark, texts):
