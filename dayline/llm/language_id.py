@@ -2,10 +2,9 @@
 
 Training runs by backpropagation through time on the driver, over a bounded sample of labelled rows: at most
 ``PER_LANGUAGE`` rows of each language, fewer where more than ``TRAINING`` in all would come together, and some of every language
-however many there are. Prediction covers every byte of
-every text: a text is cut into blocks of ``BLOCK`` bytes, blocks of many documents run as one batch,
-each direction comes into a block with the state of the ``RUN_UP`` bytes before it, every position gets
-class probabilities from both states, and a document's probabilities are the mean over its positions.
+however many there are. Prediction covers every byte of every text: each direction reads a text from one end to the other, and its state is
+carried along all of it. Many texts are read side by side; long ones wait for others as long. Every position gets class probabilities from both
+states, and a document's probabilities are the mean over its positions.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no labelled row everything is
 ``und``; equal probabilities go to the language first in order. Repeated rows are predicted each; an empty table
@@ -14,6 +13,7 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +30,10 @@ WINDOW = 96
 HIDDEN, MOST_HIDDEN = 10, 64
 STEPS = 260
 BATCH = 64
-BLOCK, RUN_UP = 512, 32
-#: Blocks in one batch of a prediction, about; fewer for a wider network.
-LANES = 2048
+#: Positions between two looks at which texts have been read.
+STRETCH = 64
+#: Bytes of texts that are read side by side, about, for 14 units and classes; and lengths that part short texts from long ones, which wait apart.
+TOGETHER, LONG = 8 << 20, (4096, 16384)
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -142,39 +143,65 @@ class GatedNetwork:
         return losses
 
     def pooled(self, raws: list[bytes]) -> np.ndarray:
-        """Class probabilities of each byte string: the mean over all its positions."""
-        classes = len(self.p["bias"])
+        """Class probabilities of each byte string: the mean over all its positions.
+
+        Strings run side by side, the longest first; step t reads position t from the start of each and, for the other direction, from
+        its end, with the state that all bytes before it left. A string leaves when it has been read, so no position is read twice.
+        """
+        classes, h = len(self.p["bias"]), self.hidden
+        sizes = np.array([len(r) for r in raws], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        low, lengths = starts[order], sizes[order]
+        y = np.zeros((len(data), classes), np.float32)
+        # Units are rows and strings columns, so that each operation runs along memory; a byte's inputs are one column of a small table.
+        # New states are 2 / (1 + exp(-2 v)) - 1, which is tanh v, so that gates and they need one kind of function; signs and twos are in the weights.
+        scale = np.array([-1.0] * 2 * h + [-2.0] * h, np.float32)[:, None]
+        tables = np.stack([self.p[f"x{d}"].T * scale for d in "fb"])
+        weights = np.stack([self.p[f"u{d}"].T * scale for d in "fb"])
+        gates, new = np.ascontiguousarray(weights[:, : 2 * h]), np.ascontiguousarray(weights[:, 2 * h :])
+        s = np.zeros((2, h, len(raws)), np.float32)
+        steps = np.arange(STRETCH)[:, None]
+        for first in range(0, int(sizes.max(initial=0)), STRETCH):
+            n = np.searchsorted(-lengths, -first, side="left")  # strings longer than this
+            s = np.ascontiguousarray(s[:, :, :n])
+            k = first + steps
+            forth = low[:n] + np.minimum(k, lengths[:n] - 1)
+            back = 2 * low[:n] + lengths[:n] - 1 - forth
+            seen, x = np.empty((len(steps), 2, h, n), np.float32), np.empty((2, 3 * h, n), np.float32)
+            for t, (i, j) in enumerate(zip(data[forth].astype(np.intp), data[back].astype(np.intp), strict=True)):
+                # An exponential beyond the largest number is infinite, and its gate 0.
+                tables[0].take(i, axis=1, out=x[0], mode="clip")
+                tables[1].take(j, axis=1, out=x[1], mode="clip")
+                g = gates @ s
+                g += x[:, : 2 * h]
+                with np.errstate(over="ignore"):
+                    np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                c = new @ (g[:, h:] * s)
+                c += x[:, 2 * h :]
+                with np.errstate(over="ignore"):
+                    np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                s -= c
+                s *= g[:, :h]
+                s += c
+                seen[t] = s
+            real = (k < lengths[:n]).T
+            for d, (at, o) in enumerate(((forth, "of"), (back, "ob"))):
+                y[at.T[real]] += seen[:, d].transpose(2, 0, 1)[real] @ self.p[o]
+        y += self.p["bias"]
+        y -= y.max(axis=1, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(axis=1, keepdims=True)
         total = np.zeros((len(raws), classes))
-        sizes = np.array([len(r) for r in raws])
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(raws)), blocks)
-        low, high = np.repeat(np.cumsum(sizes) - sizes, blocks), np.repeat(np.cumsum(sizes), blocks)
-        inner = low + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        first = np.maximum(inner - RUN_UP, low)
-        width = np.minimum(inner + BLOCK + RUN_UP, high) - first
-        lead, count = inner - first, np.minimum(BLOCK, high - inner)  # positions that count come after the run-up
-        data = np.frombuffer(b"".join(raws) + bytes(BLOCK + 2 * RUN_UP), np.uint8)
-        order = np.argsort(-width, kind="stable")
-        lanes = max(LANES * 16 // (self.hidden + classes), 64)
-        for a in range(0, len(order), lanes):
-            rows = order[a : a + lanes]
-            w = width[rows]
-            steps = int(w[0])
-            at = np.ascontiguousarray(data[first[rows][None, :] + np.arange(steps)[:, None]])
-            real = np.arange(steps)[:, None] < w[None, :]
-            forward, _ = self.states(at, "f")
-            if not real.all():  # a shorter block is read backwards from its own end
-                at = np.take_along_axis(at, np.where(real, w[None, :] - 1 - np.arange(steps)[:, None], 0), axis=0)[::-1]
-                backward = self.states(np.ascontiguousarray(at), "b")[0][::-1]
-                backward = np.take_along_axis(backward, np.where(real, w[None, :] - 1 - np.arange(steps)[:, None], 0)[:, :, None], axis=0)
-            else:
-                backward, _ = self.states(at, "b")
-            y = self.logits(forward, backward)
-            y -= y.max(axis=2, keepdims=True)
-            np.exp(y, out=y)
-            step = np.arange(steps)[:, None]
-            y *= (((step >= lead[rows]) & (step < lead[rows] + count[rows])) / y.sum(axis=2))[:, :, None]
-            np.add.at(total, owner[rows], y.sum(axis=0))
+        whole = np.flatnonzero(sizes)
+        if len(whole):
+            total[whole] = np.add.reduceat(y, starts[whole], axis=0, dtype=np.float64)
         return total / np.maximum(sizes, 1)[:, None]
 
 
@@ -227,25 +254,33 @@ def learned(docs: DataFrame) -> tuple[list[str], GatedNetwork | None]:
 
 
 def identified(docs: DataFrame, languages: list[str], net: GatedNetwork | None) -> DataFrame:
-    """doc_id, lang_pred and score of each row."""
+    """doc_id, lang_pred and score of each row. Rows come back in another order than they went in."""
+
+    def predicted(rows: list[tuple]) -> pd.DataFrame:
+        p = net.pooled([raw for _, raw in rows])
+        best = p.argmax(axis=1)
+        return pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], "Int64"), "lang_pred": [languages[k] for k in best], "score": np.clip(p[np.arange(len(best)), best], 0, 1)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = TOGETHER * 14 // (net.hidden + len(languages)) if net else 0
+        waiting: list[list[tuple]] = [[] for _ in range(len(LONG) + 1)]
+        size = [0] * len(waiting)
         for batch in batches:
-            texts = [t if t is not None and LETTER.search(t) else "" for t in batch["text"]]
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": "und", "score": 0.0})
-            raws, rows, size = [], [], 0
-            for i, t in enumerate([*texts, None]):
-                if raws and (t is None or size > LANES * BLOCK * 8) and net is not None:
-                    p = net.pooled(raws)
-                    best = p.argmax(axis=1)
-                    out.iloc[rows, 1] = [languages[k] for k in best]
-                    out.iloc[rows, 2] = np.clip(p[np.arange(len(best)), best], 0, 1)
-                    raws, rows, size = [], [], 0
-                if t:
-                    raws.append(t.encode("utf-8", "replace"))
-                    rows.append(i)
-                    size += len(raws[-1])
-            yield out
+            ids = batch["doc_id"].astype("Int64").array
+            legible = np.array([net is not None and t is not None and LETTER.search(t) is not None for t in batch["text"]], bool)
+            if not legible.all():
+                yield pd.DataFrame({"doc_id": ids[~legible], "lang_pred": "und", "score": 0.0})
+            for i in np.flatnonzero(legible):
+                raw = batch["text"].iloc[i].encode("utf-8", "replace")
+                at = bisect_right(LONG, len(raw))
+                waiting[at].append((ids[i], raw))
+                size[at] += len(raw)
+                if size[at] >= most:
+                    yield predicted(waiting[at])
+                    waiting[at], size[at] = [], 0
+        for rows in waiting:
+            if rows:
+                yield predicted(rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
