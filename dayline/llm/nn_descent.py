@@ -32,7 +32,7 @@ K, REVERSE = 32, 24
 #: Better companions that a member hears of from one local join, at most.
 NEWS = 6
 #: Share of nodes under which the number of replaced neighbours ends the descent.
-STILL = 1.0
+STILL = 0.5
 BEAM = 160
 NEAREST = 5
 #: A node with more than one in this many of all queries is dealt in parts.
