@@ -2,7 +2,7 @@
 
 One pass over the texts gives each document its set size, a 128-bit fingerprint of its shingle set, band keys over
 full minima, and the low four bits of each minimum packed into eight words. Documents with equal sets become one
-class, represented by its smallest doc_id. Classes that share a band are candidates; a candidate pair's similarity is estimated
+class, represented by the row of its smallest doc_id. Classes that share a band are candidates; a candidate pair's similarity is estimated
 from the packed words by bit counts, corrected for chance collisions, and pairs far below the threshold are let go
 (six standard deviations). The rest are confirmed on the full sets.
 
@@ -13,7 +13,7 @@ components is missed; bands with many members are cut into blocks there, which r
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a null doc_id is linked
 with nothing, its component_id is null and it is kept; repeated rows are equal sets and share a component, and each of them
-is kept if its doc_id is the component's; an empty table gives an empty result; further columns are ignored.
+is kept if its doc_id is the component's; one doc_id with several texts has a row, and a component, for each of them; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,11 +41,11 @@ LEFT_OVER, WORTH = 2, 0.5
 #: Members of a band up to which the last step emits candidate pairs; larger bands are compared in blocks, which emit links only.
 SMALL = 64
 BLOCK = 512
-SIGNED = "doc_id long, n long, f1 long, f2 long, sig array<long>, bands array<long>"
+SIGNED = "doc_id long, h long, n long, f1 long, f2 long, sig array<long>, bands array<long>"
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """The set size, fingerprint, packed low bits and band keys of each document."""
+    """The set size, fingerprint, packed low bits and band keys of each row. docs: doc_id, h (hash of the text), text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashing = Permutations(HASHES)
@@ -68,9 +68,10 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 rows.append((len(h), int(f1.astype(np.int64)), int(f2.astype(np.int64)), sig.view(np.int64), band.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "sig", "bands"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").reset_index(drop=True))
+            out.insert(1, "h", batch["h"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SIGNED)
+    return docs.select("doc_id", "h", "text").mapInPandas(run, SIGNED)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -101,8 +102,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         for batch in batches:
             ok, last, left = [], None, None
             for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"], strict=True):
-                if last != (a, len(ta)):
-                    last, left = (a, len(ta)), shingle_hashes(ta, size)
+                if last != a:
+                    last, left = a, shingle_hashes(ta, size)
                 right = shingle_hashes(tb, size)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 ok.append(100 * both >= percent * (len(left) + len(right) - both))
@@ -192,19 +193,23 @@ def relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
     return after
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, h and text: a row is known by its id and the hash of its text, since one id may have several texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("h"), "text")
+
+
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id and kept of each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, h, n_shingles, class_id, component_id and kept of each row."""
+    docs = keyed(docs)
     sets = common.saved(signed(docs, size), "near-signed", batch=2000)
     by = ["n", "f1", "f2"]
-    classes = common.saved(
-        sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
-        "near-classes",
-    )
+    first = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = common.saved(first.withColumn("rep", F.monotonically_increasing_id()), "near-classes")  # written, so that numbers stay
     places = classes.select("rep", F.explode("bands").alias("key"))
     shared = common.saved(places.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "near-shared")
     members = common.saved(places.join(shared, "key"), "near-members")
-    texts = common.saved(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "near-texts")
+    named = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "row.doc_id", "row.h")
+    texts = common.saved(docs.join(named, ["doc_id", "h"]).select("rep", "text").dropDuplicates(["rep"]), "near-texts")
     sigs = classes.select("rep", "n", "sig")
 
     def checked(pairs: DataFrame, label: str) -> DataFrame:
@@ -249,16 +254,17 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             label = relabelled(label, found)
         common.dropped(found)
     common.dropped(rest, texts, members, shared)
-    out = sets.select("doc_id", *by).join(classes.select(*by, "rep"), by, "left")
-    if label is None:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
-    else:
-        out = out.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "rep", "doc_id"))
+    at = classes.select(*by, "rep", "row.doc_id", F.col("rep").alias("comp")) if label is None else classes.select(*by, "rep", "row.doc_id").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    at = common.saved(at, "near-labelled")
+    least = at.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    facts = at.join(least, "comp").select(*by, F.col("doc_id").alias("class_id"), "component_id")
+    out = sets.select("doc_id", "h", *by).join(facts, by, "left")
+    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id",
+        "h",
         F.col("n").alias("n_shingles"),
-        F.coalesce("rep", "doc_id").alias("class_id"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
@@ -266,9 +272,10 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are kept, repeated rows once; all columns stay. Rows with a null doc_id are all kept."""
-    kept = grouped(docs, size, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    kept = grouped(docs, size, percent).where("kept AND doc_id IS NOT NULL").select("doc_id", "h").distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("h"))
+    found = rows.where("doc_id IS NOT NULL").join(kept.hint("merge"), ["doc_id", "h"], "left_semi").select("d.*")
+    return found.dropDuplicates(["doc_id", "text"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

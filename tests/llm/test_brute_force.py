@@ -69,6 +69,16 @@ def test_near_dup_in_blocks_equals_all_pairs(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dup.grouped(docs, size=4).collect()} == comp
 
 
+def test_near_dup_of_one_id_with_several_texts(spark):
+    for size in (60, 70):
+        a, b = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", size)))
+        rows = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (1, a)], "doc_id long, text string")
+        assert sorted((r.doc_id, r.component_id) for r in near_dup.grouped(rows, size=4).collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+        assert sorted(map(tuple, near_dup.one_of_each(rows).collect())) == [(1, a), (1, b)]
+    rows = spark.createDataFrame([(1, a), (1, b), (0, b + " y")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dup.one_of_each(rows).collect()) == [0, 1]
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
