@@ -142,6 +142,7 @@ class GatedNetwork:
                 self.p[k] -= rate * (1 - i / (steps + 1)) * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.999**i)) + 1e-8)
         return losses
 
+    @np.errstate(over="ignore")  # an exponential beyond the largest number is infinite, and its gate 0
     def pooled(self, raws: list[bytes]) -> np.ndarray:
         """Class probabilities of each byte string: the mean over all its positions.
 
@@ -161,6 +162,7 @@ class GatedNetwork:
         tables = np.stack([self.p[f"x{d}"].T * scale for d in "fb"])
         weights = np.stack([self.p[f"u{d}"].T * scale for d in "fb"])
         gates, new = np.ascontiguousarray(weights[:, : 2 * h]), np.ascontiguousarray(weights[:, 2 * h :])
+        out = np.stack([self.p[f"o{d}"].T for d in "fb"])
         s = np.zeros((2, h, len(raws)), np.float32)
         steps = np.arange(STRETCH)[:, None]
         for first in range(0, int(sizes.max(initial=0)), STRETCH):
@@ -169,31 +171,28 @@ class GatedNetwork:
             k = first + steps
             forth = low[:n] + np.minimum(k, lengths[:n] - 1)
             back = 2 * low[:n] + lengths[:n] - 1 - forth
-            seen, x = np.empty((len(steps), 2, h, n), np.float32), np.empty((2, 3 * h, n), np.float32)
+            said, x = np.empty((len(steps), 2, classes, n), np.float32), np.empty((2, 3 * h, n), np.float32)
             for t, (i, j) in enumerate(zip(data[forth].astype(np.intp), data[back].astype(np.intp), strict=True)):
-                # An exponential beyond the largest number is infinite, and its gate 0.
                 tables[0].take(i, axis=1, out=x[0], mode="clip")
                 tables[1].take(j, axis=1, out=x[1], mode="clip")
                 g = gates @ s
                 g += x[:, : 2 * h]
-                with np.errstate(over="ignore"):
-                    np.exp(g, out=g)
+                np.exp(g, out=g)
                 g += 1
                 np.reciprocal(g, out=g)
                 c = new @ (g[:, h:] * s)
                 c += x[:, 2 * h :]
-                with np.errstate(over="ignore"):
-                    np.exp(c, out=c)
+                np.exp(c, out=c)
                 c += 1
                 np.divide(2, c, out=c)
                 c -= 1
                 s -= c
                 s *= g[:, :h]
                 s += c
-                seen[t] = s
+                np.matmul(out, s, out=said[t])
             real = (k < lengths[:n]).T
-            for d, (at, o) in enumerate(((forth, "of"), (back, "ob"))):
-                y[at.T[real]] += seen[:, d].transpose(2, 0, 1)[real] @ self.p[o]
+            for d, at in enumerate((forth, back)):
+                y[at.T[real]] += said[:, d].transpose(2, 0, 1)[real]
         y += self.p["bias"]
         y -= y.max(axis=1, keepdims=True)
         np.exp(y, out=y)
