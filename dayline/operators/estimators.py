@@ -270,6 +270,30 @@ def cosinor(data: CurveSet, harmonics: int = 2, period: float = 24.0, reconstruc
     return by_subject(data.observations, F.col("curve"), run, schema)
 
 
+@dataclass(frozen=True)
+class CosinorModel:
+    """Least squares of raw curves: nothing is learned over subjects but the scale grid is that of the fit."""
+
+    scales: int
+    harmonics: int = 2
+    period: float = 24.0
+
+    def _checked(self, data: CurveSet) -> CurveSet:
+        if len(data.scales) != self.scales:
+            raise ValueError(f"curves have {len(data.scales)} scales, the model {self.scales}")
+        return data
+
+    def transform(self, data: CurveSet) -> DataFrame:
+        return cosinor(self._checked(data), self.harmonics, self.period)
+
+    def reconstruct(self, data: CurveSet) -> DataFrame:
+        return cosinor(self._checked(data), self.harmonics, self.period, reconstruct=True)
+
+
+def fit_cosinor(data: CurveSet, harmonics: int = 2, period: float = 24.0) -> CosinorModel:
+    return CosinorModel(len(data.scales), harmonics, period)
+
+
 def least_squares(design: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A design and the matrix that gives its solution of least norm."""
     return design, np.linalg.pinv(design, rcond=max(design.shape) * np.finfo(float).eps)

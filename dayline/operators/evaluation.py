@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from dayline.dataset import CurveSet
 from dayline.functions.curves import total
 from dayline.operators.partial import summed
+from dayline.operators.selection import stratified_folds
 
 #: Rows of a block in the pairwise distances of a silhouette.
 BLOCK = 1000
@@ -86,12 +87,14 @@ def ridge_r2(rows: DataFrame, alpha: float = 1.0, folds: int = 3, seed: int = 42
     return found
 
 
-def logistic_scores(rows: DataFrame, folds: int = 3, seed: int = 42, strength: float = 1.0) -> DataFrame:
+def logistic_scores(rows: DataFrame, folds: int = 3, seed: int = 42, strength: float = 1.0, placed: DataFrame | None = None) -> DataFrame:
     """subject_id, target, probability (array by class) and prediction, each subject scored by the model of the other folds.
 
-    The penalty is half the squared coefficients against ``strength`` times the summed loss.
+    The penalty is half the squared coefficients against ``strength`` times the summed loss. placed: subject_id and fold, where folds are not
+    hashed (selection.stratified_folds, for classes alike in all folds).
     """
-    at = rows.select("subject_id", "target", array_to_vector("fingerprint").alias("features"), fold(folds, seed).alias("fold"))
+    at = rows.withColumn("fold", fold(folds, seed)) if placed is None else rows.join(placed.select("subject_id", "fold"), "subject_id")
+    at = at.select("subject_id", "target", array_to_vector("fingerprint").alias("features"), "fold")
     parts = []
     for k in range(folds):
         train = at.where(F.col("fold") != k)
@@ -230,14 +233,14 @@ def summary(metrics: DataFrame) -> DataFrame:
 
 
 def evaluated(model, data: CurveSet, labels: DataFrame, folds: int = 5) -> dict[str, float]:
-    """The five figures of a fitted model; labels: subject_id and label, 0 to C - 1."""
+    """The five figures of a fitted model; labels: subject_id and label, 0 to C - 1. Classes are alike in the folds of the classifier."""
     rows = matched(model.transform(data), labels, "label").persist()
     try:
         k = rows.select("target").distinct().count()
         placed = clusters(rows, k).join(rows.select("subject_id", "target"), "subject_id")
         return {
             "reconstruction_mse": reconstruction_mse(data, model.reconstruct(data)).first()[0],
-            **classification(logistic_scores(rows, folds)),
+            **classification(logistic_scores(rows, folds, placed=stratified_folds(rows, "target", folds))),
             "silhouette": silhouette(placed).first()[0],
             "adjusted_rand": adjusted_rand(placed, "target").first()[0],
         }

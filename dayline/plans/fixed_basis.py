@@ -303,11 +303,17 @@ def q_logistic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    """Two estimators by all five figures; a segment is the label."""
+    """Five estimators by all five figures; a segment is the label."""
     data = events_set(spark, d)
     names = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
     labels = tables.subjects(spark, d).select("subject_id", (F.array_position(names, F.col("segment")) - 1).cast("double").alias("label"))
-    fits = {"spectral": lambda x: estimators.fit_spectral(x, 3, HARMONICS, SHRINKAGE), "two_level": two_level.fit_two_level}
+    fits = {
+        "spectral": lambda x: estimators.fit_spectral(x, 3, HARMONICS, SHRINKAGE),
+        "two_level": two_level.fit_two_level,
+        "diagonal": lambda x: estimators.fit_harmonic(x, "diagonal", 3, HARMONICS, SHRINKAGE),
+        "least_squares": lambda x: estimators.fit_harmonic(x, "least_squares", 3, HARMONICS, SHRINKAGE),
+        "cosinor": lambda x: estimators.fit_cosinor(x, HARMONICS),
+    }
     return tables.benchmark_summary(evaluation.benchmark(fits, data, labels))
 
 
