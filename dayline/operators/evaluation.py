@@ -11,17 +11,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.dataset import CurveSet
 from dayline.functions.curves import total
+from dayline.operators import logistic
 from dayline.operators.partial import summed
 from dayline.operators.selection import stratified_folds
 
@@ -88,23 +88,17 @@ def ridge_r2(rows: DataFrame, alpha: float = 1.0, folds: int = 3, seed: int = 42
 
 
 def logistic_scores(rows: DataFrame, folds: int = 3, seed: int = 42, strength: float = 1.0, placed: DataFrame | None = None) -> DataFrame:
-    """subject_id, target, probability (array by class) and prediction, each subject scored by the model of the other folds.
+    """subject_id, target, probability (array by class), prediction and fold, each subject scored by the model of the other folds.
 
     The penalty is half the squared coefficients against ``strength`` times the summed loss. placed: subject_id and fold, where folds are not
     hashed (selection.stratified_folds, for classes alike in all folds).
     """
     at = rows.withColumn("fold", fold(folds, seed)) if placed is None else rows.join(placed.select("subject_id", "fold"), "subject_id")
-    at = at.select("subject_id", "target", array_to_vector("fingerprint").alias("features"), "fold")
-    parts = []
-    for k in range(folds):
-        train = at.where(F.col("fold") != k)
-        n = max(train.count(), 1)
-        model = LogisticRegression(labelCol="target", maxIter=1000, standardization=False, regParam=1 / (strength * n)).fit(train)
-        parts.append(model.transform(at.where(F.col("fold") == k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("subject_id", "target", vector_to_array("probability").alias("probability"), "prediction", "fold")
+    at = at.select("subject_id", F.col("target").cast("double").alias("target"), "fingerprint", F.col("fold").cast("int").alias("fold")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return logistic.fold_scores(at, folds, strength)
+    finally:
+        at.unpersist()
 
 
 def auc(scored: DataFrame, score: Column, label: Column) -> float:
@@ -117,9 +111,21 @@ def auc(scored: DataFrame, score: Column, label: Column) -> float:
 
 def classification(scored: DataFrame) -> dict[str, float]:
     """Accuracy, and the mean over classes of the area of each against the rest. Classes are 0 to C - 1."""
-    classes = [int(r[0]) for r in scored.select("target").distinct().collect()]
-    areas = [auc(scored, F.col("probability")[c], F.col("target") == c) for c in (sorted(classes) if len(classes) > 2 else [1])]
-    return {"accuracy": scored.agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0], "auc": float(np.mean(areas))}
+    rows = scored.select("target", "prediction", "probability").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [rows]
+    try:
+        classes = sorted(int(r[0]) for r in rows.select("target").distinct().collect())
+        asked = F.explode(F.array(*map(F.lit, classes if len(classes) > 2 else [1])))
+        each = rows.select("target", "probability", asked.alias("c")).select("c", F.get("probability", "c").alias("s"), (F.col("target") == F.col("c")).alias("hit"))
+        ranked, dealt = grouped_ranks(each, "c", "s")
+        kept.append(dealt)
+        sums = each.join(ranked, ["c", "s"]).groupBy("c").agg(F.sum(F.when(F.col("hit"), F.col("rank_s"))).alias("r"), F.count_if("hit").alias("n"), F.count_if(~F.col("hit")).alias("m"))
+        areas = [(x["r"] - x["n"] * (x["n"] + 1) / 2) / (x["n"] * x["m"]) if x["n"] and x["m"] else float("nan") for x in sums.collect()]
+        right = rows.agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0]
+    finally:
+        for df in kept:
+            df.unpersist()
+    return {"accuracy": right, "auc": float(np.mean(areas)) if areas else float("nan")}
 
 
 def confusion(rows: DataFrame) -> DataFrame:
