@@ -7,6 +7,7 @@ the same in every job.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -138,7 +139,8 @@ def clusters(fingerprints: DataFrame, k: int, starts: int = 10, seed: int = 42)
     """subject_id, fingerprint and cluster: the best of several starts by within-cluster squares."""
     rows = fingerprints.select("subject_id", "fingerprint", array_to_vector("fingerprint").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = [KMeans(k=k, seed=seed + i).fit(rows) for i in range(starts)]
+        with ThreadPoolExecutor(starts) as pool:  # the starts' small jobs side by side
+            models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i).fit(rows), range(starts)))
         best = min(models, key=lambda m: m.summary.trainingCost)
     finally:
         rows.unpersist()

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.dataset import CurveSet, numbered
 from dayline.functions import dense
-from dayline.operators.estimators import SpectralModel, fit_parts, fit_spectral, remembered
+from dayline.operators.estimators import SpectralModel, fit_parts, fit_spectral, mode_noise, remembered
 from dayline.operators.partial import days
 
 # What is tried where modes or shrinkage are to be chosen.
-MODES, SHRINKAGES = (2, 3, 5), (0.0, 0.1, 0.25, 0.5)
+MODES, SHRINKAGES, HARMONICS = (2, 3, 5), (0.0, 0.1, 0.25, 0.5), (1, 2, 3)
 
 
 def contiguous_folds(ids: DataFrame, folds: int, equal: bool = False) -> DataFrame:
@@ -110,3 +111,68 @@ def selected(data: CurveSet, n_modes: int | str = "cv", shrinkage: float | str =
     found = [(m, s, float(e / used)) for (m, s), e in zip(tried, total, strict=True)]
     m, s, _ = min(found, key=lambda x: x[2])
     return fit_spectral(data, m, harmonics, s, period, **options), found
+
+
+def hour_fold(folds: int, seed: int, hour: Column | str = "hour") -> Column:
+    """0 to folds - 1, from subject_id and hour."""
+    return F.pmod(F.xxhash64("subject_id", F.col(hour).cast("int") if isinstance(hour, str) else hour.cast("int"), F.lit(seed)), F.lit(folds)).cast("int")
+
+
+def left_out_errors(models: list[list[SpectralModel]], data: CurveSet, seed: int) -> np.ndarray:
+    """Of each candidate, the mean squared error of curves at hours left out, each predicted by its fold's models from the subject's other hours.
+
+    models: of each fold, the candidates in one order. Every day is read once for all folds and candidates. A subject without other hours is predicted
+    by the mean curve.
+    """
+    folds = len(models)
+    rows = days(data).withColumn("folds", F.transform("hours", lambda h: hour_fold(folds, seed, h)))
+    precisions = [[m.precision() for m in some] for some in models]
+
+    def curves(m: SpectralModel, precision: np.ndarray, hours: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not len(hours):
+            return np.repeat(m.basis.mean[None], len(at), axis=0)
+        x = ((y - m.basis.mean) * m.basis.weights) @ m.basis.modes.T
+        offsets, design = x.mean(axis=0), dense.fourier(hours, m.harmonics, m.period)
+        b, _ = dense.posterior(precision, design, x - offsets, m.noise, m.ridge)
+        return m.basis.mean + (offsets + dense.fourier(at, m.harmonics, m.period) @ b.reshape(x.shape[1], -1).T) @ m.basis.modes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, n = np.zeros(len(models[0])), 0
+        for batch in batches:
+            for hours, values, own in zip(batch["hours"], batch["values"], batch["folds"], strict=True):
+                hours, own = np.asarray(hours, int), np.asarray(own, int)
+                y = np.asarray(values, float).reshape(len(hours), -1)
+                n += len(hours)
+                for f in np.unique(own):
+                    held = own == f
+                    for k, m in enumerate(models[f]):
+                        sums[k] += ((y[held] - curves(m, precisions[f][k], hours[~held], y[~held], hours[held])) ** 2).mean(axis=1).sum()
+        yield pd.DataFrame({"k": np.arange(len(sums)), "e": sums, "n": n})
+
+    found = rows.mapInPandas(run, "k int, e double, n long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).orderBy("k").collect()
+    return np.array([r["e"] / r["n"] if r["n"] else np.nan for r in found])
+
+
+def selected_by_hours(data: CurveSet, modes: tuple[int, ...] = MODES, harmonics: tuple[int, ...] = HARMONICS, shrinkage: float = 0.25, folds: int = 5, seed: int = 42, period: float = 24.0, **options) -> tuple[SpectralModel, list[tuple[int, int, float]]]:
+    """The model of all data with the modes and harmonics, chosen together, that predict hours left out best, and (modes, harmonics, error) of each pair.
+
+    A fold leaves out rows by a hash of subject and hour. It is fitted once, with the most modes and harmonics: fewer come out of the same sums,
+    but for the noise, which every number of harmonics needs anew. The first of equal errors is taken.
+    """
+    modes = tuple(m for m in modes if m <= len(data.scales))
+    tried = [(m, r) for m in modes for r in harmonics]
+    placed = data.observations.withColumn("fold", hour_fold(folds, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        models = []
+        for k in range(folds):
+            rest = CurveSet(placed.where(F.col("fold") != k).drop("fold"), data.scales)
+            parts = fit_parts(rest, max(modes), max(harmonics), period)
+            scores = rest.observations.select("subject_id", "hour", parts.basis.scores().alias("xi"))
+            noise = {r: parts.noise if r == max(harmonics) else mode_noise(scores, r, period) for r in harmonics}
+            models.append([replace(parts, harmonics=r, spectra=parts.spectra[:r], noise=noise[r]).model(m, shrinkage, **options) for m, r in tried])
+        error = left_out_errors(models, CurveSet(placed.drop("fold"), data.scales), seed)
+    finally:
+        placed.unpersist()
+    found = [(m, r, float(e)) for (m, r), e in zip(tried, error, strict=True)]
+    m, r, _ = min(found, key=lambda x: x[2])
+    return fit_spectral(data, m, r, shrinkage, period, **options), found

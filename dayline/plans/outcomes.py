@@ -1,4 +1,4 @@
-"""Queries that link fingerprints to outcomes by nested folds."""
+"""Queries that link fingerprints to outcomes by nested folds, and that choose modes and harmonics by hours left out."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayline.operators import linkage
+from dayline.operators import linkage, selection
 from dayline.plans.sql import LONG, events_set
 from dayline.sources import tables
 
@@ -44,6 +44,10 @@ def q_predicted(spark: SparkSession, d: str) -> DataFrame:
     return linkage.linked(linkage.products(linked_rows(spark, d), OUTER, INNER)).predict(linked_rows(spark, d))
 
 
+def q_hours(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(selection.selected_by_hours(events_set(spark, d))[1], "modes int, harmonics int, error double")
+
+
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "first_component_r2": (
         q_components,
@@ -57,4 +61,4 @@ SELECT fold, count(*) AS n, round(avg((y - my - b * t) ** 2), 3) AS mse, round(1
 }
 
 #: Iterated fits, which SQL does not give; the tests hold them against loops over rows.
-UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"outcome_nested": q_nested, "outcome_prediction": q_predicted}
+UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"outcome_nested": q_nested, "outcome_prediction": q_predicted, "selection_by_hours": q_hours}
