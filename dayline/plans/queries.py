@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dayline import schema
 from dayline.functions.curves import mean_curvature, morphology, quadrature_weights
 from dayline.operators import autoencoder, estimators, evaluation, spectral, two_level
-from dayline.plans import containers, diagnostics, fixed_basis, outcomes, streams
+from dayline.plans import containers, diagnostics, fixed_basis, geometry, outcomes, streams
 from dayline.plans.sql import EMB, LONG, PAIRS, event_scores, events_set, r6
 from dayline.sources import tables
 
@@ -298,7 +298,7 @@ UNSTATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosinor_fingerprint": q_cosinor_fit(False),
     "cosinor_reconstruct": q_cosinor_fit(True),
 }
-REGISTERED |= containers.REGISTERED | fixed_basis.REGISTERED | streams.REGISTERED | diagnostics.REGISTERED | outcomes.REGISTERED
-UNSTATED |= fixed_basis.UNSTATED | diagnostics.UNSTATED | outcomes.UNSTATED
+REGISTERED |= containers.REGISTERED | fixed_basis.REGISTERED | streams.REGISTERED | diagnostics.REGISTERED | outcomes.REGISTERED | geometry.REGISTERED
+UNSTATED |= fixed_basis.UNSTATED | diagnostics.UNSTATED | outcomes.UNSTATED | geometry.UNSTATED
 QUERIES = {name: run for name, (run, _) in REGISTERED.items()} | UNSTATED
 ORACLE_SQL = {name: sql for name, (_, sql) in REGISTERED.items()}
