@@ -27,7 +27,7 @@ COLUMNS, STEPS = 48, 60
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: lineage ends here, and rows stay where they were dealt."""
+    """A checkpoint in the shared folder: lineage ends here. It does not remember how rows were dealt, so a join of it shuffles."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession, "geometry"))
@@ -219,21 +219,20 @@ def diffusion_map(prints: DataFrame, components: int = 4, k: int = NEIGHBOURS, a
 
     Coordinates are the leading right eigenvectors of the random walk on the kernel (without the constant), of mean square 1 under its stationary
     distribution, times their eigenvalue to the power ``time``; the largest absolute one of each is positive. Eigenvectors come from a block Lanczos
-    search that starts anew from its best vectors: a step is one product with the kernel, and only products of columns reach the driver. It ends once
+    search that starts anew from its best vectors: a step is one product with the kernel, which shuffles its k entries a node and the columns, and
+    only products of columns reach the driver. It ends once
     the residuals of all components are under the tolerance, or after STEPS. With fewer than components + 1 nodes there are fewer coordinates.
     prints: subject_id and fingerprint, all of one width.
     """
-    spark = prints.sparkSession
     points = kept(nodes(prints))
-    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = kept(kernel(neighbours(points, k)).repartition(places, "j"))
+    edges = kept(kernel(neighbours(points, k)))
     at = degrees(points, edges, alpha)
     total = at.agg(F.sum(F.col("w") * F.col("d"))).first()[0] or 1.0
     width = components + 2  # of a block
     start = F.array(*(F.xxhash64("node", F.lit(b)) / 2.0**63 for b in range(width)))
     known = F.array(F.sqrt(F.col("w") * F.col("d") / total))
     state = at.select("node", known.alias("q"), known.alias("s"), (F.sqrt("w") * F.col("q") ** -alpha / F.sqrt("d")).alias("u"), start.alias("z"))
-    state = kept(state.repartition(places, "node"))
+    state = kept(state)
     theta, rest, a, m, step = np.zeros(0), np.zeros(0), np.zeros((1, 0)), 1, 0
     while True:
         step += 1
