@@ -155,6 +155,7 @@ def kernel(near: DataFrame) -> DataFrame:
 
     The value of a node with itself is 1 and has no row. near: node, other and distance.
     """
+    near = kept(near.select("node", "other", "distance"))  # read three times
     scale = near.groupBy("node").agg(F.max("distance").alias("s"))
     at = near.join(scale, "node").join(scale.select(F.col("node").alias("other"), F.col("s").alias("t")), "other")
     value = F.exp(-F.col("distance") * F.col("distance") / (F.col("s") * F.col("t")))

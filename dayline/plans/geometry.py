@@ -25,7 +25,7 @@ def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def q_degrees(spark: SparkSession, d: str) -> DataFrame:
     points = geometry.kept(geometry.nodes(mean_curves(spark, d)))
-    edges = geometry.kernel(geometry.neighbours(points, NEAR))
+    edges = geometry.kept(geometry.kernel(geometry.neighbours(points, NEAR)))
     return geometry.degrees(points, edges).select("node", "w", F.round("q", 8).alias("q"), F.round("d", 8).alias("d"))
 
 
