@@ -296,5 +296,7 @@ def detected(docs: DataFrame) -> DataFrame:
 
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = detected(common.documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    # a second parameter of a lambda would be taken for the place in the array
+    of_kind = lambda kind: F.filter("base", lambda c: c["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(F.concat("base", "more")).alias("spans"))
