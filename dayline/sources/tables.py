@@ -136,10 +136,13 @@ def hourly_curves(spark: SparkSession, paths: dict[int, str], min_hours: int = M
 
 
 def features(curves: DataFrame, scales: list[float], subjects: DataFrame) -> DataFrame:
-    """Shape features of every hour beside the covariates of the same subject and hour, of subjects with all 24 hours."""
-    rows = complete_days(curves.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi"))
+    """Shape features of every hour beside the covariates of the same subject and hour, of subjects with all 24 hours.
+
+    Both sides grow with the subjects, and what explodes is taken for small by its file: joins are by sorted rows, never by a copy on the driver.
+    """
+    rows = complete_days(curves.join(subjects.select("subject_id").distinct().hint("merge"), "subject_id", "left_semi"))
     found = rows.select("subject_id", "hour", *(c.alias(n) for n, c in morphology(F.col("curve"), scales).items()))
-    return subjects.join(found, ["subject_id", "hour"])
+    return subjects.hint("merge").join(found, ["subject_id", "hour"])
 
 
 def supervised(rows: DataFrame, first: DataFrame, second: DataFrame, target: str, least: int = LEAST_PAIRED) -> DataFrame:
@@ -201,7 +204,7 @@ def enough_hours(rows: DataFrame, least: int = MIN_HOURS) -> DataFrame:
 def complete_days(rows: DataFrame) -> DataFrame:
     """Observations of subjects present in all 24 hours."""
     whole = rows.groupBy("subject_id").agg(F.countDistinct("hour").alias("n")).where("n = 24").select("subject_id")
-    return rows.join(whole, "subject_id", "left_semi")
+    return rows.join(whole.hint("merge"), "subject_id", "left_semi")
 
 
 def channels(first: DataFrame, second: DataFrame) -> DataFrame:
