@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame
 from dayline import schema
 from dayline.dataset import CurveSet
 from dayline.functions import dense
-from dayline.operators.partial import days, summed
+from dayline.operators.partial import GROUPS, days
+
+#: Subjects of a block that is laid out once.
+ROWS = 512
 
 
 def shapes(scales: int, hidden: int, code: int) -> list[tuple[int, ...]]:
@@ -68,8 +71,8 @@ def loss_and_gradient(p: list[np.ndarray], x: np.ndarray, mask: np.ndarray) -> n
     dz = db @ p[4].T * (1 - z**2)
     dh = (dz @ p[2].T).reshape(hidden.shape) * mask[:, :, None] * (1 - hidden**2)
     grads = [
-        np.einsum("ihs,ihk->sk", x, dh), dh.sum(axis=(0, 1)), hidden.reshape(len(x), -1).T @ dz, dz.sum(axis=0),
-        z.T @ db, db.sum(axis=0), np.einsum("ihk,ihs->ks", back, dy), dy.sum(axis=(0, 1)),
+        x.reshape(-1, x.shape[2]).T @ dh.reshape(-1, dh.shape[2]), dh.sum(axis=(0, 1)), hidden.reshape(len(x), -1).T @ dz, dz.sum(axis=0),
+        z.T @ db, db.sum(axis=0), back.reshape(-1, back.shape[2]).T @ dy.reshape(-1, dy.shape[2]), dy.sum(axis=(0, 1)),
     ]
     return np.concatenate([[((error**2).sum(axis=(1, 2)) * per).sum()], *(g.ravel() for g in grads), [len(x)]])
 
@@ -113,11 +116,31 @@ def fit_autoencoder(data: CurveSet, code: int = 16, hidden: int = 32, steps: int
     """Quasi-Newton descent; the penalty is half the squared weights."""
     form = shapes(len(data.scales), hidden, code)
     scales, start = len(data.scales), first_weights(form, seed)
-    packed = days(data).select("hours", "values").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), ROWS):
+                x, mask = laid_out(batch.iloc[a : a + ROWS], scales)
+                yield pd.DataFrame({"x": [x.tobytes()], "mask": [mask.tobytes()]})
+
+    # curves and masks are laid out once; a loss is one stage over blocks that are kept, whose sums are few
+    packed = days(data).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = min(GROUPS, max(1, -(-packed.count() // ROWS)))
+    whole, packed = packed, packed.repartition(parts, "subject_id").select("hours", "values")
+    packed = packed.mapInPandas(blocked, "x binary, mask binary").persist(StorageLevel.MEMORY_AND_DISK)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         p = parted(w, form)
-        total = summed(packed, lambda batch: loss_and_gradient(p, *laid_out(batch, scales)), len(w) + 2)
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(w) + 2)
+            for batch in batches:
+                for x, mask in zip(batch["x"], batch["mask"], strict=True):
+                    seen = np.frombuffer(mask).reshape(-1, schema.HOURS)
+                    total += loss_and_gradient(p, np.frombuffer(x).reshape(len(seen), schema.HOURS, scales), seen)
+            yield pd.DataFrame({"v": [total.tobytes()]})
+
+        total = sum(np.frombuffer(r["v"]) for r in packed.mapInPandas(sums, "v binary").collect())  # GROUPS rows at most
         n = max(total[-1], 1)
         return total[0] / n + 0.5 * penalty * w @ w, total[1:-1] / n + penalty * w
 
@@ -125,4 +148,5 @@ def fit_autoencoder(data: CurveSet, code: int = 16, hidden: int = 32, steps: int
         w, path = dense.minimised(loss, start, steps)
     finally:
         packed.unpersist()
+        whole.unpersist()
     return Autoencoder(w, scales, hidden, code, tuple(path))
