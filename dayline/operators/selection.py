@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,10 @@ from pyspark.sql import functions as F
 
 from dayline.dataset import CurveSet, numbered
 from dayline.functions import dense
-from dayline.operators.estimators import SpectralModel, fit_parts, fit_spectral, mode_noise, remembered
-from dayline.operators.partial import days
+from dayline.operators import sums
+from dayline.operators.estimators import SpectralModel, remembered
+from dayline.operators.partial import days, summed
+from dayline.schema import HOURS
 
 # What is tried where modes or shrinkage are to be chosen.
 MODES, SHRINKAGES, HARMONICS = (2, 3, 5), (0.0, 0.1, 0.25, 0.5), (1, 2, 3)
@@ -59,27 +60,82 @@ def stratified_folds(rows: DataFrame, label: str, folds: int) -> DataFrame:
     return ranked.select("subject_id", label, F.size(F.filter("ends", lambda e: e <= rank)).alias("fold"))
 
 
-def errors(models: list[SpectralModel], data: CurveSet) -> list[float]:
-    """Of each model, the sum over subjects of the mean squared error of their reconstructed curves: one pass for all models."""
-    made = []
-    for m in models:
-        covariance = remembered(lambda hours, m=m, p=m.precision(): dense.posterior_covariance(p, dense.fourier(hours, m.harmonics, m.period), len(m.basis.modes), m.noise, m.ridge))
-        made.append((m, covariance))
+class Predictor:
+    """Curves that a model expects of many days at once, from their rows at each hour."""
+
+    def __init__(self, model: SpectralModel):
+        self.model, self.precision = model, model.precision()
+        self.prior = self.precision + model.ridge * np.eye(len(self.precision))
+        self.design = dense.fourier(np.arange(HOURS), model.harmonics, model.period)
+        self.known = remembered(lambda hours: dense.posterior_covariance(self.precision, self.design[hours], len(model.basis.modes), model.noise, model.ridge))
+
+    def curves(self, x: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """(day, hour, scale) at all hours. x: the sum of a day's curves at each hour; seen: how many they are. A day without any gets the mean curve."""
+        basis, f, modes, noise = self.model.basis, self.design, len(self.model.basis.modes), self.model.noise
+        size, wide = seen.sum(axis=1), f.shape[1]
+        z = ((x - seen[:, :, None] * basis.mean) * basis.weights) @ basis.modes.T
+        offsets = z.sum(axis=1) / np.maximum(size, 1)[:, None]
+        seen_with = (z - seen[:, :, None] * offsets[:, None]).transpose(0, 2, 1) @ f / noise
+        b = np.zeros(seen_with.shape)
+        many = size >= wide
+        if many.any():
+            gram = (seen[many] @ (f[:, :, None] * f[:, None, :]).reshape(HOURS, -1)).reshape(-1, wide, wide) / noise
+            p = np.repeat(self.prior.reshape(1, modes, wide, modes, wide), len(gram), axis=0)
+            for m in range(modes):
+                p[:, m, :, m] += gram
+            b[many] = np.linalg.solve(p.reshape(len(gram), modes * wide, -1), seen_with[many].reshape(len(gram), -1, 1)).reshape(len(gram), modes, wide)
+        for k in np.flatnonzero(~many & (size > 0)):  # fewer hours than coefficients of a mode have a cheaper form
+            b[k] = (self.known(np.repeat(np.arange(HOURS), seen[k].astype(int))) @ seen_with[k].ravel()).reshape(modes, wide)
+        return (offsets[:, None] + f @ b.transpose(0, 2, 1)) @ basis.modes + basis.mean
+
+
+def mean_of_days(rows: DataFrame, scales: int) -> np.ndarray:
+    """The mean of all curves."""
+
+    def part(batch: pd.DataFrame) -> np.ndarray:
+        y = np.concatenate(batch["values"].to_list()).reshape(-1, scales)
+        return np.append(y.sum(axis=0), len(y))
+
+    total = summed(rows.select("values"), part, scales + 1)
+    return total[:-1] / max(total[-1], 1)
+
+
+def fold_sums(rows: DataFrame, layout: sums.Layout, folds: int, shift: np.ndarray) -> np.ndarray:
+    """The sums of the subjects of each fold, and last of those in none: one pass. rows: hours, values and fold."""
+
+    def part(batch: pd.DataFrame) -> np.ndarray:
+        total = np.zeros((folds + 1, layout.size))
+        for f, own in batch.groupby("fold"):
+            for _, day, hour, y in sums.flattened(own["hours"].to_list(), own["values"].to_list(), layout.scales):
+                total[f] += layout.of_rows(day, hour, y - shift, np.ones(day[-1] + 1))
+        return total.ravel()
+
+    return summed(rows.select("hours", "values", "fold"), part, (folds + 1) * layout.size).reshape(folds + 1, -1)
+
+
+def errors(models: dict[int, list[SpectralModel]], rows: DataFrame, scales: int) -> np.ndarray:
+    """Of each candidate, the sum over subjects of the mean squared error of their curves as reconstructed by their own fold's models: one pass.
+
+    models: the candidates of a fold in one order; subjects of other folds are left out. rows: hours, values and fold.
+    """
+    many = len(next(iter(models.values())))
+
+    def made() -> dict[int, list[Predictor]]:
+        return {f: [Predictor(m) for m in some] for f, some in models.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(made))
+        total, predictors = np.zeros(many), made()
         for batch in batches:
-            for hours, values in zip(batch["hours"], batch["values"], strict=True):
-                hours, y = np.asarray(hours, int), np.asarray(values, float).reshape(len(hours), -1)
-                for k, (m, covariance) in enumerate(made):
-                    x = ((y - m.basis.mean) * m.basis.weights) @ m.basis.modes.T
-                    offsets, design = x.mean(axis=0), dense.fourier(hours, m.harmonics, m.period)
-                    b = (covariance(hours) @ (design.T @ (x - offsets)).T.reshape(-1) / m.noise).reshape(x.shape[1], -1)
-                    total[k] += ((y - m.basis.mean - (offsets + design @ b.T) @ m.basis.modes) ** 2).mean()
-        yield pd.DataFrame({"k": np.arange(len(made)), "e": total})
-
-    found = days(data).mapInPandas(run, "k int, e double").groupBy("k").agg(F.sum("e").alias("e")).collect()
-    out = [0.0] * len(made)
+            for f, own in batch.groupby("fold"):
+                for _, day, hour, y in sums.flattened(own["hours"].to_list(), own["values"].to_list(), scales) if f in predictors else ():
+                    n = int(day[-1]) + 1
+                    x, seen = sums.laid(day, hour, y, n), sums.times(day, hour, n)
+                    for k, p in enumerate(predictors[f]):
+                        total[k] += (((y - p.curves(x, seen)[day, hour]) ** 2).mean(axis=1) / seen.sum(axis=1)[day]).sum()
+        yield pd.DataFrame({"k": np.arange(many), "e": total})
+
+    found = rows.select("hours", "values", "fold").mapInPandas(run, "k int, e double").groupBy("k").agg(F.sum("e").alias("e")).collect()
+    out = np.zeros(many)
     for k, e in found:
         out[k] = e
     return out
@@ -88,29 +144,33 @@ def errors(models: list[SpectralModel], data: CurveSet) -> list[float]:
 def selected(data: CurveSet, n_modes: int | str = "cv", shrinkage: float | str = "cv", folds: int = 5, harmonics: int = 2, period: float = 24.0, **options) -> tuple[SpectralModel, list[tuple[int, float, float]]]:
     """The model of all data with the modes and shrinkage of least error over folds, and (modes, shrinkage, error) of each pair tried.
 
-    "cv" for either means its grid. Each fold is fitted once, with the most modes: fewer modes and other shrinkages come out of the same sums.
-    The first of equal errors is taken.
+    "cv" for either means its grid. Days are packed once; one pass sums them by fold, from which all folds are fitted with the most modes (fewer modes and
+    other shrinkages come out of the same sums, and the model of all data of their total), and one more meets all candidates. The first of equal errors is taken.
     """
     modes = [m for m in MODES if m <= len(data.scales)] if n_modes == "cv" else [n_modes]
     tried = [(m, s) for m in modes for s in (SHRINKAGES if shrinkage == "cv" else (shrinkage,))]
-    placed = data.observations.join(contiguous_folds(data.subject_ids(), folds, equal=True), "subject_id").persist(StorageLevel.MEMORY_AND_DISK)
+    layout = sums.Layout(len(data.scales), harmonics, period)
+    rows = days(data).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = rows.join(contiguous_folds(rows.select("subject_id"), folds, equal=True), "subject_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        total, used = np.zeros(len(tried)), 0
+        shift = mean_of_days(placed, layout.scales)
+        each = fold_sums(placed, layout, folds, shift)
+        models = {}
         for k in range(folds):
-            left = CurveSet(placed.where(F.col("fold") == k).drop("fold"), data.scales)
-            rest = CurveSet(placed.where(F.col("fold") != k).drop("fold"), data.scales)
-            if left.observations.isEmpty() or rest.observations.isEmpty():
-                continue
-            parts = fit_parts(rest, max(modes) if n_modes == "cv" else n_modes, harmonics, period)
-            total += errors([parts.model(m if n_modes == "cv" else len(parts.basis.modes), s, **options) for m, s in tried], left)
-            used += 1
+            rest = np.delete(each, k, axis=0).sum(axis=0)
+            if layout.parts(each[k])["n"] and layout.parts(rest)["n"]:
+                parts = sums.fit_of(rest, layout, data.scales, max(modes) if n_modes == "cv" else n_modes, shift=shift)
+                models[k] = [parts.model(m if n_modes == "cv" else len(parts.basis.modes), s, **options) for m, s in tried]
+        if not models:
+            raise ValueError("too few subjects for folds")
+        total = errors(models, placed, layout.scales)
     finally:
         placed.unpersist()
-    if not used:
-        raise ValueError("too few subjects for folds")
-    found = [(m, s, float(e / used)) for (m, s), e in zip(tried, total, strict=True)]
+        rows.unpersist()
+    found = [(m, s, float(e / len(models))) for (m, s), e in zip(tried, total, strict=True)]
     m, s, _ = min(found, key=lambda x: x[2])
-    return fit_spectral(data, m, harmonics, s, period, **options), found
+    whole = sums.fit_of(each.sum(axis=0), layout, data.scales, m, shift=shift)
+    return whole.model(len(whole.basis.modes), s, **options), found
 
 
 def hour_fold(folds: int, seed: int, hour: Column | str = "hour") -> Column:
@@ -118,61 +178,73 @@ def hour_fold(folds: int, seed: int, hour: Column | str = "hour") -> Column:
     return F.pmod(F.xxhash64("subject_id", F.col(hour).cast("int") if isinstance(hour, str) else hour.cast("int"), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def left_out_errors(models: list[list[SpectralModel]], data: CurveSet, seed: int) -> np.ndarray:
+def left_out_errors(models: list[list[SpectralModel]], rows: DataFrame, scales: int) -> np.ndarray:
     """Of each candidate, the mean squared error of curves at hours left out, each predicted by its fold's models from the subject's other hours.
 
     models: of each fold, the candidates in one order. Every day is read once for all folds and candidates. A subject without other hours is predicted
-    by the mean curve.
+    by the mean curve. rows: hours, values and the folds of hours.
     """
-    folds = len(models)
-    rows = days(data).withColumn("folds", F.transform("hours", lambda h: hour_fold(folds, seed, h)))
-    precisions = [[m.precision() for m in some] for some in models]
-
-    def curves(m: SpectralModel, precision: np.ndarray, hours: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if not len(hours):
-            return np.repeat(m.basis.mean[None], len(at), axis=0)
-        x = ((y - m.basis.mean) * m.basis.weights) @ m.basis.modes.T
-        offsets, design = x.mean(axis=0), dense.fourier(hours, m.harmonics, m.period)
-        b, _ = dense.posterior(precision, design, x - offsets, m.noise, m.ridge)
-        return m.basis.mean + (offsets + dense.fourier(at, m.harmonics, m.period) @ b.reshape(x.shape[1], -1).T) @ m.basis.modes
+    many = len(models[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, n = np.zeros(len(models[0])), 0
+        total, n = np.zeros(many), 0
+        predictors = [[Predictor(m) for m in some] for some in models]
         for batch in batches:
-            for hours, values, own in zip(batch["hours"], batch["values"], batch["folds"], strict=True):
-                hours, own = np.asarray(hours, int), np.asarray(own, int)
-                y = np.asarray(values, float).reshape(len(hours), -1)
-                n += len(hours)
+            own_folds = batch["folds"].to_list()
+            for some, day, hour, y in sums.flattened(batch["hours"].to_list(), batch["values"].to_list(), scales):
+                own = np.concatenate(own_folds[some])
+                n += len(own)
                 for f in np.unique(own):
                     held = own == f
-                    for k, m in enumerate(models[f]):
-                        sums[k] += ((y[held] - curves(m, precisions[f][k], hours[~held], y[~held], hours[held])) ** 2).mean(axis=1).sum()
-        yield pd.DataFrame({"k": np.arange(len(sums)), "e": sums, "n": n})
-
-    found = rows.mapInPandas(run, "k int, e double, n long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).orderBy("k").collect()
+                    asked, place = np.unique(day[held], return_inverse=True)  # days with an hour in this fold
+                    to = np.full(int(day[-1]) + 1, -1)
+                    to[asked] = np.arange(len(asked))
+                    rest = ~held & (to[day] >= 0)
+                    x, seen = sums.laid(to[day[rest]], hour[rest], y[rest], len(asked)), sums.times(to[day[rest]], hour[rest], len(asked))
+                    for k, p in enumerate(predictors[f]):
+                        total[k] += ((y[held] - p.curves(x, seen)[place, hour[held]]) ** 2).mean(axis=1).sum()
+        yield pd.DataFrame({"k": np.arange(many), "e": total, "n": n})
+
+    found = rows.select("hours", "values", "folds").mapInPandas(run, "k int, e double, n long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).orderBy("k").collect()
     return np.array([r["e"] / r["n"] if r["n"] else np.nan for r in found])
 
 
+def left_out_sums(rows: DataFrame, layout: sums.Layout, folds: int, shift: np.ndarray) -> np.ndarray:
+    """The sums of days without the hours of each fold, and last of whole days: one pass. rows: hours, values and the folds of hours."""
+
+    def part(batch: pd.DataFrame) -> np.ndarray:
+        total, own_folds = np.zeros((folds + 1, layout.size)), batch["folds"].to_list()
+        for some, day, hour, y in sums.flattened(batch["hours"].to_list(), batch["values"].to_list(), layout.scales):
+            y, own, sign = y - shift, np.concatenate(own_folds[some]), np.ones(int(day[-1]) + 1)
+            for f in range(folds + 1):
+                rest = own != f
+                total[f] += layout.of_rows(day[rest], hour[rest], y[rest], sign)
+        return total.ravel()
+
+    return summed(rows.select("hours", "values", "folds"), part, (folds + 1) * layout.size).reshape(folds + 1, -1)
+
+
 def selected_by_hours(data: CurveSet, modes: tuple[int, ...] = MODES, harmonics: tuple[int, ...] = HARMONICS, shrinkage: float = 0.25, folds: int = 5, seed: int = 42, period: float = 24.0, **options) -> tuple[SpectralModel, list[tuple[int, int, float]]]:
     """The model of all data with the modes and harmonics, chosen together, that predict hours left out best, and (modes, harmonics, error) of each pair.
 
-    A fold leaves out rows by a hash of subject and hour. It is fitted once, with the most modes and harmonics: fewer come out of the same sums,
-    but for the noise, which every number of harmonics needs anew. The first of equal errors is taken.
+    A fold leaves out rows by a hash of subject and hour. Days are packed once; one pass sums them without each fold's hours, from which every fold is
+    fitted with the most modes and harmonics: fewer come out of the same sums, but for the noise, whose sums are kept for every number of harmonics.
+    One more pass meets all candidates. The first of equal errors is taken.
     """
     modes = tuple(m for m in modes if m <= len(data.scales))
     tried = [(m, r) for m in modes for r in harmonics]
-    placed = data.observations.withColumn("fold", hour_fold(folds, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    layout = sums.Layout(len(data.scales), max(harmonics), period, tuple(sorted({*harmonics} - {max(harmonics)})))
+    rows = days(data).withColumn("folds", F.transform("hours", lambda h: hour_fold(folds, seed, h))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = []
-        for k in range(folds):
-            rest = CurveSet(placed.where(F.col("fold") != k).drop("fold"), data.scales)
-            parts = fit_parts(rest, max(modes), max(harmonics), period)
-            scores = rest.observations.select("subject_id", "hour", parts.basis.scores().alias("xi"))
-            noise = {r: parts.noise if r == max(harmonics) else mode_noise(scores, r, period) for r in harmonics}
-            models.append([replace(parts, harmonics=r, spectra=parts.spectra[:r], noise=noise[r]).model(m, shrinkage, **options) for m, r in tried])
-        error = left_out_errors(models, CurveSet(placed.drop("fold"), data.scales), seed)
+        shift = mean_of_days(rows, layout.scales)
+        each = left_out_sums(rows, layout, folds, shift)
+
+        def fitted(k: int, m: int, r: int) -> SpectralModel:
+            return sums.fit_of(each[k], layout, data.scales, m, r, shift).model(m, shrinkage, **options)
+
+        error = left_out_errors([[fitted(k, m, r) for m, r in tried] for k in range(folds)], rows, layout.scales)
     finally:
-        placed.unpersist()
+        rows.unpersist()
     found = [(m, r, float(e)) for (m, r), e in zip(tried, error, strict=True)]
     m, r, _ = min(found, key=lambda x: x[2])
-    return fit_spectral(data, m, r, shrinkage, period, **options), found
+    return fitted(folds, m, r), found

@@ -8,6 +8,7 @@ with the sign turned: they can be kept for a stream, where a day changes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,20 +24,42 @@ from dayline.operators.partial import summed
 from dayline.operators.spectral import DAYS, HALF
 from dayline.schema import HOURS
 
+#: The least eigenvalue of the products of harmonics over a day's hours, as a share of the largest, from which they are told apart safely.
+APART = 1e-4
+
+
+def flattened(hours: list[np.ndarray], curves: list[np.ndarray], scales: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some days at a time: which ones, and of each of their rows the day among these, the hour and the curve."""
+    for first in range(0, len(hours), DAYS):
+        some = slice(first, min(first + DAYS, len(hours)))
+        day = np.repeat(np.arange(some.stop - first), [len(h) for h in hours[some]])
+        yield some, day, np.concatenate(hours[some]).astype(int), np.concatenate(curves[some]).astype(float).reshape(-1, scales)
+
+
+def times(day: np.ndarray, hour: np.ndarray, days: int) -> np.ndarray:
+    """How many rows each day has at each hour."""
+    return np.bincount(day * HOURS + hour, minlength=days * HOURS).reshape(days, HOURS).astype(float)
+
+
+def laid(day: np.ndarray, hour: np.ndarray, y: np.ndarray, days: int) -> np.ndarray:
+    """Rows at their places (day, hour, scale), zeros where there is none."""
+    return np.stack([np.bincount(day * HOURS + hour, column, days * HOURS) for column in y.T], axis=1).reshape(days, HOURS, -1)
+
 
 @dataclass(frozen=True)
 class Layout:
     """Where the sums stand in one vector: observations, subjects with two hours, subjects with each lag, curves, products, products at
-    each lag, and what is left over by harmonics."""
+    each lag, what is left over by harmonics, and what is left over by each of ``fewer`` harmonics."""
 
     scales: int
     harmonics: int = 2
     period: float = 24.0
+    fewer: tuple[int, ...] = ()
 
     @property
     def shapes(self) -> dict[str, tuple[int, ...]]:
         s = self.scales
-        return {"n": (), "subjects": (), "seen": (HALF,), "curves": (s,), "products": (s, s), "lags": (HALF, s, s), "rest": (s, s)}
+        return {"n": (), "subjects": (), "seen": (HALF,), "curves": (s,), "products": (s, s), "lags": (HALF, s, s), "rest": (s, s), "fewer": (len(self.fewer), s, s)}
 
     @property
     def size(self) -> int:
@@ -52,36 +75,61 @@ class Layout:
     def of_days(self, hours: list[np.ndarray], curves: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
         """Signed sums of days, each with its hours in order and its curves end to end."""
         total = np.zeros(self.size)
+        for some, day, hour, y in flattened(hours, curves, self.scales):
+            total += self.of_rows(day, hour, y, signs[some])
+        return total
+
+    def of_rows(self, day: np.ndarray, hour: np.ndarray, y: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """The same of rows of days: the day of each from 0 to len(sign) - 1 in order, its hour and its curve."""
+        total = np.zeros(self.size)
         at = self.parts(total)  # views of total
-        leftover = remembered(self._leftover)
-        for first in range(0, len(hours), DAYS):
-            some = range(first, min(first + DAYS, len(hours)))
-            x, seen = np.zeros((len(some), HOURS, self.scales)), np.zeros((len(some), HOURS))
-            sign = signs[first : first + DAYS]
-            for i, k in enumerate(some):
-                if not len(hours[k]):
-                    continue
-                day = np.asarray(curves[k], float).reshape(len(hours[k]), -1)
-                at["curves"][...] += sign[i] * day.sum(axis=0)
-                at["products"][...] += sign[i] * day.T @ day
-                x[i, hours[k]], seen[i, hours[k]] = day - day.mean(axis=0), 1
-                if len(day) > 1:
-                    left = leftover(np.asarray(hours[k], int)) @ day
-                    at["rest"][...] += sign[i] * left.T @ left
-                    total[1] += sign[i]
-            total[0] += sign @ seen.sum(axis=1)
-            for lag in range(HALF):
-                pairs = (seen * np.roll(seen, -lag, axis=1)).sum(axis=1)
-                at["lags"][lag] += np.tensordot(x * (sign / np.maximum(pairs, 1))[:, None, None], np.roll(x, -lag, axis=1), axes=([0, 1], [0, 1]))
-                at["seen"][lag] += sign @ (pairs > 0)
+        seen = times(day, hour, len(sign))
+        size = seen.sum(axis=1)
+        x = y - (laid(day, hour, y, len(sign)).sum(axis=1) / np.maximum(size, 1)[:, None])[day]
+        at["n"][...], at["subjects"][...] = sign @ size, sign @ (size > 1)
+        at["curves"][...] = sign[day] @ y
+        at["products"][...] = (y * sign[day][:, None]).T @ y
+        for fits, left in zip((at["rest"], *at["fewer"]), self._left(day, hour, x, seen), strict=True):
+            fits[...] = (left * (sign / np.maximum(size - 1, 1))[day][:, None]).T @ left
+        x, seen = laid(day, hour, x, len(sign)), (seen > 0).astype(float)
+        for lag in range(HALF):
+            pairs = (seen * np.roll(seen, -lag, axis=1)).sum(axis=1)
+            at["lags"][lag] = np.tensordot(x * (sign / np.maximum(pairs, 1))[:, None, None], np.roll(x, -lag, axis=1), axes=([0, 1], [0, 1]))
+            at["seen"][lag] = sign @ (pairs > 0)
         return total
 
-    def _leftover(self, hours: np.ndarray) -> np.ndarray:
-        """The matrix that takes curves of these hours to their residuals, centred, over the root of their number less one."""
+    def _left(self, day: np.ndarray, hour: np.ndarray, x: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
+        """What least squares of each number of harmonics leave of the centred rows x, centred again; of a day of one hour nothing.
+
+        Harmonics made orthonormal over a day's hours in their order serve every smaller number of them too. Days whose hours hardly tell them
+        apart are solved one by one.
+        """
+        size, most = seen.sum(axis=1), max(self.harmonics, *self.fewer, 0)
+        f = dense.fourier(np.arange(HOURS), most, self.period)
+        gram = (seen @ (f[:, :, None] * f[:, None, :]).reshape(HOURS, -1)).reshape(len(seen), 2 * most, 2 * most)
+        spread = np.linalg.eigvalsh(gram)
+        plain = (size > 1) & (spread[:, 0] > APART * spread[:, -1])
+        q = np.zeros((len(seen), HOURS, 2 * most))
+        q[plain] = np.linalg.solve(np.linalg.cholesky(gram[plain]), np.broadcast_to(f.T, (int(plain.sum()), *f.T.shape))).transpose(0, 2, 1)
+        b = q.transpose(0, 2, 1) @ laid(day, hour, x, len(seen))
+        first = np.searchsorted(day, np.arange(len(seen) + 1))
+        found = []
+        for h in (self.harmonics, *self.fewer):
+            left = x - (q[:, :, : 2 * h] @ b[:, : 2 * h])[day, hour]
+            left -= (laid(day, hour, left, len(seen)).sum(axis=1) / np.maximum(size, 1)[:, None])[day]
+            leftover = remembered(lambda hours, h=h: self._leftover(hours, h))
+            for k in np.flatnonzero(~plain):
+                own = slice(first[k], first[k + 1])
+                left[own] = leftover(hour[own]) @ x[own] if size[k] > 1 else 0
+            found.append(left)
+        return found
+
+    def _leftover(self, hours: np.ndarray, harmonics: int) -> np.ndarray:
+        """The matrix that takes curves of these hours to their residuals, centred."""
         n = len(hours)
         centre = np.eye(n) - 1 / n
-        design = dense.fourier(hours, self.harmonics, self.period)
-        return centre @ (np.eye(n) - design @ np.linalg.pinv(design, rcond=max(design.shape) * np.finfo(float).eps)) @ centre / np.sqrt(n - 1)
+        design = dense.fourier(hours, harmonics, self.period)
+        return centre @ (np.eye(n) - design @ np.linalg.pinv(design, rcond=max(design.shape) * np.finfo(float).eps)) @ centre
 
 
 def day_sums(data: CurveSet, layout: Layout) -> np.ndarray:
@@ -90,8 +138,12 @@ def day_sums(data: CurveSet, layout: Layout) -> np.ndarray:
     return summed(days, lambda b: layout.of_days(b["hours"].to_list(), b["values"].to_list(), np.ones(len(b))), layout.size)
 
 
-def fit_of(sums: np.ndarray, layout: Layout, scales: list[float], n_modes: int | str = 3) -> Fit:
-    """Modes, noise and spectra from sums; with more modes than are asked for nothing else changes, since modes are nested."""
+def fit_of(sums: np.ndarray, layout: Layout, scales: list[float], n_modes: int | str = 3, harmonics: int | None = None, shift: np.ndarray | float = 0.0) -> Fit:
+    """Modes, noise and spectra from sums; with more modes than are asked for nothing else changes, since modes are nested.
+
+    harmonics: those of the layout, or one of its fewer. shift: what was taken from every curve before it was summed.
+    """
+    harmonics = layout.harmonics if harmonics is None else harmonics
     at = layout.parts(sums)
     n = float(at["n"])
     if n < 1:
@@ -106,10 +158,11 @@ def fit_of(sums: np.ndarray, layout: Layout, scales: list[float], n_modes: int |
     lags = np.einsum("ms,lst,nt->lmn", a, at["lags"] / np.maximum(at["seen"], 1)[:, None, None], a)
     lag = np.arange(-11, 13)
     around = np.stack([lags[h] if h >= 0 else lags[-h].T for h in lag])
-    spectra = np.stack([(around * np.exp(-2j * np.pi * r * lag / HOURS)[:, None, None]).sum(axis=0) / HOURS for r in range(1, layout.harmonics + 1)])
+    spectra = np.stack([(around * np.exp(-2j * np.pi * r * lag / HOURS)[:, None, None]).sum(axis=0) / HOURS for r in range(1, harmonics + 1)])
     spectra = (spectra + spectra.conj().transpose(0, 2, 1)) / 2
-    noise = np.einsum("ms,st,mt->m", a, at["rest"], a) / max(float(at["subjects"]), 1)
-    return Fit(Basis(mean, modes, values[:m], w, values), noise, spectra, layout.harmonics, layout.period)
+    rest = at["rest"] if harmonics == layout.harmonics else at["fewer"][layout.fewer.index(harmonics)]
+    noise = np.einsum("ms,st,mt->m", a, rest, a) / max(float(at["subjects"]), 1)
+    return Fit(Basis(mean + shift, modes, values[:m], w, values), noise, spectra, harmonics, layout.period)
 
 
 def fit_spectral_once(data: CurveSet, n_modes: int | str = 3, harmonics: int = 2, shrinkage: float = 0.25, period: float = 24.0, **options) -> SpectralModel:
@@ -141,4 +194,4 @@ def sums_of_changes(changes: DataFrame, layout: Layout) -> np.ndarray:
     return summed(signed_days(changes), lambda b: layout.of_days(b["hours"].to_list(), b["values"].to_list(), b["sign"].to_numpy()), layout.size)
 
 
-__all__ = ["Layout", "day_sums", "fit_of", "fit_spectral_once", "lag_rows", "sums_of_changes"]
+__all__ = ["Layout", "day_sums", "fit_of", "fit_spectral_once", "flattened", "laid", "lag_rows", "sums_of_changes", "times"]
