@@ -1,6 +1,6 @@
 """Geometry among fingerprints: exact nearest neighbours, their kernel, and the diffusion map of its random walk.
 
-Subjects with the same fingerprint are one node whose weight is their number, so a large group of copies is merged before anything meets.
+Subjects with the same fingerprint, but for rounding, are one node whose weight is their number, so a large group of copies is merged before anything meets.
 The kernel has k entries a node, and every further step is a product of it with columns: one join and one aggregate.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -24,22 +25,43 @@ NEIGHBOURS = 16
 PER_CELL, CELLS, BLOCK = 256, 4096, 2048
 #: Columns that the search for eigenvectors keeps before it starts anew from the best of them, and its steps at most.
 COLUMNS, STEPS = 48, 60
+#: Digits to which fingerprints are compared, of about 16 that a number has.
+DIGITS = 13
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: lineage ends here. It does not remember how rows were dealt, so a join of it shuffles."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession, "geometry"))
-    return df.checkpoint()
+    """A table in the shared folder: lineage ends here, and so do estimates of sizes, which joins of a checkpoint would multiply step by step.
 
+    It does not remember how rows were dealt, so a join of it shuffles.
+    """
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir() or shared_folder(df.sparkSession, 'geometry')}/geometry-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def nodes(prints: DataFrame) -> DataFrame:
-    """node (the smallest subject_id), fingerprint and w, the subjects that have it. A fingerprint that is null, empty or not finite takes no part."""
+
+def alike(prints: DataFrame) -> DataFrame:
+    """subject_id, fingerprint and key of the fingerprints that take part, written once; one that is null, empty or not finite takes no part.
+
+    Fingerprints that differ by less than rounding have one key: sums come out a little different whenever rows come in another order. A key has
+    DIGITS digits of the largest value of each component.
+    """
     at = prints.select("subject_id", F.transform(F.col("fingerprint").cast("array<double>"), lambda x: x + 0.0).alias("fingerprint"))
     finite = F.forall("fingerprint", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
-    found = at.where(F.col("subject_id").isNotNull() & (F.size("fingerprint") > 0) & finite)
-    return found.groupBy("fingerprint").agg(F.min("subject_id").alias("node"), F.count(F.lit(1)).cast("double").alias("w"))
+    found = kept(at.where(F.col("subject_id").isNotNull() & (F.size("fingerprint") > 0) & finite))
+    largest = found.select(F.posexplode("fingerprint").alias("j", "x")).groupBy("j").agg(F.max(F.abs("x")).alias("x")).orderBy("j").collect()  # a row for each component
+    digits = [DIGITS - 1 - math.floor(math.log10(r["x"])) if r["x"] else 0 for r in largest]
+    return found.withColumn("key", F.array(*(F.round(F.col("fingerprint")[j], d) for j, d in enumerate(digits))) if digits else F.col("fingerprint"))
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """key, node (the smallest subject_id), its fingerprint and w, the subjects that have the key."""
+    least = F.min(F.struct("subject_id", "fingerprint")).alias("least")
+    return found.groupBy("key").agg(least, F.count(F.lit(1)).cast("double").alias("w")).select("key", F.col("least.subject_id").alias("node"), "least.fingerprint", "w")
+
+
+def nodes(prints: DataFrame) -> DataFrame:
+    """node (the smallest subject_id), fingerprint and w, the subjects that have it but for rounding."""
+    return merged(alike(prints)).drop("key")
 
 
 def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -192,9 +214,18 @@ def combined(columns: Column, weights: np.ndarray) -> Column:
     return F.aggregate(F.zip_with(columns, F.array(*map(F.lit, weights.tolist())), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
-def mixed(columns: Column, weights: np.ndarray) -> Column:
-    """An array with one combination for each column of the weights."""
-    return F.array(*(combined(columns, w) for w in weights.T))
+def mixed(state: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """node, u and arrays of combinations of a node's columns q and images s, one for each column of the weights, which have a row for each of q, or of both."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                q, s = (np.stack(batch[c].to_numpy()) for c in ("q", "s"))
+                of = {"q": q, "s": s, "z": np.hstack([q, s])}
+                yield pd.DataFrame({"node": batch["node"], "u": batch["u"], **{c: list(of[c] @ w) for c, w in weights.items()}})
+
+    schema = f"node {state.schema['node'].dataType.simpleString()}, u double, " + ", ".join(f"{c} array<double>" for c in weights)
+    return state.select("node", "u", "q", "s").mapInPandas(run, schema)
 
 
 def ritz(gram: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +256,8 @@ def diffusion_map(prints: DataFrame, components: int = 4, k: int = NEIGHBOURS, a
     the residuals of all components are under the tolerance, or after STEPS. With fewer than components + 1 nodes there are fewer coordinates.
     prints: subject_id and fingerprint, all of one width.
     """
-    points = kept(nodes(prints))
+    subjects = alike(prints)
+    points = kept(merged(subjects))
     edges = kept(kernel(neighbours(points, k)))
     at = degrees(points, edges, alpha)
     total = at.agg(F.sum(F.col("w") * F.col("d"))).first()[0] or 1.0
@@ -234,12 +266,12 @@ def diffusion_map(prints: DataFrame, components: int = 4, k: int = NEIGHBOURS, a
     known = F.array(F.sqrt(F.col("w") * F.col("d") / total))
     state = at.select("node", known.alias("q"), known.alias("s"), (F.sqrt("w") * F.col("q") ** -alpha / F.sqrt("d")).alias("u"), start.alias("z"))
     state = kept(state)
+    block = state.select("node", "u", "z")
     theta, rest, a, m, step = np.zeros(0), np.zeros(0), np.zeros((1, 0)), 1, 0
     while True:
         step += 1
-        columns = state.select("node", *((F.col("u") * F.col("z")[b]).alias(f"v{b}") for b in range(width)))
-        images = applied(edges, columns).withColumnRenamed("node", "at")
-        joined = state.join(images, state["node"] == images["at"])
+        columns = block.select("node", *((F.col("u") * F.col("z")[b]).alias(f"v{b}") for b in range(width)))
+        joined = state.select("node", "u", "q", "s").join(block.select("node", "z"), "node").join(applied(edges, columns), "node")
         state = kept(joined.select("node", F.concat("q", "z").alias("q"), F.concat("s", F.array(*(F.col("u") * F.col(f"v{b}") for b in range(width)))).alias("s"), "u"))
         m += width
 
@@ -255,13 +287,10 @@ def diffusion_map(prints: DataFrame, components: int = 4, k: int = NEIGHBOURS, a
             break
         # the next block: residuals of the best vectors, which the columns so far do not span
         nxt = np.vstack([-a[:, open_] * theta[open_], a[:, open_]]) / rest[open_]
-        both, width = F.concat("q", "s"), len(open_)
-        own, image = F.col("q"), F.col("s")
+        block, width = kept(mixed(state, {"z": nxt})), len(open_)
         if m + width > COLUMNS:
             best = np.hstack([np.eye(m, 1), a[:, : 2 * (components + 2)]])
-            own, image = mixed(F.col("q"), best), mixed(F.col("s"), best)
-            m = best.shape[1]
-        state = state.select("node", own.alias("q"), image.alias("s"), "u", mixed(both, nxt).alias("z"))
+            state, m = mixed(state, {"q": best, "s": best}), best.shape[1]
     a, theta, rest = a[:, :components], theta[:components], rest[:components]
     found = state.select("node", *(combined(F.col("q"), w).alias(f"x{b}") for b, w in enumerate(a.T)), F.col("q")[0].alias("known"))
     if len(theta):
@@ -273,6 +302,5 @@ def diffusion_map(prints: DataFrame, components: int = 4, k: int = NEIGHBOURS, a
     scale = [s * math.copysign(abs(t) ** time, t) for s, t in zip(sign, theta, strict=True)]
     spots = [F.col(f"x{b}") / F.col("known") * c for b, c in enumerate(scale)]
     placed = found.select("node", (F.array(*spots) if spots else F.array().cast("array<double>")).alias("coordinates"))
-    members = prints.select("subject_id", F.transform(F.col("fingerprint").cast("array<double>"), lambda x: x + 0.0).alias("fingerprint"))
-    spread = members.join(points.join(placed, "node"), "fingerprint").where(F.col("subject_id").isNotNull())
+    spread = subjects.join(points.join(placed, "node"), "key")
     return spread.select("subject_id", "coordinates"), Spectrum(theta, rest, step)
