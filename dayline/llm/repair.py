@@ -19,6 +19,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,9 @@ LEAST = 4
 END_ID = 2
 #: Words in each of the two generations of a worker's memory.
 MEMORY_WORDS = 500_000
-#: Plain words that the library is given as one text, and the last character that counts as plain.
+#: Plain words that the library is given as one text: a space and letters up to the last that counts as plain.
 JOINED, LAST_LATIN = 200, "\u017f"
+PLAIN = re.compile(" [" + "".join(c for c in map(chr, range(ord(LAST_LATIN) + 1)) if c.isalpha()) + "]+")
 #: Texts that are not cut at spaces: white space other than space and line feed, or beside a space.
 UNCUT = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n "
 #: Bytes of text that are encoded at once, about.
@@ -114,10 +116,10 @@ def repaired(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
 
 def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
     """How many ids each rule's symbol stands for; a rule only names symbols before its own."""
-    length = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        length[k] = (1 if a < first_symbol else length[a - first_symbol]) + (1 if b < first_symbol else length[b - first_symbol])
-    return length
+    length: list[int] = []
+    for a, b in rules.tolist():
+        length.append((1 if a < first_symbol else length[a - first_symbol]) + (1 if b < first_symbol else length[b - first_symbol]))
+    return np.array(length, np.int64)
 
 
 def expanded(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -196,10 +198,17 @@ class Words:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(self.codes(presplit.words(text)))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the words of all are looked up together."""
+        special = [any(s in t for s in self.special) for t in texts]
+        words = [[] if alone else presplit.words(t) for t, alone in zip(texts, special, strict=True)]
+        codes = iter(self.codes([w for some in words for w in some]))
+        return [self.encode(t) if alone else b"".join(islice(codes, len(some))) for t, alone, some in zip(texts, special, words, strict=True)]
+
     def _remember(self, new: list[str]) -> None:
         plain, other = [], []
         for w in new:
-            (plain if w[0] == " " and w[1:].isalpha() and max(w) <= LAST_LATIN else other).append(w)
+            (plain if PLAIN.fullmatch(w) else other).append(w)
         for first in range(0, len(plain), JOINED):
             self.memory.update(self._together(plain[first : first + JOINED]))
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
@@ -248,7 +257,7 @@ class Pieces:
         number = np.empty(len(flat), np.int64)
         number[later] = coded.indices.to_numpy(zero_copy_only=False)
         number[first[:-1]] = len(size) + np.arange(len(heads))
-        codes = [self.words.encode(h) for h in heads]
+        codes = self.words.encode_all(heads)
         more = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         start = np.concatenate([start, len(table) + np.cumsum(more) - more])
         table = np.concatenate([table, np.frombuffer(b"".join(codes), "<u4")])
