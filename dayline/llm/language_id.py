@@ -14,7 +14,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,9 +30,9 @@ WINDOW = 96
 HIDDEN, MOST_HIDDEN = 10, 64
 STEPS = 260
 BATCH = 64
-#: Positions between two looks at which texts have been read.
-STRETCH = 64
-#: Bytes of texts that are read side by side, about, for 14 units and classes; and lengths that part short texts from long ones, which wait apart.
+#: Positions whose class scores become probabilities at once, and texts that are read side by side, about.
+STRETCH, LANES = 64, 4096
+#: Bytes of texts that wait for each other, about, for 14 units and classes; and lengths that part short texts from long ones, which wait apart.
 TOGETHER, LONG = 8 << 20, (4096, 16384)
 LETTER = regex.compile(r"\p{L}")
 
@@ -146,63 +146,88 @@ class GatedNetwork:
     def pooled(self, raws: list[bytes]) -> np.ndarray:
         """Class probabilities of each byte string: the mean over all its positions.
 
-        Strings run side by side, the longest first; step t reads position t from the start of each and, for the other direction, from
-        its end, with the state that all bytes before it left. A string leaves when it has been read, so no position is read twice.
+        Strings of about one length run side by side, ``LANES`` at a time.
         """
-        classes, h = len(self.p["bias"]), self.hidden
         sizes = np.array([len(r) for r in raws], np.int64)
-        order = np.argsort(-sizes, kind="stable")
+        order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
         data = np.frombuffer(b"".join(raws), np.uint8)
         starts = np.cumsum(sizes) - sizes
-        low, lengths = starts[order], sizes[order]
-        y = np.zeros((len(data), classes), np.float32)
-        # Units are rows and strings columns, so that each operation runs along memory; a byte's inputs are one column of a small table.
-        # New states are 2 / (1 + exp(-2 v)) - 1, which is tanh v, so that gates and they need one kind of function; signs and twos are in the weights.
-        scale = np.array([-1.0] * 2 * h + [-2.0] * h, np.float32)[:, None]
-        tables = np.stack([self.p[f"x{d}"].T * scale for d in "fb"])
-        weights = np.stack([self.p[f"u{d}"].T * scale for d in "fb"])
-        gates, new = np.ascontiguousarray(weights[:, : 2 * h]), np.ascontiguousarray(weights[:, 2 * h :])
-        out = np.stack([self.p[f"o{d}"].T for d in "fb"])
-        s = np.zeros((2, h, len(raws)), np.float32)
-        steps = np.arange(STRETCH)[:, None]
-        for first in range(0, int(sizes.max(initial=0)), STRETCH):
-            n = np.searchsorted(-lengths, -first, side="left")  # strings longer than this
-            s = np.ascontiguousarray(s[:, :, :n])
-            k = first + steps
-            forth = low[:n] + np.minimum(k, lengths[:n] - 1)
-            back = 2 * low[:n] + lengths[:n] - 1 - forth
-            said, x = np.empty((len(steps), 2, classes, n), np.float32), np.empty((2, 3 * h, n), np.float32)
-            for t, (i, j) in enumerate(zip(data[forth].astype(np.intp), data[back].astype(np.intp), strict=True)):
-                tables[0].take(i, axis=1, out=x[0], mode="clip")
-                tables[1].take(j, axis=1, out=x[1], mode="clip")
-                g = gates @ s
-                g += x[:, : 2 * h]
-                np.exp(g, out=g)
-                g += 1
-                np.reciprocal(g, out=g)
-                c = new @ (g[:, h:] * s)
-                c += x[:, 2 * h :]
-                np.exp(c, out=c)
-                c += 1
-                np.divide(2, c, out=c)
-                c -= 1
-                s -= c
-                s *= g[:, :h]
-                s += c
-                np.matmul(out, s, out=said[t])
-            real = (k < lengths[:n]).T
-            for d, at in enumerate((forth, back)):
-                y[at.T[real]] += said[:, d].transpose(2, 0, 1)[real]
-        y += self.p["bias"]
-        y -= y.max(axis=1, keepdims=True)
-        np.exp(y, out=y)
-        y /= y.sum(axis=1, keepdims=True)
-        total = np.zeros((len(raws), classes))
-        whole = np.flatnonzero(sizes)
-        if len(whole):
-            total[whole] = np.add.reduceat(y, starts[whole], axis=0, dtype=np.float64)
+        total = np.zeros((len(raws), len(self.p["bias"])))
+        for some in np.array_split(order, -(-len(order) // LANES)) if len(order) else []:
+            total[some] = self._summed(data, starts[some], sizes[some]).T
         return total / np.maximum(sizes, 1)[:, None]
 
+    def _steps(self, d: str, lanes: int) -> Callable[[np.ndarray], np.ndarray]:
+        """A function of inputs (bytes of the first n lanes) that moves the states of these lanes by one position and returns them.
+
+        Lanes are rows, so that a byte's inputs are one run of memory and the first n lanes are too.
+        New states are 2 / (1 + exp(-2 v)) - 1, which is tanh v, so that gates and they need one kind of function; signs and twos are in the weights.
+        """
+        h = self.hidden
+        x, u = self.p["x" + d], self.p["u" + d]
+        gate_inputs, gate_weights = (np.stack([-w[:, :h], -w[:, h : 2 * h]]) for w in (x, u))
+        new_inputs, new_weights = (np.ascontiguousarray(-2 * w[:, 2 * h :]) for w in (x, u))
+        states, held = np.zeros((lanes, h), np.float32), np.empty((6, lanes * h), np.float32)
+
+        def step(i: np.ndarray) -> np.ndarray:
+            n = len(i)
+            s = states[:n]
+            g, gx = (held[k : k + 2].reshape(-1)[: 2 * n * h].reshape(2, n, h) for k in (0, 2))
+            c, cx = held[4, : n * h].reshape(n, h), held[5, : n * h].reshape(n, h)
+            np.matmul(s, gate_weights, out=g)
+            gate_inputs.take(i, axis=1, out=gx, mode="clip")
+            g += gx
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.multiply(g[1], s, out=cx)
+            np.matmul(cx, new_weights, out=c)
+            new_inputs.take(i, axis=0, out=cx, mode="clip")
+            c += cx
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1
+            s -= c
+            s *= g[0]
+            s += c
+            return s
+
+        return step
+
+    def _summed(self, data: np.ndarray, low: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sums of class probabilities over all positions of strings, which begin at low and are given by falling length.
+
+        Both directions go over the same positions of all strings, forth and then back, so a position's class scores lie at one place:
+        going forth a string leaves after its end, going back it joins there, with a state of zero.
+        """
+        classes, longest = len(self.p["bias"]), int(lengths[0])
+        reading = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()  # strings longer than a position
+        place = np.concatenate([[0], np.cumsum(reading)]).tolist()
+        y = np.empty((classes, place[-1]), np.float32)
+        step, out = self._steps("f", len(low)), np.ascontiguousarray(self.p["of"].T)
+        for k, n in enumerate(reading):
+            np.matmul(out, step(data.take(low[:n] + k).astype(np.intp)).T, out=y[:, place[k] : place[k + 1]])
+        step, out = self._steps("b", len(low)), np.ascontiguousarray(self.p["ob"].T)
+        total = np.zeros((classes, len(low)))
+        for first in range((longest - 1) // STRETCH * STRETCH, -1, -STRETCH):
+            last = min(first + STRETCH, longest)
+            a = place[first]
+            p = np.empty((classes, place[last] - a), np.float32)
+            for k in range(last - 1, first - 1, -1):
+                n = reading[k]
+                np.matmul(out, step(data.take(low[:n] + k).astype(np.intp)).T, out=p[:, place[k] - a : place[k + 1] - a])
+            p += y[:, a : place[last]]
+            p += self.p["bias"][:, None]
+            p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p /= p.sum(axis=0)
+            part = np.zeros((classes, reading[first]), np.float32)
+            for k in range(first, last):
+                part[:, : reading[k]] += p[:, place[k] - a : place[k + 1] - a]
+            total[:, : reading[first]] += part
+        return total
+
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
