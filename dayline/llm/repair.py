@@ -19,7 +19,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice, pairwise
 
 import numpy as np
 import pandas as pd
@@ -40,13 +40,28 @@ END_ID = 2
 MEMORY_WORDS = 500_000
 #: Plain words that the library is given as one text: a space and letters up to the last that counts as plain.
 JOINED, LAST_LATIN = 200, "\u017f"
-PLAIN = re.compile(" [" + "".join(c for c in map(chr, range(ord(LAST_LATIN) + 1)) if c.isalpha()) + "]+")
+LETTERS = "[" + "".join(c for c in map(chr, range(ord(LAST_LATIN) + 1)) if c.isalpha()) + "]+"
+PLAIN = re.compile(" " + LETTERS)
 #: Texts that are not cut at spaces: white space other than space and line feed, or beside a space.
 UNCUT = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n "
 #: Bytes of text that are encoded at once, about.
 BUNCH = 8 << 20
 
 
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order, as left << 32 | right, and their places. One word holds a pair and its place where all three are small enough: words are sorted faster than places by them."""
+    a, b = (int(x.max()).bit_length() for x in (right, place))
+    if int(left.max()).bit_length() + a + b > 63:
+        key = (left << 32) | right
+        order = np.argsort(key)
+        return key[order], place[order]
+    packed = (((left << a) | right) << b) | place
+    packed.sort()
+    place = packed & ((1 << b) - 1)
+    packed >>= b
+    return ((packed >> a) << 32) | (packed & ((1 << a) - 1)), place
+
+
 def repaired(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
     """The compressed sequence and the rules (rows of two symbols); rule k defines symbol first_symbol + k.
 
@@ -60,18 +75,17 @@ def repaired(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
     keys = np.zeros(0, np.int64)
     none = np.iinfo(np.int32).max
     best = np.full(n + 2, none, np.int32)
-    touched = np.zeros(n + 1, bool)
     rules: list[np.ndarray] = []
     made, fresh = 0, np.arange(max(n - 1, 0))
     while True:
         if len(fresh):
-            key = (seq[fresh] << 32) | seq[after[fresh]]
-            order = np.argsort(key)
-            edge = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
-            times = np.diff(np.append(edge, len(key)))
-            number = np.where(times >= LEAST, np.cumsum(times >= LEAST) - 1 + len(keys), -1).astype(np.int32)
-            pair[fresh[order]] = np.repeat(number, times)
-            keys = np.concatenate([keys, key[order[edge[times >= LEAST]]]])
+            key, place = _sorted_pairs(seq[fresh], seq[after[fresh]], fresh)
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            times = np.diff(edge)
+            enough = times >= LEAST
+            pair[fresh] = -1
+            pair[place[np.repeat(enough, times)]] = np.repeat(np.arange(len(keys), len(keys) + np.count_nonzero(enough), dtype=np.int32), times[enough])
+            keys = np.concatenate([keys, key[edge[:-1][enough]]])
         at = np.flatnonzero(pair[:n] >= 0)
         p = pair[at]
         free = np.ones(len(at), bool)  # of a run of one pair with itself, every second place
@@ -107,19 +121,25 @@ def repaired(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
         pair[right] = pair[at] = -1
         made += len(used)
         left = before[at]
-        touched[left[left >= 0]] = touched[at[then < n]] = True
-        fresh = np.flatnonzero(touched)
-        touched[fresh] = False
+        fresh = np.sort(np.concatenate([left[left >= 0], at[then < n]]))
+        fresh = fresh[np.append(fresh[:-1] != fresh[1:], True)] if len(fresh) else fresh
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return seq[seq >= 0].astype(np.uint32), table.astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
     """How many ids each rule's symbol stands for; a rule only names symbols before its own."""
-    length: list[int] = []
-    for a, b in rules.tolist():
-        length.append((1 if a < first_symbol else length[a - first_symbol]) + (1 if b < first_symbol else length[b - first_symbol]))
-    return np.array(length, np.int64)
+    high = rules >= first_symbol
+    named = rules.astype(np.int64)[high] - first_symbol
+    part = np.ones(rules.shape, np.int64)
+    length = part.sum(axis=1)
+    while len(named):  # as often as rules are nested
+        part[high] = length[named]
+        longer = part.sum(axis=1)
+        if (longer == length).all():
+            break
+        length = longer
+    return length
 
 
 def expanded(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -175,21 +195,25 @@ class Words:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = np.zeros(self.size, bool)  # ids whose bytes begin with a space, which the vocabulary writes as U+0120
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def codes(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; those not met before are given to the library together."""
+        """The ids of each word; those not met before are given to the library together, each as often as it is listed."""
         if len(self.memory) > MEMORY_WORDS:
             self.older, self.memory = self.memory, {}
-        memory, older = self.memory, self.older
-        out = list(map(memory.get, words))
+        out = list(map(self.memory.get, words))
         holes = [i for i, code in enumerate(out) if code is None]
-        missing = {words[i] for i in holes}
-        memory.update((w, older[w]) for w in missing if w in older)
-        self._remember([w for w in missing if w not in memory])
-        for i in holes:
-            out[i] = memory[words[i]]
+        missing = [words[i] for i in holes]
+        found = list(map(self.older.get, missing))
+        new = [k for k, code in enumerate(found) if code is None]
+        for k, code in zip(new, self._encoded([missing[k] for k in new]), strict=True):
+            found[k] = code
+        self.memory.update(zip(missing, found, strict=True))
+        for i, code in zip(holes, found, strict=True):
+            out[i] = code
         return out
 
     def encode(self, text: str) -> bytes:
@@ -202,24 +226,27 @@ class Words:
         """The ids of each text; the words of all are looked up together."""
         special = [any(s in t for s in self.special) for t in texts]
         words = [[] if alone else presplit.words(t) for t, alone in zip(texts, special, strict=True)]
-        codes = iter(self.codes([w for some in words for w in some]))
+        distinct = list(dict.fromkeys(w for some in words for w in some))
+        known = dict(zip(distinct, self.codes(distinct), strict=True))
+        codes = (known[w] for some in words for w in some)
         return [self.encode(t) if alone else b"".join(islice(codes, len(some))) for t, alone, some in zip(texts, special, words, strict=True)]
 
-    def _remember(self, new: list[str]) -> None:
-        plain, other = [], []
-        for w in new:
-            (plain if PLAIN.fullmatch(w) else other).append(w)
-        for first in range(0, len(plain), JOINED):
-            self.memory.update(self._together(plain[first : first + JOINED]))
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.memory[w] = array("I", e.ids).tobytes()
-
-    def _together(self, plain: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words of a space and Latin letters, encoded as one text: the library parts them again at the spaces."""
-        e = self.tokenizer.encode("".join(plain), add_special_tokens=False)
-        raw = array("I", e.ids).tobytes()
-        cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(plain) + 1)).tolist()
-        return zip(plain, (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True)
+    def _encoded(self, new: list[str]) -> Iterator[bytes]:
+        """The ids of new words. Words of a space and Latin letters are encoded many as one text: the library parts them at the spaces, and only their first ids stand for a space."""
+        is_plain = [PLAIN.fullmatch(w) is not None for w in new]
+        plain, other = list(compress(new, is_plain)), [w for w, p in zip(new, is_plain, strict=True) if not p]
+        joined = ["".join(plain[first : first + JOINED]) for first in range(0, len(plain), JOINED)]
+        raw = array("I")
+        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            raw.extend(e.ids)
+        ids = np.array(raw, np.uint32)
+        cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * 4
+        held = ids.tobytes()
+        if len(cuts) != len(plain) + 1:
+            raise ValueError("the vocabulary does not mark the first ids of words")
+        parted = (held[a:b] for a, b in pairwise(cuts.tolist()))
+        others = (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        return (next(parted if p else others) for p in is_plain)
 
 
 def gathered(table: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -270,15 +297,19 @@ class Pieces:
         """Ids, and the place and number of those of each distinct piece, which has a space before it."""
         other = pc.match_substring_regex(pieces, presplit.OTHER).to_numpy(zero_copy_only=False)
         empty = pc.equal(pieces, "").to_numpy(zero_copy_only=False)
-        order = np.argsort(other.astype(np.int8) - empty, kind="stable")  # the empty piece, those that the quick pattern can split, the rest
+        simple = pc.match_substring_regex(pieces, f"^{LETTERS}$").to_numpy(zero_copy_only=False)
+        # Latin letters, which are one word; the empty piece; those that the quick pattern can split; the rest
+        order = np.argsort(np.where(simple, -2, other.astype(np.int8) - empty), kind="stable")
+        alone, quick = (int(x) for x in (simple.sum(), (~other).sum()))
         words: list[str] = []
-        for part in (order[: len(order) - int(other.sum())], order[len(order) - int(other.sum()) :]):
+        for part in (order[alone:quick], order[quick:]):
             if len(part):
                 words += presplit.words(" " + " ".join(pieces.take(pa.array(part)).to_numpy(zero_copy_only=False)))
         coded = pa.array(words, pa.string()).dictionary_encode()
-        heads = pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)
-        number = coded.indices.to_numpy(zero_copy_only=False)
-        codes = self.words.codes(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        heads = np.concatenate([np.ones(alone, bool), pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)])
+        number = np.concatenate([np.arange(alone), alone + coded.indices.to_numpy(zero_copy_only=False)])
+        single = pc.binary_join_element_wise(" ", pieces.take(pa.array(order[:alone])), "")
+        codes = self.words.codes([w for some in (single, coded.dictionary) for w in some.to_numpy(zero_copy_only=False).tolist()])
         lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         size = lengths[number]
         table = gathered(np.frombuffer(b"".join(codes), "<u4"), (np.cumsum(lengths) - lengths)[number], size)
