@@ -169,18 +169,21 @@ class GatedNetwork:
         new_inputs, new_weights = (np.ascontiguousarray(-2 * w[:, 2 * h :]) for w in (x, u))
         states, held = np.zeros((lanes, h), np.float32), np.empty((6, lanes * h), np.float32)
 
+        s = g = gx = c = cx = states[:0]
+
         def step(i: np.ndarray) -> np.ndarray:
+            nonlocal s, g, gx, c, cx
             n = len(i)
-            s = states[:n]
-            g, gx = (held[k : k + 2].reshape(-1)[: 2 * n * h].reshape(2, n, h) for k in (0, 2))
-            c, cx = held[4, : n * h].reshape(n, h), held[5, : n * h].reshape(n, h)
+            if n != len(s):
+                s = states[:n]
+                g, gx = (held[k : k + 2].reshape(-1)[: 2 * n * h].reshape(2, n, h) for k in (0, 2))
+                c, cx = held[4, : n * h].reshape(n, h), held[5, : n * h].reshape(n, h)
             np.matmul(s, gate_weights, out=g)
             gate_inputs.take(i, axis=1, out=gx, mode="clip")
             g += gx
             np.exp(g, out=g)
             g += 1
-            np.reciprocal(g, out=g)
-            np.multiply(g[1], s, out=cx)
+            np.divide(s, g[1], out=cx)
             np.matmul(cx, new_weights, out=c)
             new_inputs.take(i, axis=0, out=cx, mode="clip")
             c += cx
@@ -189,7 +192,7 @@ class GatedNetwork:
             np.divide(2, c, out=c)
             c -= 1
             s -= c
-            s *= g[0]
+            s /= g[0]
             s += c
             return s
 
@@ -205,18 +208,25 @@ class GatedNetwork:
         reading = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()  # strings longer than a position
         place = np.concatenate([[0], np.cumsum(reading)]).tolist()
         y = np.empty((classes, place[-1]), np.float32)
+
+        def read(first: int) -> np.ndarray:
+            """Bytes of a stretch: a row for each position, a column for each string longer than the first."""
+            at = low[: reading[first]] + np.arange(first, min(first + STRETCH, longest))[:, None]
+            return data.take(at, mode="clip").astype(np.intp)
+
         step, out = self._steps("f", len(low)), np.ascontiguousarray(self.p["of"].T)
-        for k, n in enumerate(reading):
-            np.matmul(out, step(data.take(low[:n] + k).astype(np.intp)).T, out=y[:, place[k] : place[k + 1]])
+        for first in range(0, longest, STRETCH):
+            for k, i in enumerate(read(first), first):
+                np.matmul(out, step(i[: reading[k]]).T, out=y[:, place[k] : place[k + 1]])
         step, out = self._steps("b", len(low)), np.ascontiguousarray(self.p["ob"].T)
         total = np.zeros((classes, len(low)))
         for first in range((longest - 1) // STRETCH * STRETCH, -1, -STRETCH):
             last = min(first + STRETCH, longest)
             a = place[first]
             p = np.empty((classes, place[last] - a), np.float32)
+            at = read(first)
             for k in range(last - 1, first - 1, -1):
-                n = reading[k]
-                np.matmul(out, step(data.take(low[:n] + k).astype(np.intp)).T, out=p[:, place[k] - a : place[k + 1] - a])
+                np.matmul(out, step(at[k - first, : reading[k]]).T, out=p[:, place[k] - a : place[k + 1] - a])
             p += y[:, a : place[last]]
             p += self.p["bias"][:, None]
             p -= p.max(axis=0)
