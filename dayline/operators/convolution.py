@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dayline.functions import draws
 from dayline.operators import evaluation, training
 from dayline.operators.training import Schedule, Weights
 
@@ -48,8 +49,7 @@ def augmented_rows(x: np.ndarray, seeds: list[int]) -> np.ndarray:
     factor, noise = np.empty((n, channels, 1)), np.empty(x.shape)
     shift, start = np.empty(n, int), np.zeros(n, int)
     run = int(length * MASKED)
-    for i, seed in enumerate(seeds):
-        rng = np.random.default_rng(seed)
+    for i, rng in enumerate(draws.generators(seeds)):
         factor[i], noise[i] = rng.uniform(*FACTOR, (channels, 1)), rng.standard_normal((channels, length))
         shift[i] = rng.integers(-SHIFT, SHIFT + 1)
         if run:
@@ -60,6 +60,53 @@ def augmented_rows(x: np.ndarray, seeds: list[int]) -> np.ndarray:
     return np.where(hidden[:, None, :], 0.0, x)
 
 
+def inner(x: np.ndarray) -> np.ndarray:
+    """(channel, place, row) of (row, channel, place): blocks lie in memory so, and a layer works on (channel, place * row)."""
+    return x.transpose(1, 2, 0)
+
+
+def outer(x: np.ndarray) -> np.ndarray:
+    return x.transpose(2, 0, 1)
+
+
+def laid_out(x: np.ndarray) -> np.ndarray:
+    return outer(np.ascontiguousarray(inner(x)))
+
+
+def under(tap: int, kernel: int, stride: int, n: int, places: int) -> tuple[slice, slice]:
+    """Places of the output whose tap falls on one of n inputs, and those inputs."""
+    off = tap - kernel // 2
+    low, high = max(0, -(off // stride)), min(places, -((off - n) // stride))
+    return slice(low, high), slice(low * stride + off, max(high - 1, low) * stride + off + 1, stride)
+
+
+def windows(x: np.ndarray, kernel: int, stride: int, places: int) -> np.ndarray:
+    """What the kernel sees at each place, zero beyond the ends: (channel * kernel, place * row). x: (channel, place, row)."""
+    channels, n, rows = x.shape
+    seen = np.empty((channels, kernel, places, rows))
+    for i in range(kernel):
+        there, own = under(i, kernel, stride, n, places)
+        seen[:, i, : there.start] = 0
+        seen[:, i, there.stop :] = 0
+        seen[:, i, there] = x[:, own]
+    return seen.reshape(channels * kernel, places * rows)
+
+
+def overlaid(parts: np.ndarray, stride: int, n: int) -> np.ndarray:
+    """The adjoint of windows: (channel, place, row) with n places. parts: (channel, kernel, place, row)."""
+    channels, kernel, places, rows = parts.shape
+    x = np.zeros((channels, n, rows))
+    for i in range(kernel):
+        there, own = under(i, kernel, stride, n, places)
+        x[:, own] += parts[:, i, there]
+    return x
+
+
+def turned(k: np.ndarray) -> np.ndarray:
+    """The kernel of the adjoint at stride 1, and back: (in, out, kernel) of (out, in, kernel), from its end."""
+    return k.transpose(1, 0, 2)[:, :, ::-1]
+
+
 class Tape:
     """Layers as they run forward, each with what it needs to send a gradient back. Blocks are (row, channel, place)."""
 
@@ -69,77 +116,86 @@ class Tape:
         self.moments: Weights = {}
         self.backs: list[Callable[[np.ndarray], np.ndarray]] = []
 
-    def conv(self, x: np.ndarray, name: str, stride: int = 1, inner: bool = True) -> np.ndarray:
-        """``inner`` False: the first layer, before which nothing asks for a gradient."""
+    def conv(self, x: np.ndarray, name: str, stride: int = 1, first: bool = False) -> np.ndarray:
+        """``first``: nothing before this layer asks for a gradient."""
         k, b = self.w[f"{name}.k"], self.w[f"{name}.b"]
-        pad, rows, n = k.shape[2] // 2, len(x), x.shape[2]
-        flat = k.reshape(len(k), -1)
-        wide = np.pad(x.transpose(1, 0, 2), ((0, 0), (0, 0), (pad, pad)))
-        seen = np.lib.stride_tricks.sliding_window_view(wide, k.shape[2], axis=2)[:, :, ::stride]
-        places = seen.shape[2]
-        seen = seen.transpose(0, 3, 1, 2).reshape(flat.shape[1], rows * places)  # one product for all rows and places
-        y = (flat @ seen + b[:, None]).reshape(len(k), rows, places).transpose(1, 0, 2)
+        if stride == 1 and len(k) < k.shape[1] and not first:  # the adjoint's form holds the kernel's width times the fewer channels that come out
+            return self.adjoint(x, name, turned(k), 1, turned)
+        rows, n, flat = len(x), x.shape[2], k.reshape(len(k), -1)
+        places = (n - 1) // stride + 1
+        seen = windows(inner(x), k.shape[2], stride, places)  # one product for all rows and places
+        y = flat @ seen
+        y += b[:, None]
 
         def back(dy: np.ndarray) -> np.ndarray:
-            out = dy.transpose(1, 0, 2).reshape(len(k), rows * places)
+            out = inner(dy).reshape(len(k), places * rows)
             self.grads[f"{name}.k"] = (out @ seen.T).reshape(k.shape)
             self.grads[f"{name}.b"] = out.sum(axis=1)
-            if not inner:
+            if first:
                 return dy
-            parts = (flat.T @ out).reshape(k.shape[1], k.shape[2], rows, places)
-            dx = np.zeros_like(wide)
-            for i in range(k.shape[2]):
-                dx[:, :, i : i + stride * places : stride] += parts[:, i]
-            return dx[:, :, pad : pad + n].transpose(1, 0, 2)
+            return outer(overlaid((flat.T @ out).reshape(k.shape[1], k.shape[2], places, rows), stride, n))
 
         self.backs.append(back)
-        return y
+        return outer(y.reshape(len(k), places, rows))
 
     def spread(self, x: np.ndarray, name: str, stride: int = 2) -> np.ndarray:
         """The adjoint of a strided convolution: twice as many places."""
-        k, b = self.w[f"{name}.k"], self.w[f"{name}.b"]  # (in, out, kernel)
-        pad, rows, n = k.shape[2] // 2, len(x), x.shape[2]
-        flat = k.reshape(len(k), -1)
-        seen = x.transpose(1, 0, 2).reshape(len(k), rows * n)
-        parts = (flat.T @ seen).reshape(k.shape[1], k.shape[2], rows, n)
-        full = np.zeros((k.shape[1], rows, stride * n + 2 * pad))
-        for i in range(k.shape[2]):
-            full[:, :, i : i + stride * n : stride] += parts[:, i]
-        y = (full[:, :, pad : pad + stride * n] + b[:, None, None]).transpose(1, 0, 2)
+        return self.adjoint(x, name, self.w[f"{name}.k"], stride)
+
+    def adjoint(self, x: np.ndarray, name: str, k: np.ndarray, stride: int, kept: Callable[[np.ndarray], np.ndarray] = lambda k: k) -> np.ndarray:
+        """k: (in, out, kernel); the layer's own kernel is ``kept`` of it."""
+        b = self.w[f"{name}.b"]
+        rows, n, flat = len(x), x.shape[2], k.reshape(len(k), -1)
+        seen = inner(x).reshape(len(k), n * rows)
+        y = overlaid((flat.T @ seen).reshape(k.shape[1], k.shape[2], n, rows), stride, stride * n)
+        y += b[:, None, None]
 
         def back(dy: np.ndarray) -> np.ndarray:
-            wide = np.pad(dy.transpose(1, 0, 2), ((0, 0), (0, 0), (pad, pad)))
-            out = np.stack([wide[:, :, i : i + stride * n : stride] for i in range(k.shape[2])], axis=1).reshape(flat.shape[1], rows * n)
-            self.grads[f"{name}.k"], self.grads[f"{name}.b"] = (seen @ out.T).reshape(k.shape), dy.sum(axis=(0, 2))
-            return (flat @ out).reshape(len(k), rows, n).transpose(1, 0, 2)
+            d = inner(dy)
+            out = windows(d, k.shape[2], stride, n)
+            self.grads[f"{name}.k"], self.grads[f"{name}.b"] = kept((seen @ out.T).reshape(k.shape)), d.reshape(len(d), -1).sum(axis=1)
+            return outer((flat @ out).reshape(len(k), n, rows))
 
         self.backs.append(back)
-        return y
+        return outer(y)
 
-    def norm(self, x: np.ndarray, name: str) -> np.ndarray:
+    def settled(self, x: np.ndarray, name: str) -> np.ndarray:
+        """Each channel less its mean, over its deviation, scaled and shifted; then leaky: few passes, most of them in place."""
         scale, shift = self.w[f"{name}.scale"], self.w[f"{name}.shift"]
+        form = inner(x).shape
+        flat = inner(x).reshape(form[0], -1)
         if self.training:
-            mean, var = x.mean(axis=(0, 2)), x.var(axis=(0, 2))
+            mean = flat.mean(axis=1)
+            away = flat - mean[:, None]
+            var = np.vecdot(away, away) / flat.shape[1]
             self.moments[f"{name}.mean"], self.moments[f"{name}.var"] = mean, var
         else:
             mean, var = self.w[f"{name}.mean"], self.w[f"{name}.var"]
+            away = flat - mean[:, None]
         root = 1 / np.sqrt(var + 1e-5)
-        z = (x - mean[:, None]) * root[:, None]
+        z = away * (root * scale)[:, None]
+        z += shift[:, None]
+        y = z * SLOPE
+        np.maximum(z, y, out=y)
 
         def back(dy: np.ndarray) -> np.ndarray:
-            self.grads[f"{name}.scale"], self.grads[f"{name}.shift"] = (dy * z).sum(axis=(0, 2)), dy.sum(axis=(0, 2))
-            dz = dy * scale[:, None]
+            d = np.maximum(y > 0, SLOPE)
+            d *= inner(dy).reshape(flat.shape)
+            along, total = np.vecdot(d, away) * root, d.sum(axis=1)
+            self.grads[f"{name}.scale"], self.grads[f"{name}.shift"] = along, total
             if self.training:
-                dz = dz - dz.mean(axis=(0, 2))[:, None] - z * (dz * z).mean(axis=(0, 2))[:, None]
-            return dz * root[:, None]
+                d -= away * (along * root / flat.shape[1])[:, None]
+                d -= (total / flat.shape[1])[:, None]
+            d *= (root * scale)[:, None]
+            return outer(d.reshape(form))
 
         self.backs.append(back)
-        return z * scale[:, None] + shift[:, None]
+        return outer(y.reshape(form))
 
-    def leaky(self, x: np.ndarray, slope: float = SLOPE) -> np.ndarray:
-        factor = np.where(x > 0, 1.0, slope)
-        self.backs.append(lambda dy: dy * factor)
-        return x * factor
+    def positive(self, x: np.ndarray) -> np.ndarray:
+        there = x > 0
+        self.backs.append(lambda dy: dy * there)
+        return x * there
 
     def dropout(self, x: np.ndarray, share: float) -> np.ndarray:
         if not self.training or self.rng is None:
@@ -161,21 +217,26 @@ class Tape:
     def attend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mean over places under weights that sum to one, and the weights (row, place)."""
         k0, b0, k1, b1 = (self.w[f"att{n}"] for n in ("0.k", "0.b", "1.k", "1.b"))  # (in, units), (units, 1)
-        h = np.tanh(np.einsum("bcl,cu->bul", x, k0, optimize=True) + b0[:, None])
-        e = np.einsum("bul,u->bl", h, k1[:, 0]) + b1[0]
-        p = np.exp(e - e.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        v = inner(x)
+        flat = v.reshape(len(v), -1)
+        h = np.tanh(k0.T @ flat + b0[:, None])
+        e = (k1[:, 0] @ h + b1[0]).reshape(v.shape[1:])
+        p = np.exp(e - e.max(axis=0))
+        p /= p.sum(axis=0)
 
         def back(dy: np.ndarray) -> np.ndarray:
-            dp = np.einsum("bc,bcl->bl", dy, x)
-            de = p * (dp - (dp * p).sum(axis=1, keepdims=True))
-            self.grads["att1.k"], self.grads["att1.b"] = np.einsum("bl,bul->u", de, h)[:, None], np.array([de.sum()])
-            dh = de[:, None, :] * k1[:, 0][:, None] * (1 - h * h)
-            self.grads["att0.k"], self.grads["att0.b"] = np.einsum("bcl,bul->cu", x, dh, optimize=True), dh.sum(axis=(0, 2))
-            return dy[:, :, None] * p[:, None, :] + np.einsum("bul,cu->bcl", dh, k0, optimize=True)
+            d = dy.T[:, None, :]
+            dp = (v * d).sum(axis=0)
+            de = (p * (dp - (dp * p).sum(axis=0))).ravel()
+            self.grads["att1.k"], self.grads["att1.b"] = (h @ de)[:, None], np.array([de.sum()])
+            dh = k1 * de * (1 - h * h)
+            self.grads["att0.k"], self.grads["att0.b"] = flat @ dh.T, dh.sum(axis=1)
+            dx = (k0 @ dh).reshape(v.shape)
+            dx += d * p
+            return outer(dx)
 
         self.backs.append(back)
-        return np.einsum("bcl,bl->bc", x, p), p
+        return (v * p).sum(axis=1).T, p.T
 
     def back(self, dy: np.ndarray, first: int = 0) -> np.ndarray:
         """The gradient before layer number ``first``."""
@@ -187,18 +248,19 @@ class Tape:
 def encoded(t: Tape, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The feature map, the last convolution's output, and the number of layers up to it."""
     for i in range(3):
-        x = t.conv(x, f"conv{i}", 1 if i == 0 else 2, inner=i > 0)
+        x = t.conv(x, f"conv{i}", 1 if i == 0 else 2, first=i == 0)
         if i == 2:
             last, at = x, len(t.backs)
-        x = t.leaky(t.norm(x, f"norm{i}"))
+        x = t.settled(x, f"norm{i}")
     return x, last, at
 
 
 def decoded(t: Tape, x: np.ndarray, length: int) -> np.ndarray:
     for i in range(2):
-        x = t.leaky(t.norm(t.spread(x, f"spread{i}"), f"back{i}"))
+        x = t.settled(t.spread(x, f"spread{i}"), f"back{i}")
     y = t.conv(x, "out")
-    t.backs.append(lambda dy: np.pad(dy, ((0, 0), (0, 0), (0, y.shape[2] - length))))
+    if more := y.shape[2] - length:
+        t.backs.append(lambda dy: np.pad(dy, ((0, 0), (0, 0), (0, more))))
     return y[:, :, :length]
 
 
@@ -206,7 +268,7 @@ def regressed(t: Tape, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Predictions, attention, the last convolution's output, and the number of layers up to it."""
     features, last, at = encoded(t, x)
     context, attention = t.attend(features)
-    y = t.linear(t.dropout(t.leaky(t.linear(context, "head0"), 0.0), DROPPED), "head1")
+    y = t.linear(t.dropout(t.positive(t.linear(context, "head0")), DROPPED), "head1")
     return y[:, 0], attention, last, at
 
 
@@ -247,7 +309,8 @@ def channels_of(batch: pd.DataFrame) -> np.ndarray:
 def block_sums(kind: str, w: Weights, x: np.ndarray, y: np.ndarray | None, keys: np.ndarray | None, rng: np.random.Generator | None = None) -> tuple[float, Weights, Weights]:
     """Of a batch of rows: the summed loss, its gradients, and the moments of its norms. With keys inputs are augmented, with a generator units are dropped."""
     t = Tape(w, True, rng)
-    seen = x if keys is None else augmented_rows(x, [int(k) & (2**63 - 1) for k in keys])
+    seen = laid_out(x if keys is None else augmented_rows(x, [int(k) & (2**63 - 1) for k in keys]))
+    x = laid_out(x)
     if kind == "autoencoder":
         features, _, _ = encoded(t, seen)
         error = decoded(t, features, x.shape[2]) - x
