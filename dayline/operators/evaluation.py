@@ -6,6 +6,7 @@ the same in every job.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from dayline.dataset import CurveSet
 from dayline.functions.curves import total
-from dayline.operators import logistic
+from dayline.operators import logistic, training
 from dayline.operators.partial import summed
 from dayline.operators.selection import stratified_folds
 
-#: Rows of a block in the pairwise distances of a silhouette, and rows of it that meet the other block at once.
-BLOCK, CHUNK = 4000, 500
+#: Points of a block in the pairwise distances of a silhouette, and points of both blocks that meet at once: their distances stay in a core's cache.
+BLOCK, CHUNK, ACROSS = 8000, 250, 500
+#: Rows whose components agree to so many digits of the largest value of each are one point of a silhouette.
+DIGITS = 13
 #: Rows of a partition of what is read many times.
 FILLED = 20000
 
@@ -153,52 +156,87 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     middle = y.mean(axis=0)
     u, v = x - middle, y - middle
     size = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)
-    squares = size - 2 * (u @ v.T)
-    i, j = np.nonzero(~(squares > 1e-4 * size))
-    for k in range(0, len(i), 1 << 16):
-        some = slice(k, k + (1 << 16))
-        squares[i[some], j[some]] = ((x[i[some]] - y[j[some]]) ** 2).sum(axis=1)
-    return np.sqrt(squares)
+    squares = (-2 * u) @ v.T
+    squares += size
+    size *= 1e-4
+    there = squares > size
+    if not there.all():
+        i, j = np.nonzero(~there)
+        for k in range(0, len(i), 1 << 16):
+            some = slice(k, k + (1 << 16))
+            squares[i[some], j[some]] = ((x[i[some]] - y[j[some]]) ** 2).sum(axis=1)
+    return np.sqrt(squares, out=squares)
+
+
+def points(rows: DataFrame) -> DataFrame:
+    """point (the smallest subject_id), fingerprint, cluster and w: rows of a cluster that are equal but for rounding are one point of that weight."""
+    largest = rows.select(F.posexplode("fingerprint").alias("j", "x")).groupBy("j").agg(F.max(F.abs("x")).alias("x")).orderBy("j").collect()  # a row for each component
+    digits = [DIGITS - 1 - math.floor(math.log10(r["x"])) if r["x"] and math.isfinite(r["x"]) else None for r in largest]
+    parts = [F.get("fingerprint", F.lit(j)) for j in range(len(digits))]
+    key = F.array(*(x if d is None else F.round(x, d) for x, d in zip(parts, digits, strict=True))) if parts else F.col("fingerprint")
+    least = F.min(F.struct("subject_id", "fingerprint")).alias("least")
+    found = rows.groupBy("cluster", key.alias("key")).agg(least, F.count(F.lit(1)).cast("double").alias("w"))
+    return found.select(F.col("least.subject_id").alias("point"), "least.fingerprint", "cluster", "w")
 
 
 def silhouette(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row: the mean Euclidean silhouette of subject_id, fingerprint, cluster.
 
-    All distances are needed, so rows are cut into hashed blocks and each two blocks meet once, in one group, which returns sums by row and
-    cluster for both and never pairs. A row alone in its cluster counts 0.
+    All distances between points are needed, so points are cut into hashed blocks and each two blocks meet once, in one group, which returns sums
+    by point and cluster for both and never pairs. Equal rows of a cluster are one point with their number as its weight; a row alone in its cluster counts 0.
     """
-    parts = max(1, -(-rows.count() // block))
-    at = rows.select("subject_id", "fingerprint", "cluster", F.pmod(F.xxhash64("subject_id", F.lit(7)), F.lit(parts)).cast("int").alias("own"))
-    # names of their own: the two sides of a cogroup may not share columns
-    left = at.select(F.col("subject_id").alias("row"), F.col("fingerprint").alias("x"), F.col("cluster").alias("name"), F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), F.lit(parts - 1))).alias("q"))
-    right = at.select(F.col("subject_id").alias("to_row"), F.col("fingerprint").alias("y"), F.col("cluster").alias("to_name"), F.col("own").alias("q"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"))
+    found = points(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        value = silhouette_of(found, max(1, -(-found.count() // block)))
+        return rows.sparkSession.createDataFrame([(value,)], "silhouette double")
+    finally:
+        found.unpersist()
+
+
+def weights_by_cluster(points: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters, and of each point its weight in the column of its own."""
+    names, code = np.unique(points["cluster"].to_numpy(), return_inverse=True)
+    return names, np.eye(len(names))[code] * points["w"].to_numpy()[:, None]
+
+
+def silhouette_of(found: DataFrame, parts: int) -> float | None:
+    """The silhouette of points dealt to so many blocks."""
+    own, met = F.col("own"), F.col("met")
+    at = found.select("point", "fingerprint", "cluster", "w", F.pmod(F.xxhash64("point", F.lit(7)), F.lit(parts)).cast("int").alias("own"))
+    at = at.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumns({"p": F.least(own, met), "q": F.greatest(own, met)}).drop("met")
+    # two blocks that meet have a partition to themselves, up to MOST: hashes of so few keys would put several into one task
+    places = min(training.MOST, parts * (parts + 1) // 2)
+    at = at.withColumn("place", F.pmod(F.expr("q * (q + 1) div 2 + p"), F.lit(places)).cast("int")).repartitionById(places, F.col("place"))
 
-    def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def distances(group: pd.DataFrame) -> pd.DataFrame:
+        both = group["p"].iloc[0] != group["q"].iloc[0]
+        a, b = (group[group["own"] == group[c].iloc[0]] for c in "pq")
         if not len(a) or not len(b):
-            return pd.DataFrame({"subject_id": [], "other": [], "d": []})
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())
-        (names, code), (own, mine) = (np.unique(t.to_numpy(), return_inverse=True) for t in (b["to_name"], a["name"]))
-        to, back = np.eye(len(names))[code], np.eye(len(own))[mine]
-        sums, others = np.zeros((len(x), len(names))), np.zeros((len(y), len(own)))
+            return pd.DataFrame({"point": [], "other": [], "d": []})
+        (x, own_names, to), (y, names, back) = ((np.stack(t["fingerprint"].to_numpy()), *weights_by_cluster(t)) for t in (a, b))
+        sums, others = np.zeros((len(x), len(names))), np.zeros((len(y), len(own_names)))
         for i in range(0, len(x), CHUNK):
             some = slice(i, i + CHUNK)
-            away = apart(x[some], y)
-            sums[some] = away @ to
-            others += away.T @ back[some]
-        out = [pd.DataFrame({"subject_id": np.repeat(a["row"].to_numpy(), len(names)), "other": np.tile(names, len(a)), "d": sums.ravel()})]
-        if a["p"].iloc[0] != a["q"].iloc[0]:
-            out.append(pd.DataFrame({"subject_id": np.repeat(b["to_row"].to_numpy(), len(own)), "other": np.tile(own, len(b)), "d": others.ravel()}))
+            for j in range(0, len(y), ACROSS):
+                there = slice(j, j + ACROSS)
+                away = apart(x[some], y[there])
+                sums[some] += away @ back[there]
+                if both:
+                    others[there] += away.T @ to[some]
+        out = [pd.DataFrame({"point": np.repeat(a["point"].to_numpy(), len(names)), "other": np.tile(names, len(a)), "d": sums.ravel()})]
+        if both:
+            out.append(pd.DataFrame({"point": np.repeat(b["point"].to_numpy(), len(own_names)), "other": np.tile(own_names, len(b)), "d": others.ravel()}))
         return pd.concat(out)
 
-    sums = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(distances, "subject_id string, other int, d double")
-    sums = sums.groupBy("subject_id", "other").agg(F.sum("d").alias("d"))
-    sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    each = sums.join(rows.select("subject_id", "cluster"), "subject_id").join(sizes, "other")
+    sums = at.groupBy("place", "p", "q").applyInPandas(distances, "point string, other int, d double")
+    sums = sums.groupBy("point", "other").agg(F.sum("d").alias("d"))
+    sizes = found.groupBy(F.col("cluster").alias("other")).agg(F.sum("w").alias("n"))
+    each = sums.join(found.select("point", "cluster", "w"), "point").join(sizes, "other")
     inside = F.max(F.when(F.col("other") == F.col("cluster"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1))))
     outside = F.min(F.when(F.col("other") != F.col("cluster"), F.col("d") / F.col("n")))
-    s = each.groupBy("subject_id").agg(inside.alias("a"), outside.alias("b"))
+    s = each.groupBy("point").agg(inside.alias("a"), outside.alias("b"), F.first("w").alias("w"))
     value = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
-    return s.agg(F.avg(value).alias("silhouette"))
+    return s.agg((F.sum(F.col("w") * value) / F.sum("w")).alias("silhouette")).first()[0]
 
 
 def adjusted_rand(rows: DataFrame, label: str = "label", cluster: str = "cluster") -> DataFrame:
