@@ -141,13 +141,14 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def clusters(fingerprints: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
     """subject_id, fingerprint and cluster: the best of several starts by within-cluster squares."""
-    rows = fingerprints.select("subject_id", "fingerprint", array_to_vector("fingerprint").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = fingerprints.select("subject_id", "fingerprint").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = kept.withColumn("features", array_to_vector("fingerprint"))  # not kept: a fit lays out what is not kept, and unpacks kept vectors in each step
     try:
         with ThreadPoolExecutor(starts) as pool:  # the starts' small jobs side by side
             models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i).fit(rows), range(starts)))
         best = min(models, key=lambda m: m.summary.trainingCost)
     finally:
-        rows.unpersist()
+        kept.unpersist()
     return best.transform(rows).select("subject_id", "fingerprint", F.col("prediction").alias("cluster"))
 
 
